@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
     open_weight = F.sum(f"{_P}weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum(f"{_P}source_size").over(everything)
     per = per.withColumn(f"{_P}level", (total - capped).cast("double") / open_weight)
-    level = F.min(F.when(F.col(f"{_P}ratio") >= F.col(f"{_P}level"), F.col(f"{_P}level"))).over(everything)
+    level = F.max(f"{_P}level").over(everything)  # levels rise while caps are under them and fall after that
     target = F.least(F.col(f"{_P}cap").cast("double"), level * F.col(f"{_P}weight"))
     return per.select(f"{_P}source", f"{_P}source_size", target.alias(f"{_P}target"))
 
@@ -93,7 +93,7 @@ WITH sized AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM ranked
 ), targets AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * min(CASE WHEN ratio >= lev THEN lev END) OVER ()) AS target FROM levels
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * max(lev) OVER ()) AS target FROM levels
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate,
     CAST(CAST('0x' || substr(md5('mix-1:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
