@@ -11,8 +11,8 @@ A link needs an overlap of most of both sets, so the first tokens of the two set
   do both, so that pairs across the boundary meet.
 
 A list first pairs its members with one pivot (the member with the fewest rarer tokens), never all
-with all; a positional bound drops pairs that can't reach the threshold.  Pairs are verified exactly on the whole
-sets and links joined by union-find.  Only lists that then still touch several components
+with all; a positional bound and a bound from bitmaps of fixed size drop pairs that can't reach the threshold.  Pairs are
+verified exactly on the whole sets and links joined by union-find.  Only lists that then still touch several components
 pair members of different components, so no link that joins two components is lost.
 
 Defined results for odd input: a null or blank text has no set and is its own component; texts under
@@ -39,6 +39,7 @@ NUMERATOR, DENOMINATOR = 85, 100
 SKETCH_BITS = 20
 SLICES = 64
 BROADCAST_IDS = 500_000
+BITS = 512
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -138,30 +139,33 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, bound: int, num: int = NU
     return keys, at
 
 
-def _overlap(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Least overlap of sets of these sizes: den * o >= num * (na + nb - o)."""
-    return -(-num * (na + nb) // (num + den))
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each of BITS cells; sets differ in at least as many tokens as their bitmaps in bits."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def inverted_lists(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_parts: int, k: int, num: int, den: int) -> DataFrame:
-    """list (a hash of its members), doc, n, pos for all lists of two members or more.
-
-    Keys travel packed, a blob per task and partition; equal lists are sent on once.
-    """
+def prefixes(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, unique: bool, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, keys (packed) and bitmap of every representative with two shingles or more."""
     level, bound = levels(sketch), boundary(sketch, num, den)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs, sizes = [], []
+            blobs, sizes, maps = [], [], []
             for s in _sets(batch.column(1), k):
                 sizes.append(len(s))
                 blobs.append(pack(*prefix_keys(s, level, bound, num, den)) if len(s) > 1 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n", "keys"])
+                maps.append(bitmap(s) if len(s) > 1 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "n", "keys", "bits"])
+
+    own = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, keys binary, bits binary").where("keys is not null").join(reps, "doc_id", "left_semi")
+    return own if unique else own.dropDuplicates(["doc_id"])
 
-    own = docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, n long, keys binary").where("keys is not null")
-    own = own.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def deal(own: DataFrame, n_parts: int) -> DataFrame:
+    """The keys of all documents by partition, packed: a blob per task and partition.  own: doc_id, n, keys, c."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [np.frombuffer(unpack(b), np.uint64) for b in batch.column(2).to_pylist()]
             size = np.array([len(r) // 2 for r in raw], np.int64)
@@ -169,50 +173,93 @@ def inverted_lists(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_parts
                 continue
             key = np.concatenate([r[: len(r) // 2] for r in raw])
             pos = np.concatenate([r[len(r) // 2 :] for r in raw]).astype(np.int32)
-            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size)
-            n = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32), size)
+            row = np.repeat(np.arange(len(size)), size)
+            doc, n, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[row] for i in (0, 1, 3))
             part = (key % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(n_parts + 1))
-            ps, blobs = [], []
-            for p in range(n_parts):
-                i = order[ends[p] : ends[p + 1]]
-                if len(i):
-                    ps.append(p)
-                    blobs.append(pack(key[i], doc[i], n[i], pos[i]))
+            ps = np.flatnonzero(np.diff(ends)).tolist()
+            blobs = [pack(*(x[order[ends[p] : ends[p + 1]]] for x in (key, doc, c, n.astype(np.int32), pos))) for p in ps]
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "blob"])
 
-    def lists(table: pa.Table) -> pa.Table:
-        got = [unpack(b.as_py()) for b in table.column("blob")]
-        sizes = [len(g) // 24 for g in got]
-        key = np.concatenate([np.frombuffer(g, np.uint64, s) for g, s in zip(got, sizes, strict=True)])
-        doc = np.concatenate([np.frombuffer(g, np.int64, s, 8 * s) for g, s in zip(got, sizes, strict=True)])
-        n = np.concatenate([np.frombuffer(g, np.int32, s, 16 * s) for g, s in zip(got, sizes, strict=True)])
-        pos = np.concatenate([np.frombuffer(g, np.int32, s, 20 * s) for g, s in zip(got, sizes, strict=True)])
-        order = np.lexsort((doc, key))
-        key, doc, n, pos = key[order], doc[order], n[order], pos[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(begin, len(key)))
-        # equal lists (same members, same positions) are one
-        content = np.add.reduceat(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), begin)
-        many = np.flatnonzero(length > 1)
-        _, once = np.unique(content[many], return_index=True)
-        take = many[once]
-        rows = np.repeat(begin[take] - np.concatenate([[0], np.cumsum(length[take])[:-1]]), length[take]) + np.arange(length[take].sum())
-        name = np.repeat(content[take], length[take])
-        return pa.table({"list": name.view(np.int64), "doc": doc[rows], "n": n[rows].astype(np.int64), "pos": pos[rows].astype(np.int64)})
-
-    dealt = own.mapInArrow(deal, "p int, blob binary")
-    return dealt.groupBy("p").applyInArrow(lists, "list long, doc long, n long, pos long").distinct()
-
-
-def _possible(a: str, b: str, num: int, den: int):
-    """Positional and size bound for two members of one list."""
+    return own.select("doc_id", "n", "keys", "c").mapInArrow(scan, "p int, blob binary")
+
+
+def _lists(table: pa.Table):
+    """Members of all lists of two or more, list by list: key, doc, c, n, pos and where each list begins."""
+    got = [unpack(b.as_py()) for b in table.column("blob")]
+    sizes = [len(g) // 32 for g in got]
+    cols = [np.concatenate([np.frombuffer(g, t, s, at * s) for g, s in zip(got, sizes, strict=True)]) for t, at in ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28))]
+    order = np.argsort(cols[0], kind="stable")
+    key = cols[0][order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(key)))
+    take = np.repeat(length > 1, length)
+    order, length = order[take], length[length > 1]
+    return [x[order] for x in cols], np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length
+
+
+def _possible(na, ia, nb, ib, num: int, den: int) -> np.ndarray:
+    """Whether members of a list at these positions can reach the overlap that their sizes need."""
+    need = -(-(na + nb) * num // (num + den))
+    return np.minimum(na - ia, nb - ib) >= need
+
+
+def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each list's pivot and its other members; and (doc, null) for members of lists of three or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (_, doc, _, n, pos), begin, length = _lists(table)
+        if not len(begin):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        which = np.repeat(np.arange(len(begin)), length)
+        by = np.lexsort((doc, pos, which))  # the pivot comes first
+        head = by[begin][which]
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        good = (doc != doc[head]) & _possible(n[head], pos[head], n, pos, num, den)
+        pairs = np.unique(np.stack([np.minimum(doc, doc[head])[good], np.maximum(doc, doc[head])[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
+        more = np.unique(doc[np.repeat(length > 2, length)])
+        return pa.table({"a": np.concatenate([pairs[:, 0], more]), "b": pa.array(np.concatenate([pairs[:, 1], more]), mask=np.arange(len(pairs) + len(more)) >= len(pairs))})
+
+    return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
+
+
+def mixed_lists(dealt: DataFrame) -> DataFrame:
+    """list, doc, n, pos, c of the lists whose members lie in several components; equal lists once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (_, doc, c, n, pos), begin, length = _lists(table)
+        if len(begin):
+            many = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
+            name = np.add.reduceat(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), begin)
+            _, once = np.unique(name, return_index=True)
+            take = np.zeros(len(begin), bool)
+            take[once] = True
+            rows = np.repeat(take & many & (length > 2), length)
+            name = np.repeat(name, length)[rows]
+            doc, c, n, pos = (x[rows] for x in (doc, c, n, pos))
+        else:
+            name = np.zeros(0, np.uint64)
+        return pa.table({"list": name.view(np.int64), "doc": doc, "n": n.astype(np.int64), "pos": pos.astype(np.int64), "c": c})
+
+    return dealt.groupBy("p").applyInArrow(run, "list long, doc long, n long, pos long, c long").distinct()
+
+
+def _bits(own: DataFrame) -> DataFrame:
+    """doc_id, n and the bitmap as longs."""
+    word = lambda i: F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}")
+    return own.select("doc_id", "n", *[word(i) for i in range(BITS // 64)])
+
+
+def _close(a: str, b: str, num: int, den: int):
+    """The bitmaps allow the overlap that the sizes need."""
     need = F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(num) / F.lit(num + den))
-    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) >= need
+    differ = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return differ <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * need
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, unique: bool, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS  # a checked size; else the texts meet the ids in a shuffle
@@ -222,7 +269,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(s) for s in _sets(batch.column(1), k)], pa.binary())], names=["doc_id", "tokens"])
 
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = cut(wanted.mapInArrow(pick, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "sets")
+    sets = wanted.mapInArrow(pick, "doc_id long, tokens binary")
+    sets = cut(sets if unique else sets.dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,25 +294,28 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int =
     sketch = read_sketch(scanned.where("slice is not null").select("slice", "counts"))
     full = meta.where("n > 0 and doc_id is not null")
     reps = cut(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    own = reps.where("n > 1").select(F.col("rep").alias("doc_id"))
-    lists = cut(inverted_lists(docs, own, sketch, n_parts, k, num, den), "lists")
-
-    pivot = lists.groupBy(F.col("list").alias("l")).agg(F.min(F.struct("pos", "doc", "n")).alias("x"), F.count("*").alias("size"))
-    stars = lists.alias("y").join(pivot, F.col("list") == F.col("l")).where((F.col("doc") != F.col("x.doc")) & _possible("x", "y", num, den))
-    pairs = cut(stars.select(F.least("doc", "x.doc").alias("a"), F.greatest("doc", "x.doc").alias("b")).distinct(), "pairs")
-    links = cut(verify(docs, pairs, k, num, den), "links")
+    unique = meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    own = cut(prefixes(docs, reps.where("n > 1").select(F.col("rep").alias("doc_id")), sketch, unique, k, num, den), "prefixes")
+    bits = _bits(own)
+
+    found = cut(stars(deal(own.withColumn("c", F.col("doc_id")), n_parts), num, den), "stars")
+    star = found.where("b is not null").join(bits.alias("x"), F.col("a") == F.col("x.doc_id")).join(bits.alias("y"), F.col("b") == F.col("y.doc_id")).where(_close("x", "y", num, den))
+    star = cut(star.select("a", "b"), "pairs")
+    links = cut(verify(docs, star, unique, k, num, den), "links")
     group = components(links)
 
     # lists of three or more that still touch several components
-    more = lists.join(pivot.where("size > 2").select(F.col("l").alias("list")), "list", "left_semi")
-    named = more.join(group, F.col("doc") == F.col("node"), "left").select("list", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
-    mixed = named.groupBy("list").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("list")
-    named = cut(named.join(mixed, "list", "left_semi"), "mixed")
-    x, y = named.alias("x"), named.alias("y")
-    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.doc") < F.col("y.doc")) & _possible("x", "y", num, den))
-    rest = cut(rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = own.join(found.where("b is null").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
+    more = more.join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("c"))
+    mixed = mixed_lists(deal(more, n_parts))
+    mixed = cut(mixed.join(bits.drop("n"), F.col("doc") == F.col("doc_id")).drop("doc_id"), "mixed")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(num) / F.lit(num + den))
+    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
+    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.doc") < F.col("y.doc")) & reach & _close("x", "y", num, den))
+    rest = cut(rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionByName(verify(docs, rest, k, num, den))
+        links = links.unionByName(verify(docs, rest, unique, k, num, den))
         group = components(links)
 
     named = reps.join(group, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("rn"), F.coalesce("component", "rep").alias("component"))
