@@ -11,7 +11,7 @@ A link needs an overlap of most of both sets, so the first tokens of the two set
   do both, so that pairs across the boundary meet.
 
 A list first pairs its members with one pivot (the member with the fewest rarer tokens), never all
-with all; a positional bound and a bound from bitmaps of fixed size drop pairs that can't reach the threshold.  Pairs are
+with all; a positional bound and a bound from parity bitmaps drop pairs that can't reach the threshold.  Pairs are
 verified exactly on the whole sets and links joined by union-find.  Only lists that then still touch several components
 pair members of different components, so no link that joins two components is lost.
 
@@ -39,7 +39,6 @@ NUMERATOR, DENOMINATOR = 85, 100
 SKETCH_BITS = 20
 SLICES = 64
 BROADCAST_IDS = 500_000
-BITS = 512
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -136,18 +135,39 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, bound: int, num: int = NU
         if len(pairs):
             keys = np.concatenate([keys, mix(order[pairs[:, 0]] * np.uint64(3) + mix(order[pairs[:, 1]]))])
             at = np.concatenate([at, pairs[:, 0]])
-    return keys, at
+    return keys, at.astype(np.int32)
+
+
+def marks_before(keys: np.ndarray, doc: np.ndarray, n: np.ndarray, index: np.ndarray, bound: int, num: int, den: int) -> np.ndarray:
+    """A mark of the token before each key's token in its set's order (index counts a document's keys).
+
+    Two sets with equal marks under a key have met under the key before, so they need not be paired again.  First tokens and
+    subsets get a mark that no other document has.
+    """
+    inside = (n > bound) & (index > 0) & (index < n + num * -n // den + 1)
+    before = np.where(inside, np.concatenate([keys[:1], keys[:-1]]), mix(doc.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
+    return (before >> np.uint64(32)).astype(np.uint32)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of BITS cells; sets differ in at least as many tokens as their bitmaps in bits."""
-    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """Parity of the tokens in about as many cells as there are tokens (a power of two)."""
+    size = 1 << max(8, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def prefixes(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, unique: bool, k: int, num: int, den: int) -> DataFrame:
+def least_difference(a: bytes, b: bytes) -> int:
+    """Sets differ in at least as many tokens as their bitmaps, folded to one size, differ in bits."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def prefixes(docs: DataFrame, reps: DataFrame, level: np.ndarray, bound: int, unique: bool, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, keys (packed) and bitmap of every representative with two shingles or more."""
-    level, bound = levels(sketch), boundary(sketch, num, den)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,42 +182,43 @@ def prefixes(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, unique: bool,
     return own if unique else own.dropDuplicates(["doc_id"])
 
 
-def deal(own: DataFrame, n_parts: int) -> DataFrame:
+def deal(own: DataFrame, n_parts: int, bound: int, num: int, den: int) -> DataFrame:
     """The keys of all documents by partition, packed: a blob per task and partition.  own: doc_id, n, keys, c."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.frombuffer(unpack(b), np.uint64) for b in batch.column(2).to_pylist()]
-            size = np.array([len(r) // 2 for r in raw], np.int64)
+            raw = [unpack(b) for b in batch.column(2).to_pylist()]
+            size = np.array([len(r) // 12 for r in raw], np.int64)
             if not size.sum():
                 continue
-            key = np.concatenate([r[: len(r) // 2] for r in raw])
-            pos = np.concatenate([r[len(r) // 2 :] for r in raw]).astype(np.int32)
+            key, pos = (np.concatenate([np.frombuffer(r, t, m, at * m) for r, m in zip(raw, size.tolist(), strict=True)]) for t, at in ((np.uint64, 0), (np.int32, 8)))
             row = np.repeat(np.arange(len(size)), size)
             doc, n, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[row] for i in (0, 1, 3))
+            index = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            before = marks_before(key, doc, n, index, bound, num, den)
             part = (key % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(n_parts + 1))
             ps = np.flatnonzero(np.diff(ends)).tolist()
-            blobs = [pack(*(x[order[ends[p] : ends[p + 1]]] for x in (key, doc, c, n.astype(np.int32), pos))) for p in ps]
+            blobs = [pack(*(x[order[ends[p] : ends[p + 1]]] for x in (key, doc, c, n.astype(np.int32), pos, before))) for p in ps]
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "blob"])
 
     return own.select("doc_id", "n", "keys", "c").mapInArrow(scan, "p int, blob binary")
 
 
 def _lists(table: pa.Table):
-    """Members of all lists of two or more, list by list: key, doc, c, n, pos and where each list begins."""
+    """doc, c, n, pos and the mark before of all members of lists of two or more, list by list, and the lists' begins and lengths."""
     got = [unpack(b.as_py()) for b in table.column("blob")]
-    sizes = [len(g) // 32 for g in got]
-    cols = [np.concatenate([np.frombuffer(g, t, s, at * s) for g, s in zip(got, sizes, strict=True)]) for t, at in ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28))]
-    order = np.argsort(cols[0], kind="stable")
-    key = cols[0][order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    begin = np.flatnonzero(new)
+    sizes = [len(g) // 36 for g in got]
+    kinds = ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28), (np.uint32, 32))
+    key, *cols = [np.concatenate([np.frombuffer(g, t, s, at * s) for g, s in zip(got, sizes, strict=True)]) for t, at in kinds]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(begin, len(key)))
-    take = np.repeat(length > 1, length)
-    order, length = order[take], length[length > 1]
-    return [x[order] for x in cols], np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length
+    order, length = order[np.repeat(length > 1, length)], length[length > 1]
+    doc, c, n, pos, before = (x[order] for x in cols)
+    return doc, c, n.astype(np.int64), pos.astype(np.int64), before, np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length
 
 
 def _possible(na, ia, nb, ib, num: int, den: int) -> np.ndarray:
@@ -206,57 +227,64 @@ def _possible(na, ia, nb, ib, num: int, den: int) -> np.ndarray:
     return np.minimum(na - ia, nb - ib) >= need
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+
+
 def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of each list's pivot and its other members; and (doc, null) for members of lists of three or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        (_, doc, _, n, pos), begin, length = _lists(table)
+        doc, _, n, pos, before, begin, length = _lists(table)
         if not len(begin):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        which = np.repeat(np.arange(len(begin)), length)
-        by = np.lexsort((doc, pos, which))  # the pivot comes first
-        head = by[begin][which]
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        good = (doc != doc[head]) & _possible(n[head], pos[head], n, pos, num, den)
-        pairs = np.unique(np.stack([np.minimum(doc, doc[head])[good], np.maximum(doc, doc[head])[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
+        by = np.lexsort((doc, pos, np.repeat(np.arange(len(begin)), length)))  # the pivot comes first
+        head = np.repeat(by[begin], length)
+        good = (doc != doc[head]) & (before != before[head]) & _possible(n[head], pos[head], n, pos, num, den)
+        pairs = _distinct(doc[good], doc[head][good])
         more = np.unique(doc[np.repeat(length > 2, length)])
         return pa.table({"a": np.concatenate([pairs[:, 0], more]), "b": pa.array(np.concatenate([pairs[:, 1], more]), mask=np.arange(len(pairs) + len(more)) >= len(pairs))})
 
     return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
 
 
-def mixed_lists(dealt: DataFrame) -> DataFrame:
-    """list, doc, n, pos, c of the lists whose members lie in several components; equal lists once."""
+def across(dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that first meet in a list of three or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        (_, doc, c, n, pos), begin, length = _lists(table)
+        doc, c, n, pos, before, begin, length = _lists(table)
+        a, b = [], []
         if len(begin):
-            many = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
-            name = np.add.reduceat(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), begin)
-            _, once = np.unique(name, return_index=True)
-            take = np.zeros(len(begin), bool)
-            take[once] = True
-            rows = np.repeat(take & many & (length > 2), length)
-            name = np.repeat(name, length)[rows]
-            doc, c, n, pos = (x[rows] for x in (doc, c, n, pos))
-        else:
-            name = np.zeros(0, np.uint64)
-        return pa.table({"list": name.view(np.int64), "doc": doc, "n": n.astype(np.int64), "pos": pos.astype(np.int64), "c": c})
+            mixed = (length > 2) & (np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)) & (np.minimum.reduceat(before, begin) != np.maximum.reduceat(before, begin))
+            for first, m in zip(begin[mixed].tolist(), length[mixed].tolist(), strict=True):
+                all_ = slice(first, first + m)
+                step = max(1, (1 << 20) // m)
+                for i in range(first, first + m, step):  # a block of rows at a time
+                    own = slice(i, min(i + step, first + m))
+                    good = (c[own, None] != c[None, all_]) & (doc[own, None] < doc[None, all_]) & (before[own, None] != before[None, all_])
+                    x, y = np.nonzero(good)
+                    x, y = x + i, y + first
+                    keep = _possible(n[x], pos[x], n[y], pos[y], num, den)
+                    a.append(doc[x[keep]])
+                    b.append(doc[y[keep]])
+        pairs = _distinct(np.concatenate(a), np.concatenate(b)) if a else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy("p").applyInArrow(run, "list long, doc long, n long, pos long, c long").distinct()
+    return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
 
 
-def _bits(own: DataFrame) -> DataFrame:
-    """doc_id, n and the bitmap as longs."""
-    word = lambda i: F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}")
-    return own.select("doc_id", "n", *[word(i) for i in range(BITS // 64)])
+def close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps allow the overlap that their sizes need; bits: doc_id, n, bits."""
+    both = pairs.join(bits.withColumnsRenamed({"doc_id": "b", "n": "nb", "bits": "mb"}), "b").join(bits.withColumnsRenamed({"doc_id": "a", "n": "na", "bits": "ma"}), "a")
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            need = -(-(na + nb) * num // (num + den))
+            differ = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(differ <= na + nb - 2 * need))
 
-def _close(a: str, b: str, num: int, den: int):
-    """The bitmaps allow the overlap that the sizes need."""
-    need = F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(num) / F.lit(num + den))
-    differ = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(BITS // 64)), F.lit(0))
-    return differ <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * need
+    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(test, "a long, b long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, unique: bool, k: int, num: int, den: int) -> DataFrame:
@@ -295,25 +323,20 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int =
     full = meta.where("n > 0 and doc_id is not null")
     reps = cut(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
     unique = meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    own = cut(prefixes(docs, reps.where("n > 1").select(F.col("rep").alias("doc_id")), sketch, unique, k, num, den), "prefixes")
-    bits = _bits(own)
+    bound = boundary(sketch, num, den)
+    own = cut(prefixes(docs, reps.where("n > 1").select(F.col("rep").alias("doc_id")), levels(sketch), bound, unique, k, num, den), "prefixes")
+    bits = own.select("doc_id", "n", "bits")
 
-    found = cut(stars(deal(own.withColumn("c", F.col("doc_id")), n_parts), num, den), "stars")
-    star = found.where("b is not null").join(bits.alias("x"), F.col("a") == F.col("x.doc_id")).join(bits.alias("y"), F.col("b") == F.col("y.doc_id")).where(_close("x", "y", num, den))
-    star = cut(star.select("a", "b"), "pairs")
+    found = cut(stars(deal(own.withColumn("c", F.lit(0).cast("long")), n_parts, bound, num, den), num, den), "stars")
+    star = cut(close(found.where("b is not null"), bits, num, den), "pairs")
     links = cut(verify(docs, star, unique, k, num, den), "links")
     group = components(links)
 
     # lists of three or more that still touch several components
     more = own.join(found.where("b is null").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
     more = more.join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("c"))
-    mixed = mixed_lists(deal(more, n_parts))
-    mixed = cut(mixed.join(bits.drop("n"), F.col("doc") == F.col("doc_id")).drop("doc_id"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(num) / F.lit(num + den))
-    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
-    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.doc") < F.col("y.doc")) & reach & _close("x", "y", num, den))
-    rest = cut(rest.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    rest = across(deal(more, n_parts, bound, num, den), num, den).join(found.where("b is not null"), ["a", "b"], "left_anti")
+    rest = cut(close(rest, bits, num, den), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(verify(docs, rest, unique, k, num, den))
         group = components(links)
