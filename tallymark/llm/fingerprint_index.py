@@ -97,7 +97,7 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa
 
 def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document; the index is filled in batches of ascending doc_id."""
-    n_parts = parts(docs, mb=8)
+    n_parts = parts(docs, mb=4)
     index = FingerprintIndex(n_parts)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     bounds = sorted(set(cuts or []))

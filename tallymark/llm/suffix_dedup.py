@@ -144,6 +144,6 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    n_parts = parts(docs, mb=8)
+    n_parts = parts(docs, mb=4)
     marks = first_marks(docs, UNIT, n_parts)
     return finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA)

@@ -128,6 +128,27 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
+def _scan_some(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, unit: Unit, n_parts: int) -> pa.Table:
+    """Rows of some documents: what is equal among them collapses here."""
+    found = []
+    for a, b in chunks(offsets, 1 << 20):
+        values, toff = unit.tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        start, n, anchor, seg = segments(unit, values, toff)
+        of = np.searchsorted(toff, start, side="right") - 1
+        found.append((anchor, seg, ids[a + of], (start - toff[of]).astype(np.int32), n.astype(np.int32)))
+    anchor, seg, doc, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, _, rep = _collapse(unit, anchor, seg, doc, start)
+    gone, keep = np.sort(order[~rep]), np.sort(order[rep])
+    rows = _deal((anchor[keep] % np.uint64(n_parts)).astype(np.int64), n_parts, RUN, None, *(x[keep] for x in (anchor, seg, doc, start, n)))
+    head = np.maximum.accumulate(np.where(_starts(anchor[order], seg[order]), np.arange(len(order)), 0))
+    first = order[head][~rep]
+    back = np.argsort(order[~rep], kind="stable")
+    # a repeated row (same doc_id and start as the first) is the same occurrence
+    other = (doc[gone] != doc[first[back]]) | (start[gone] != start[first[back]])
+    gone = gone[other]
+    return _table(rows + _deal(_doc_part(doc[gone], n_parts), n_parts, FULL, None, anchor[gone], doc[gone], start[gone], n[gone]))
+
+
 def scan_segments(docs: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
     """Entries by anchor partition, and marks of what a task itself knows to be repeated by document partition."""
 
@@ -135,26 +156,8 @@ def scan_segments(docs: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = column(batch.column(1))
-            found = []
-            for a, b in chunks(offsets, 1 << 20):
-                values, toff = unit.tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                start, n, anchor, seg = segments(unit, values, toff)
-                of = np.searchsorted(toff, start, side="right") - 1
-                found.append((anchor, seg, ids[a + of], (start - toff[of]).astype(np.int32), n.astype(np.int32)))
-            if not found:
-                continue
-            anchor, seg, doc, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, _, rep = _collapse(unit, anchor, seg, doc, start)
-            gone, keep = np.sort(order[~rep]), np.sort(order[rep])
-            rows = _deal((anchor[keep] % np.uint64(n_parts)).astype(np.int64), n_parts, RUN, None, *(x[keep] for x in (anchor, seg, doc, start, n)))
-            head = np.maximum.accumulate(np.where(_starts(anchor[order], seg[order]), np.arange(len(order)), 0))
-            first = order[head][~rep]
-            back = np.argsort(order[~rep], kind="stable")
-            # a repeated row (same doc_id and start as the first) is the same occurrence
-            other = (doc[gone] != doc[first[back]]) | (start[gone] != start[first[back]])
-            gone = gone[other]
-            rows += _deal(_doc_part(doc[gone], n_parts), n_parts, FULL, None, anchor[gone], doc[gone], start[gone], n[gone])
-            yield from _table(rows).to_batches()
+            for a, b in chunks(offsets, 8 << 20):
+                yield from _scan_some(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, n_parts).to_batches()
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, ROW)
 
