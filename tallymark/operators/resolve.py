@@ -94,7 +94,7 @@ def verify(claims: DataFrame, facts: DataFrame, dictionary: DataFrame, ratios: D
     """
     from .reconcile import reconcile
 
-    named = with_hints(resolve_concept(claims, facts, dictionary))
+    named = with_hints(resolve_concept(resolve_concept(claims, facts, dictionary), facts, ratios, out="denominator_metric"))
     placed = resolve_periods(named, facts)
     f = facts.select("ticker", "fact_ord", "period_start", "period_end", "unit")
     side = lambda p: f.select(F.col("ticker").alias(f"{p}_t"), F.col("fact_ord").alias(f"{p}_o"), F.struct("period_start", "period_end", "unit").alias(p))
@@ -109,7 +109,8 @@ def verify(claims: DataFrame, facts: DataFrame, dictionary: DataFrame, ratios: D
         .when(~absolute & F.col("cmp").isNull(), "no_comparison_period")
         .when(absolute & (F.col("value_unit") == "percent") & (F.col("main.unit") != "pure"), "percent_against_amount")
     )
-    j = resolve_concept(j.withColumn("problem", problem), facts, ratios, out="denominator_metric")
+    # an exchange on the key of the joins that follow: without it every later use repeats the chain of rules above
+    j = j.withColumn("problem", problem).repartition("claim_id")
     ready = j.where("problem is null").select(
         "claim_id", "ticker", F.col("concept").alias("metric"), "comparison_type",
         F.when(absolute & (F.col("main.unit") == "pure") & (F.col("value_unit") == "percent"), F.col("value") / 100).otherwise(F.col("value")).alias("claimed_value"),

@@ -390,7 +390,7 @@ WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FI
 SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS r,
   2 * (CAST(tp AS DOUBLE) / (tp + fp)) * (CAST(tp AS DOUBLE) / (tp + fn)) / (CAST(tp AS DOUBLE) / (tp + fp) + CAST(tp AS DOUBLE) / (tp + fn)) AS f1 FROM c""")
 def q_prf_micro(spark, sf_dir):
-    c = table(spark, sf_dir, "labels").agg(F.count_if("quality = 1 and toxic = 0").alias("tp"), F.count_if("quality = 0 and toxic = 0").alias("fp"), F.count_if("quality = 1 and toxic = 1").alias("fn"))
+    c = table(spark, sf_dir, "labels").agg(*[F.count_if(F.expr(e)).alias(n) for n, e in (("tp", "quality = 1 and toxic = 0"), ("fp", "quality = 0 and toxic = 0"), ("fn", "quality = 1 and toxic = 1"))])
     return c.select("tp", "fp", "fn", *scoring.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -401,7 +401,7 @@ def q_prf_by_category(spark, sf_dir):
 
 
 @query(r"""
-WITH k AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), x -> x NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'for', 'to', 'in', 'on'))) AS w FROM benchmark)
+WITH k AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'for', 'to', 'in', 'on'))) AS w FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN CASE WHEN len(a.w) = len(b.w) THEN 1.0 ELSE 0.0 END ELSE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / greatest(len(a.w), len(b.w)) END AS overlap FROM k a JOIN k b ON b.item_id = a.item_id + 1""")
 def q_keyword_overlap(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
@@ -458,7 +458,7 @@ def q_perturb(spark, sf_dir):
     return p.select("p_partkey", "kind", dataset.perturb(F.col("kind"), F.col("t"), F.col("v"), F.when(F.col("t") == "growth_pct", 1.0).otherwise(0.01)).alias("value"))
 
 
-@query("SELECT doc_id, CAST(list_sum(list_transform(string_split(md5(CAST(doc_id AS VARCHAR)), ''), x -> strpos('0123456789abcdef', x) - 1)) % 5 AS BIGINT) AS bucket FROM documents")
+@query("SELECT doc_id, CAST(list_sum(list_transform(string_split(md5(CAST(doc_id AS VARCHAR)), ''), lambda x: strpos('0123456789abcdef', x) - 1)) % 5 AS BIGINT) AS bucket FROM documents")
 def q_md5_split(spark, sf_dir):
     # 16 mod 5 is 1, so the digits' sum gives the same bucket of five: the oracle uses that, the operator folds for any n
     return table(spark, sf_dir, "documents").select("doc_id", tx.md5_bucket(F.col("doc_id").cast("string"), 5).alias("bucket"))
