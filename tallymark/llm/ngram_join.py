@@ -232,7 +232,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each list's pivot and its other members; and (doc, null) for members of lists of three or more."""
+    """Pairs (a, b) of each list's pivot and its other members; and (doc, null) for members of lists of three or more in which some first meet."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, _, n, pos, before, begin, length = _lists(table)
@@ -242,7 +242,8 @@ def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
         head = np.repeat(by[begin], length)
         good = (doc != doc[head]) & (before != before[head]) & _possible(n[head], pos[head], n, pos, num, den)
         pairs = _distinct(doc[good], doc[head][good])
-        more = np.unique(doc[np.repeat(length > 2, length)])
+        split = (length > 2) & (np.minimum.reduceat(before, begin) != np.maximum.reduceat(before, begin))  # the others' members have met before
+        more = np.unique(doc[np.repeat(split, length)])
         return pa.table({"a": np.concatenate([pairs[:, 0], more]), "b": pa.array(np.concatenate([pairs[:, 1], more]), mask=np.arange(len(pairs) + len(more)) >= len(pairs))})
 
     return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
