@@ -139,8 +139,9 @@ class Transducer:
                             emitted.append(emitted[j] + 1)
                             break
             total = emitted[-1]
-        if len(self.composed) < TABLE_SIZE:
-            self.composed[pretoken] = total
+        if len(self.composed) >= TABLE_SIZE:
+            self.composed.clear()
+        self.composed[pretoken] = total
         return total
 
     def chunk_map(self, text: str) -> int:
@@ -189,6 +190,16 @@ def compose(maps: list[int]) -> int:
     return int(scan[-1])
 
 
+_MACHINES: dict[str, Transducer] = {}
+
+
+def machine_for(path: str) -> Transducer:
+    """The worker's transducer for a file: what one task has compiled serves the next."""
+    if path not in _MACHINES:
+        _MACHINES[path] = Transducer(path)
+    return _MACHINES[path]
+
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -199,7 +210,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(tokenizer_path)
+        machine = machine_for(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
