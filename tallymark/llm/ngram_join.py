@@ -218,7 +218,7 @@ def _lists(table: pa.Table):
     length = np.diff(np.append(begin, len(key)))
     order, length = order[np.repeat(length > 1, length)], length[length > 1]
     doc, c, n, pos, before = (x[order] for x in cols)
-    return doc, c, n.astype(np.int64), pos.astype(np.int64), before, np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length
+    return doc, c, n.astype(np.int64), pos.astype(np.int64), before, (np.cumsum(length) - length).astype(np.int64), length
 
 
 def _possible(na, ia, nb, ib, num: int, den: int) -> np.ndarray:

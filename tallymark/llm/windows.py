@@ -281,7 +281,7 @@ def pieces(texts: DataFrame, marks: DataFrame, unit: Unit, n_parts: int) -> Data
         rows = []
         for p in np.flatnonzero(np.diff(ends)).tolist():
             i = order[ends[p] : ends[p + 1]]
-            take = np.repeat(at[i] - np.concatenate([[0], np.cumsum(size[i])[:-1]]), size[i]) + np.arange(size[i].sum())
+            take = np.repeat(at[i] - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(size[i].sum())
             rows.append((p, TEXT, len(i), pack(doc[i], start[i].astype(np.int64), size[i], tokens[take])))
         return _table(rows)
 
@@ -300,7 +300,7 @@ def read_pieces(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndar
     doc, start, size, body = (np.concatenate(x) for x in (docs, starts, sizes, bodies))
     order = np.lexsort((start, doc))
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    take = np.repeat(begin[order] - np.concatenate([[0], np.cumsum(size[order])[:-1]]), size[order]) + np.arange(size.sum())
+    take = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(size.sum())
     return doc[order], start[order], size[order], body[take]
 
 
@@ -344,7 +344,7 @@ def removed_mask(unit: Unit, ids: np.ndarray, toff: np.ndarray, marks: tuple[np.
         order = np.argsort(ids, kind="stable")
         lo, hi = np.searchsorted(ids[order], doc, "left"), np.searchsorted(ids[order], doc, "right")
         copies = hi - lo
-        row = order[np.repeat(lo - np.concatenate([[0], np.cumsum(copies)[:-1]]), copies) + np.arange(copies.sum())]
+        row = order[np.repeat(lo - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())]
         at = toff[row] + np.repeat(start, copies)
         np.add.at(change, at, 1)
         np.add.at(change, at + np.repeat(n, copies) + unit.window - 1, -1)
