@@ -232,7 +232,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each list's pivot and its other members; and (doc, null) for members of lists of three or more in which some first meet."""
+    """Pairs (a, b) of each list's pivot and its other members."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, _, n, pos, before, begin, length = _lists(table)
@@ -242,9 +242,7 @@ def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
         head = np.repeat(by[begin], length)
         good = (doc != doc[head]) & (before != before[head]) & _possible(n[head], pos[head], n, pos, num, den)
         pairs = _distinct(doc[good], doc[head][good])
-        split = (length > 2) & (np.minimum.reduceat(before, begin) != np.maximum.reduceat(before, begin))  # the others' members have met before
-        more = np.unique(doc[np.repeat(split, length)])
-        return pa.table({"a": np.concatenate([pairs[:, 0], more]), "b": pa.array(np.concatenate([pairs[:, 1], more]), mask=np.arange(len(pairs) + len(more)) >= len(pairs))})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
 
@@ -329,14 +327,13 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int =
     bits = own.select("doc_id", "n", "bits")
 
     found = cut(stars(deal(own.withColumn("c", F.lit(0).cast("long")), n_parts, bound, num, den), num, den), "stars")
-    star = cut(close(found.where("b is not null"), bits, num, den), "pairs")
+    star = cut(close(found, bits, num, den), "pairs")
     links = cut(verify(docs, star, unique, k, num, den), "links")
     group = components(links)
 
     # lists of three or more that still touch several components
-    more = own.join(found.where("b is null").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
-    more = more.join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("c"))
-    rest = across(deal(more, n_parts, bound, num, den), num, den).join(found.where("b is not null"), ["a", "b"], "left_anti")
+    more = own.join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("c"))
+    rest = across(deal(more, n_parts, bound, num, den), num, den).join(found, ["a", "b"], "left_anti")
     rest = cut(close(rest, bits, num, den), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(verify(docs, rest, unique, k, num, den))
