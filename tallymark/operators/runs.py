@@ -34,9 +34,10 @@ def pending(chunks: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def is_stale(chunks: DataFrame, state: DataFrame) -> DataFrame:
-    """One row: whether the state was made for another set of filings."""
-    side = lambda df, name: df.agg(F.array_sort(F.collect_set("accession")).alias(name))
-    return side(chunks, "now").crossJoin(F.broadcast(side(state, "then"))).select((F.col("now") != F.col("then")).alias("stale"))
+    """One row: whether the state was made for another set of filings (either side has one that the other lacks)."""
+    side = lambda df, name: df.select("accession").distinct().withColumn(name, F.lit(True))
+    both = side(chunks, "now").join(side(state, "then"), "accession", "full_outer")
+    return both.agg(F.coalesce(F.bool_or(F.col("now").isNull() | F.col("then").isNull()), F.lit(False)).alias("stale"))
 
 
 def number_steps(events: DataFrame, order: str, start: int = 0) -> DataFrame:

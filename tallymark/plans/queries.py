@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dictionary as dic
+from ..functions import render
 from ..functions import text as tx
-from ..operators import dataset, lookup, reconcile, resolve, restate, runs, scoring
+from ..operators import audit, dataset, lookup, reconcile, resolve, restate, runs, scoring
 from ..sources import filings
-from . import adapter
+from . import adapter, coordinator, tools
 from .adapter import CLAIMS, EVENTS, EXTRACTED, FACTS, PROSE, build, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,6 +470,146 @@ def q_index_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("part"))
 
 
+_PERTURBED = """CASE k WHEN '' THEN truth WHEN 'sign_flip' THEN CASE WHEN truth = 0 THEN sc ELSE -truth END WHEN 'magnitude_1000x' THEN truth * 1000 WHEN 'magnitude_0001x' THEN truth * 0.001
+  ELSE truth + CASE WHEN kind IN ('growth_pct', 'bps_change') THEN tol ELSE sc * tol END * CASE k WHEN 'near_miss' THEN 1.5 ELSE 6 END END"""
+
+
+@query(f"""
+WITH one AS (SELECT *, date_diff('day', CAST(period_start AS DATE), CAST(period_end AS DATE)) AS days FROM {_F} QUALIFY row_number() OVER (PARTITION BY ticker, concept, period_start, period_end ORDER BY filed, accession_number, fact_ord) = 1),
+few AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY ticker, concept ORDER BY md5('2026' || fact_ord), fact_ord) <= 6),
+f AS (SELECT *, row_number() OVER (PARTITION BY ticker, concept ORDER BY period_end, fact_ord) AS rn FROM one WHERE days IS NOT NULL),
+adj AS (SELECT a.ticker, a.concept, a.fact_ord AS cur_ord, arg_max(b.fact_ord, b.rn) AS pri_ord FROM f a JOIN f b ON a.ticker = b.ticker AND a.concept = b.concept AND b.rn < a.rn AND a.period_end <> b.period_end AND abs(a.days - b.days) <= 20 GROUP BY ALL),
+drawn AS (SELECT * FROM adj QUALIFY row_number() OVER (PARTITION BY ticker, concept ORDER BY md5('2026' || cur_ord), cur_ord) <= 3),
+pr AS (SELECT d.ticker, d.concept, d.cur_ord, c.value AS c, p.value AS p FROM drawn d JOIN one c ON c.ticker = d.ticker AND c.fact_ord = d.cur_ord JOIN one p ON p.ticker = d.ticker AND p.fact_ord = d.pri_ord WHERE p.value <> 0),
+h AS (SELECT *, CASE WHEN coalesce(days, 0) <= 120 THEN 1 ELSE 0 END AS short FROM one), hh AS (SELECT *, sum(short) OVER (PARTITION BY ticker, concept) AS ns, count(*) OVER (PARTITION BY ticker, concept) AS na FROM h),
+k AS (SELECT ticker, concept, period_end, arg_max(struct_pack(v := value, s := period_start), fact_ord) AS x FROM hh WHERE short = CASE WHEN ns >= na - ns THEN 1 ELSE 0 END GROUP BY ALL),
+j AS (SELECT a.ticker, a.concept AS numerator, b.concept AS denominator, a.period_end, a.x.v AS num, b.x.v AS den, a.x.s IS NULL OR a.x.s IS NOT DISTINCT FROM b.x.s AS ok FROM k a JOIN k b USING (ticker, period_end)
+  WHERE a.concept IN ('GrossProfit', 'OperatingIncomeLoss', 'NetIncomeLoss') AND b.concept IN ('Revenues', 'RevenueFromContractWithCustomerExcludingAssessedTax')),
+l AS (SELECT *, lag(num) OVER w AS pnum, lag(den) OVER w AS pden, lag(ok) OVER w AS pok FROM j WINDOW w AS (PARTITION BY ticker, numerator, denominator ORDER BY period_end)),
+m AS (SELECT *, denominator || '-' || period_end AS akey FROM l WHERE pnum IS NOT NULL AND den <> 0 AND pden <> 0),
+mm AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ticker, numerator, denominator ORDER BY md5('2026' || akey), akey) <= 3),
+base AS (
+  SELECT concat_ws('-', 'abs', ticker, concept, fact_ord) AS id, 'absolute' AS kind, value AS truth, NULL AS scale, value AS c, NULL AS dc, NULL AS p, NULL AS dp, true AS ok, 0.01 AS tol FROM few
+  UNION ALL SELECT concat_ws('-', 'gpct', ticker, concept, cur_ord), 'growth_pct', (c - p) / abs(p) * 100, NULL, c, NULL, p, NULL, true, 1.0 FROM pr
+  UNION ALL SELECT concat_ws('-', 'achg', ticker, concept, cur_ord), 'absolute_change', c - p, CASE WHEN greatest(abs(c), abs(p)) = 0 THEN 1.0 ELSE greatest(abs(c), abs(p)) END, c, NULL, p, NULL, true, 0.01 FROM pr
+  UNION ALL SELECT concat_ws('-', 'bps', ticker, numerator, akey), 'bps_change', (num / den - pnum / pden) * 10000, NULL, num, den, pnum, pden, ok AND pok, 50.0 FROM mm),
+b2 AS (SELECT *, coalesce(scale, CASE WHEN truth = 0 THEN 1.0 ELSE abs(truth) END) AS sc FROM base),
+kinds AS (SELECT id, k FROM base, (VALUES ('sign_flip'), ('magnitude_1000x'), ('magnitude_0001x'), ('near_miss'), ('large_miss')) t(k) QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('2026' || id || k), k) <= 2 UNION ALL SELECT id, '' FROM base),
+ex AS (
+  SELECT CASE WHEN k = '' THEN id ELSE id || '-' || k END AS id, kind, k AS note, CASE WHEN k = '' THEN 'real' ELSE 'perturbed' END AS source, {_PERTURBED} AS claimed, c, dc, p, dp, ok, tol FROM b2 JOIN kinds USING (id)
+  UNION ALL SELECT id || '-comparison_withheld', kind, 'comparison withheld', 'synthetic', truth, c, dc, NULL, dp, false, tol FROM b2 WHERE kind = 'growth_pct'
+  UNION ALL SELECT id || '-zero_denominator', kind, 'zero denominator', 'synthetic', truth, c, 0.0, p, dp, ok, tol FROM b2 WHERE kind = 'bps_change'),
+co AS (SELECT *, CASE WHEN NOT ok THEN 'missing_fact' WHEN kind = 'bps_change' AND dc = 0 THEN 'zero_denominator' END AS problem FROM ex),
+cc AS (SELECT *, CASE WHEN problem IS NULL THEN CASE kind WHEN 'absolute' THEN c WHEN 'growth_pct' THEN (c - p) / abs(p) * 100 WHEN 'absolute_change' THEN c - p ELSE (c / dc - p / dp) * 10000 END END AS computed FROM co),
+dd AS (SELECT *, abs(computed - claimed) / CASE kind WHEN 'absolute' THEN CASE WHEN c = 0 THEN 1.0 ELSE abs(c) END WHEN 'absolute_change' THEN CASE WHEN greatest(abs(c), abs(p)) = 0 THEN 1.0 ELSE greatest(abs(c), abs(p)) END ELSE 1.0 END AS d FROM cc)
+SELECT id, kind AS comparison_type, source, note, claimed AS claimed_value, CASE WHEN problem IS NOT NULL THEN 'unverifiable' WHEN d <= tol THEN 'consistent' ELSE 'inconsistent' END AS gold_verdict,
+  coalesce(problem, CASE WHEN d <= tol THEN 'match' WHEN d <= 2 * tol THEN 'near_miss' ELSE 'large_miss' END) AS gold_reason_code, computed AS gold_computed_value,
+  CASE WHEN list_sum(list_transform(string_split(md5(id), ''), lambda x: strpos('0123456789abcdef', x) - 1)) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM dd""")
+def q_examples(spark, sf_dir):
+    return _built(spark, sf_dir).select("id", "comparison_type", "source", "note", "claimed_value", "gold_verdict", "gold_reason_code", "gold_computed_value", "part")
+
+
+def _built(spark, sf_dir):
+    return dataset.build_examples(facts(spark, sf_dir), list(dic.RATIO_NUMERATORS), list(dic.RATIO_DENOMINATORS))
+
+
+@query()
+def q_prompts(spark, sf_dir):
+    return _built(spark, sf_dir).select("id", render.prompt().alias("prompt"))
+
+
+@query()
+def q_explanations(spark, sf_dir):
+    return tools.explained(claims(spark, sf_dir), facts(spark, sf_dir)).select("claim_id", "verdict", "explanation")
+
+
+# ---- audits ----
+
+# The audit's figures for two years of one company, and its cases (metric, type, claimed value, expected verdict, demonstration).
+_REPORTED = {"Revenues": (383285e6, 394328e6), "GrossProfit": (169148e6, 170782e6), "EffectiveIncomeTaxRateContinuingOperations": (0.147, None)}
+_CASES = [
+    ("Revenues", "absolute", 383285e6, "consistent", False), ("Revenues", "growth_pct", -2.8, "consistent", False), ("GrossProfit", "bps_change", 82.0, "consistent", False),
+    ("Revenues", "absolute_change", -11043e6, "consistent", False), ("Revenues", "absolute", 500000e6, "inconsistent", False), ("Revenues", "growth_pct", 12.0, "inconsistent", False),
+    ("Revenues", "growth_pct", 2.8, "inconsistent", False), ("GrossProfit", "bps_change", -82.0, "inconsistent", False), ("Revenues", "absolute_change", 11043e6, "inconsistent", False),
+    ("Revenues", "absolute", 383285.0, "inconsistent", False), ("Revenues", "absolute", -2.8, "inconsistent", False), ("Revenues", "absolute", 383285e6 * 1.01, "consistent", False),
+    ("Revenues", "absolute", 383285e6 * 1.0101, "inconsistent", False), ("EffectiveIncomeTaxRateContinuingOperations", "absolute", 0.147, "consistent", False), ("Revenues", "absolute", 383285e6, "inconsistent", True),
+]
+_RESTATED = 390000e6
+
+
+@query(f"""
+WITH c AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{k}', CAST({v!r} AS DOUBLE), '{e}', {d})" for m, k, v, e, d in _CASES)}) t(metric, kind, v, expected_verdict, demo)),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{m}', CAST({c!r} AS DOUBLE), CAST({'NULL' if p is None else repr(p)} AS DOUBLE))" for m, (c, p) in _REPORTED.items())}) t(metric, cur, pri)),
+x AS (SELECT c.*, CASE WHEN demo THEN {_RESTATED!r} ELSE r.cur END AS cur, r.pri, d.cur AS dc, d.pri AS dp FROM c JOIN r USING (metric) CROSS JOIN (SELECT * FROM r WHERE metric = 'Revenues') d),
+s AS (SELECT *, CASE WHEN CASE kind WHEN 'absolute' THEN abs(cur - v) / abs(cur) <= 0.01 WHEN 'growth_pct' THEN abs((cur - pri) / abs(pri) * 100 - v) <= 1 WHEN 'absolute_change' THEN abs(cur - pri - v) / greatest(abs(cur), abs(pri)) <= 0.01 ELSE abs((cur / dc - pri / dp) * 10000 - v) <= 50 END THEN 'consistent' ELSE 'inconsistent' END AS verdict FROM x),
+n AS (SELECT count(*) AS cases, count(*) FILTER (verdict = expected_verdict) AS matched, count(*) FILTER (NOT demo AND expected_verdict = 'consistent') AS n_good, count(*) FILTER (NOT demo AND expected_verdict = 'consistent' AND verdict = 'consistent') AS accepted,
+  count(*) FILTER (NOT demo AND expected_verdict <> 'consistent') AS n_bad, count(*) FILTER (NOT demo AND expected_verdict <> 'consistent' AND verdict = 'consistent') AS falsely_accepted FROM s)
+SELECT *, CAST(accepted AS DOUBLE) / n_good AS recall, CAST(falsely_accepted AS DOUBLE) / n_bad AS false_positive_rate, CASE WHEN falsely_accepted = 0 THEN CAST(3.0 AS DOUBLE) / n_bad END AS false_positive_bound FROM n""")
+def q_audit(spark, sf_dir):
+    from ..schema import CLAIMS as CLAIM_COLUMNS
+    from ..schema import FACTS as FACT_SCHEMA
+
+    now, before = ("2022-09-25", "2023-09-30", "2023-11-03", "n"), ("2021-09-26", "2022-09-24", "2022-10-28", "b")
+    rows, n = [], 0
+    for metric, values in _REPORTED.items():
+        for value, (start, end, filed, accession) in zip(values, (now, before)):
+            if value is not None:
+                n += 1
+                rows.append(("T", "1", metric, metric, value, "pure" if value < 1 else "USD", start, end, None, "FY", "10-K", filed, accession, n))
+    rows.append(("T", "1", "Revenues", "Revenues", _RESTATED, "USD", now[0], now[1], None, "FY", "10-K/A", "2024-03-01", "r", n + 1))
+    asked = []
+    for i, (metric, kind, value, expected, demo) in enumerate(_CASES):
+        two = kind != "absolute"
+        asked.append((str(i), "T", metric, kind, value, now[1], now[0], before[1] if two else None, before[0] if two else None, "Revenues" if kind == "bps_change" else None, "pure" if metric.startswith("Effective") else "USD", None, None if demo else "2023-12-31", expected, demo))
+    c = spark.createDataFrame(asked, CLAIM_COLUMNS + ", expected_verdict string, demo boolean")
+    return audit.audit(reconcile.reconcile(c, spark.createDataFrame(rows, FACT_SCHEMA)))
+
+
+@query("SELECT doc_id AS accession, CAST(doc_id % 7 AS INT) AS chunk_index, strpos(replace(text, chr(160), ' '), CASE WHEN doc_id % 3 = 0 THEN 'no such quote 123' ELSE substr(replace(text, chr(160), ' '), 5, 20) END) > 0 AS found FROM documents WHERE text IS NOT NULL")
+def q_quote_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("accession"), (F.col("doc_id") % 7).cast("int").alias("chunk_index"), "text")
+    quote = F.when(F.col("accession") % 3 == 0, "no such quote 123").otherwise(F.substring("text", 5, 20))
+    return audit.check_quotes(d.select("accession", "chunk_index", quote.alias("quote")), d).select("accession", "chunk_index", "found")
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (agent = 'error') AS error, count(*) FILTER (agent = 'click') AS click, count(*) FILTER (agent = 'timeout') AS timeout FROM {_E}")
+def q_status_counts(spark, sf_dir):
+    return audit.status_counts(build(spark, sf_dir, EVENTS), ["error", "click", "timeout"], "agent")
+
+
+@query()
+def q_score_extractors(spark, sf_dir):
+    e = _examples(spark, sf_dir)
+    none = F.lit(None).cast(e.schema["preds"].dataType)
+    perfect = e.select("id", F.lit("perfect").alias("extractor"), F.col("golds").alias("preds"), "golds")
+    failing = e.select("id", F.lit("failing").alias("extractor"), none.alias("preds"), "golds")
+    return audit.score_runs(e.select("id", F.lit("noisy").alias("extractor"), "preds", "golds").unionByName(perfect).unionByName(failing))
+
+
+@query()
+def q_feedback(spark, sf_dir):
+    return scoring.match_greedy(_examples(spark, sf_dir)).select("id", render.feedback().alias("feedback"))
+
+
+@query()
+def q_validate_labels(spark, sf_dir):
+    return audit.validate_labels(_examples(spark, sf_dir).select(F.col("golds").alias("claims")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, CASE l_partkey % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'inconsistent' ELSE 'unparseable:maybe' END AS before, CASE l_suppkey % 2 WHEN 0 THEN 'consistent' ELSE 'inconsistent' END AS after, l_partkey % 3 = 0 AND l_suppkey % 2 = 1 AS flips FROM lineitem")
+def q_judge_outcomes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    before = F.when(F.col("l_partkey") % 3 == 0, " Consistent").when(F.col("l_partkey") % 3 == 1, "INCONSISTENT\n").otherwise("Maybe ")
+    after = F.when(F.col("l_suppkey") % 2 == 0, "consistent").otherwise(" inconsistent ")
+    return audit.judge_outcomes(li.select("l_orderkey", "l_linenumber", "l_shipdate", before.alias("before"), after.alias("after")))
+
+
+@query()
+def q_judge_inputs(spark, sf_dir):
+    m = audit.judge_inputs(_matches(spark, sf_dir), facts(spark, sf_dir))
+    return m.select("match_id", F.size("evidence").alias("n"), F.element_at("evidence", 1)["value"].alias("first_value"))
+
+
 # ---- rewards and evaluation ----
 
 _COMPL = """(SELECT l_orderkey, l_linenumber, l_shipdate, CASE l_linenumber % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'growth_pct' WHEN 2 THEN 'absolute_change' ELSE 'bps_change' END AS comparison_type,
@@ -525,6 +666,28 @@ def q_budget_cut(spark, sf_dir):
     return runs.within_budget(e, 25, 28, 39.0).select("run", F.col("ord").alias("step"), "processed", "reason")
 
 
+def _planned(spark, sf_dir):
+    x = build(spark, sf_dir, EXTRACTED).withColumnsRenamed({"chunk_id": "accession"}).withColumn("chunk_index", F.col("claim_ord"))
+    chunks = x.select(F.col("ticker").alias("run"), "accession", "chunk_index").distinct()
+    chunks = chunks.withColumns({"failed": F.col("chunk_index") == 3, "elapsed": F.lit(0.0)})
+    return coordinator.plan(chunks, max_chunks=12), x
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT ticker AS run, chunk_id AS accession, claim_ord AS chunk_index FROM {_X}),
+o AS (SELECT *, count(*) FILTER (chunk_index <> 3) OVER (PARTITION BY run ORDER BY accession, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM c)
+SELECT run, accession, chunk_index, CASE WHEN chunk_index = 3 THEN 'failed' ELSE 'done' END AS status FROM o WHERE coalesce(done, 0) < 12""")
+def q_run_state(spark, sf_dir):
+    return coordinator.state_of(_planned(spark, sf_dir)[0])
+
+
+@query()
+def q_run_trace(spark, sf_dir):
+    planned, x = _planned(spark, sf_dir)
+    judged = coordinator.verdicts(planned, x, facts(spark, sf_dir), dic.metrics(spark), dic.ratios(spark))
+    return coordinator.trace(planned, x, judged)
+
+
 @query("SELECT l_orderkey AS accession, l_linenumber AS chunk_index, l_shipdate FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber AND s.l_returnflag = 'A')")
 def q_resume_antijoin(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("chunk_index"), "l_shipdate", F.when(F.col("l_returnflag") == "A", "done").otherwise("failed").alias("status"))

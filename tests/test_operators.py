@@ -1,11 +1,14 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallymark.functions import dictionary, text
-from tallymark.operators import lookup, reconcile, runs, scoring
+from tallymark.functions import dictionary, render, text
+from tallymark.operators import audit, lookup, reconcile, runs, scoring
+from tallymark.plans import coordinator, tools
 from tallymark.schema import CLAIMS, EXTRACTED, FACTS
 from tallymark.sources import filings
+from tallymark.streaming import landing
 
 
 def fact(concept, value, start, end, filed="2023-11-03", accn="a", form="10-K", unit="USD", ord_=1):
@@ -112,3 +115,78 @@ def test_budget_counts_failures_as_calls_only(spark):
     rows = [("r", i, i in (1, 2), float(i)) for i in range(6)]
     got = runs.within_budget(spark.createDataFrame(rows, "run string, ord int, failed boolean, elapsed double"), max_chunks=2).orderBy("ord").collect()
     assert [r.processed for r in got] == [True, True, True, True, False, False] and got[4].reason == "chunks"
+
+
+def test_short_numbers_read_like_printf(spark):
+    values = [0.0, 1.0, 123456.0, 1234567.0, 0.0001, 0.00001234, -2.5, 99.99996, 1e22, 0.1 + 0.2, 100.0, 341004.99, 999999.5]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", render.short(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.v:g}" for r in got]
+
+
+def test_explanations_and_the_tool_surface(spark):
+    t = tools.Tools(spark, spark.createDataFrame(BOOK, FACTS))
+    r = t.reconcile_claim("t", "Revenues", "absolute", 383_285e6, "2023-09-30", period_start="2022-09-25", as_of="2024-01-01").first()
+    assert (r.verdict, r.reason_code, r.citations) == ("consistent", "match", ["a"]) and "383,285,000,000" in r.explanation
+    r = t.reconcile_claim("T", "GrossProfit", "bps_change", 82, "2023-09-30", "2022-09-25", "2022-09-24", "2021-09-26", "Revenues", as_of="2024-01-01").first()
+    assert r.verdict == "consistent" and "82.1 bps" in r.explanation and "43.3096%" in r.explanation
+    assert t.reconcile_claim("T", "Nothing", "absolute", 1, "2023-09-30").first().explanation.endswith("missing fact")
+    assert [r.concept for r in t.list_concepts("t").collect()] == ["GrossProfit", "Revenues", "Twice", "Zero"] and t.get_xbrl_facts("T", ["Zero"]).count() == 2 and t.ping() == "pong"
+
+
+def test_section_tool_gives_error_rows(spark):
+    docs = spark.createDataFrame([("T", "10-K", "a1", "2024-01-01", "<p>none</p>"), ("T", "10-K", "a0", "2023-01-01", "<p>older</p>")], "ticker string, form string, accession_number string, filing_date string, html string")
+    t = tools.Tools(spark, spark.createDataFrame([], FACTS), documents=docs)
+    assert [(r.accession_number, r.error) for r in t.get_mdna("t").collect()] == [("a1", "section not found")]
+    with pytest.raises(ValueError):
+        t.get_mdna("t", "8-K")
+
+
+def test_feedback_and_case_checks(spark):
+    c = lambda m, v, k="absolute", u="USD": (m, float(v), u, "", k, "")
+    rows = [(1, [c("revenue", 10), c("tax", 3)], [c("revenue", 10), c("cash", 4)]), (2, [c("revenue", 10)], [c("revenue", 10)])]
+    m = scoring.match_greedy(spark.createDataFrame(rows, f"id int, preds {EXTRACTED}, golds {EXTRACTED}"))
+    got = {r.id: r for r in m.select("id", render.feedback().alias("f"), audit.all_found(F.col("hits"), F.col("left")).alias("ok"), audit.only_type(F.col("preds"), "absolute").alias("kind"), audit.qualified_apart(F.col("preds"), F.lit("revenue"), F.lit(3.0)).alias("apart")).collect()}
+    assert got[1].f == "1/2 claims found. missed: absolute 'cash' ~4. extra: absolute 'tax' ~3" and not got[1].ok and got[1].kind and got[1].apart
+    assert got[2].ok and not got[2].apart
+
+
+def test_answers_are_read_inside_and_outside_fences(spark):
+    body = '{"claims": [{"metric": "revenue", "value": 1.5, "value_unit": "USD", "period": "", "comparison_type": "absolute", "quote": "q"}]}'
+    rows = [(0, body, 1), (1, f"```json\n{body}\n```", 1), (2, f" ```\n{body}\n```\nas asked", 1), (3, "no json", None), (4, None, None)]
+    df = spark.createDataFrame(rows, "i int, t string, n int").select("n", F.when(render.parse_answer(F.col("t")).isNotNull(), F.size(render.parse_answer(F.col("t")))).alias("g"))
+    assert all(r.n == r.g for r in df.collect())
+
+
+def test_quotes_and_no_break_spaces(spark):
+    chunks = spark.createDataFrame([("a", 0, "net sales rose")], "accession string, chunk_index int, text string")
+    labels = spark.createDataFrame([("a", 0, "net sales"), ("a", 0, "fell"), ("b", 0, "net sales"), ("a", 0, None)], "accession string, chunk_index int, quote string")
+    assert sorted(r.found for r in audit.check_quotes(labels, chunks).collect()) == [False, False, False, True]
+
+
+def test_stale_state(spark):
+    side = lambda *names: spark.createDataFrame([(n,) for n in names], "accession string")
+    stale = lambda a, b: runs.is_stale(a, b).first().stale
+    assert not stale(side("a", "b", "a"), side("b", "a")) and stale(side("a"), side("a", "b")) and stale(side("a", "b"), side("a")) and not stale(side(), side())
+
+
+def test_run_stops_resumes_and_traces(spark):
+    chunks = spark.createDataFrame([("r", "a", i, i == 1, 0.0) for i in range(4)], "run string, accession string, chunk_index int, failed boolean, elapsed double")
+    first = coordinator.plan(chunks, max_chunks=2)
+    state = coordinator.state_of(first)
+    assert {(r.chunk_index, r.status) for r in state.collect()} == {(0, "done"), (1, "failed"), (2, "done")}
+    again = coordinator.plan(chunks.withColumn("failed", F.lit(False)), state)
+    assert {r.chunk_index for r in again.where("processed").collect()} == {1, 3}
+    claims = spark.createDataFrame([("a", 0, "c1", 0, "revenue", 5.0, "USD", "consistent")], "accession string, chunk_index int, claim_id string, claim_ord int, metric string, value double, value_unit string, verdict string")
+    log = [(r.step, r.action) for r in coordinator.trace(first, claims, claims).orderBy("step").collect()]
+    assert log == list(enumerate(["extract", "verify", "claim_verdict", "extract", "extraction_failed", "extract", "skip_empty_chunk", "budget_exceeded"], 1))
+    r = coordinator.report(first, claims).first()
+    assert r.partial and r.partial_reason == "chunks" and (r.consistent, r.inconsistent, r.unverifiable) == (1, 0, 0)
+
+
+def test_stream_appends_new_files_only(spark, tmp_path):
+    src, out, ck = (f"file://{tmp_path}/{n}" for n in ("in", "out", "ck"))
+    go = lambda: landing.append_batches(landing.landed(spark, src, "k int", 1), lambda b: b.withColumn("twice", F.col("k") * 2), out, ck).awaitTermination()
+    for round_ in range(2):
+        spark.createDataFrame([(round_,)], "k int").coalesce(1).write.mode("append").parquet(src)
+        go()
+    assert sorted((r.k, r.twice) for r in spark.read.parquet(out).collect()) == [(0, 0), (1, 2)]
