@@ -190,3 +190,16 @@ def test_stream_appends_new_files_only(spark, tmp_path):
         spark.createDataFrame([(round_,)], "k int").coalesce(1).write.mode("append").parquet(src)
         go()
     assert sorted((r.k, r.twice) for r in spark.read.parquet(out).collect()) == [(0, 0), (1, 2)]
+
+
+def test_extractor_scores_label_checks_and_judge_inputs(spark):
+    c = lambda m, v: (m, v, "USD", "", "absolute", "")
+    rows = [("x", 1, [c("revenue", 10.0)], [c("revenue", 10.0), c("cash", 4.0)]), ("x", 2, None, [c("tax", 3.0)]), ("y", 1, [c("debt", 1.0)], [])]
+    df = spark.createDataFrame(rows, f"extractor string, id int, preds {EXTRACTED}, golds {EXTRACTED}")
+    got = {r.extractor: (r.tp, r.fp, r.fn, r.failed, r.p, r.r) for r in audit.score_runs(df).collect()}
+    assert got == {"x": (1, 0, 2, 1, 1.0, 1 / 3), "y": (0, 1, 0, 0, 0.0, 1.0)}
+    labels = spark.createDataFrame([([c("a", 1.0), c("b", None)],), ([],), (None,)], f"claims {EXTRACTED}")
+    assert tuple(audit.validate_labels(labels).first()) == (3, 2, 2, 1)
+    matches = spark.createDataFrame([("m", "T", "Revenues", "2022-09-25", "2023-09-30"), ("n", "T", "None", None, "2023-09-30")], "match_id string, ticker string, concept string, period_start string, period_end string")
+    got = {r.match_id: [e.value for e in r.evidence] for r in audit.judge_inputs(matches, spark.createDataFrame(BOOK, FACTS)).collect()}
+    assert got == {"m": [383_285e6, 380_000e6], "n": []}
