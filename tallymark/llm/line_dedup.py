@@ -3,9 +3,10 @@
 Lines are the \\n-separated parts that hold a word; A-Z count as lower case.  Two lines are alike if their sets
 of SHINGLE-byte shingles have a Jaccard similarity of SIMILARITY or more (lines shorter than a
 shingle: if they are equal).  Signatures are one-permutation MinHashes of BANDS x ROWS bins with empty bins
-filled from their neighbours; lines that meet in a band are paired with one line of the band and with the next
-one, never all with all.  Pairs are verified on the whole lines; each component keeps its first
-line by (doc_id, line number) and the others are removed.
+filled from their neighbours; lines that meet in a band are first paired with one line of the band and with the next
+one.  Pairs are verified on the whole lines and joined by union-find; bands that then still touch several components
+compare their members of different components, block by block, so that no pair that meets in a band and
+joins two components is lost.  Each component keeps its first line by (doc_id, line number) and the others are removed.
 
 Equal lines are one before any of this (partial aggregation), so a very common line costs no more than its scan.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,6 +34,8 @@ SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 BROADCAST_ROWS = 1_000_000
+#: Bytes of the lines of a block and of a task (a line counts LINE_COST more); dense cells of a block comparison.
+BLOCK_BYTES, TASK_BYTES, LINE_COST, CELLS = 1 << 18, 8 << 20, 256, 1 << 22
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -107,7 +110,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Pairs (a, b) of line hashes that meet in a band."""
+    """Pairs (a, b) of line hashes that meet in a band, and (key, a) of every member of a band of three or more."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +149,16 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
         rest = np.flatnonzero(~begin)
         a, b = np.concatenate([head[rest], name[rest - 1]]), np.concatenate([name[rest], name[rest]])
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-        return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
+        first = np.flatnonzero(begin)
+        size = np.diff(np.append(first, len(key)))
+        many = np.repeat(size > 2, size)
+        none = pa.nulls(len(pairs), pa.int64())
+        found = pa.table({"key": none, "a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
+        more = pa.table({"key": key[many].view(np.int64), "a": name[many].view(np.int64), "b": pa.nulls(int(many.sum()), pa.int64())})
+        return pa.concat_tables([found, more])
 
     dealt = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(bands, "p int, blob binary")
-    return dealt.groupBy("p").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("p").applyInArrow(meet, "key long, a long, b long")
 
 
 def _sorted_shingles(line: bytes) -> np.ndarray:
@@ -157,8 +166,8 @@ def _sorted_shingles(line: bytes) -> np.ndarray:
     return np.unique(np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,)))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs of line hashes whose lines are alike, by exact Jaccard similarity on the whole lines."""
+def bodies(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h, body of the lines in the pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h")
     ids = cut(ids.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("wanted")), "wanted")
     few = ids.count() <= BROADCAST_ROWS // 4  # a checked size; else the texts meet the wanted lines in a shuffle
@@ -174,7 +183,11 @@ def verify(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lines, pa.binary())], names=["h", "body"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").select("text", "wanted")
-    lines = cut(rows.mapInArrow(pick, "h long, body binary").dropDuplicates(["h"]), "lines")
+    return cut(rows.mapInArrow(pick, "h long, body binary").dropDuplicates(["h"]), "lines")
+
+
+def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs of line hashes whose lines are alike, by exact Jaccard similarity on the whole lines."""
     both = pairs.join(lines.withColumnsRenamed({"h": "b", "body": "lb"}), "b").join(lines.withColumnsRenamed({"h": "a", "body": "la"}), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +207,93 @@ def verify(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(test, "a long, b long")
 
 
+def _common(sets: list[np.ndarray], n_left: int) -> np.ndarray:
+    """Numbers of shingles that the first n_left sets have in common with the others."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    row, col = row[shared], (np.cumsum(count > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n_left, len(sets) - n_left), np.float64)
+    n_cols = int(col[-1]) + 1 if len(col) else 0
+    width = min(max(1, CELLS // len(sets)), n_cols)
+    for c in range(0, n_cols, max(width, 1)):
+        i, j = np.searchsorted(col, [c, c + width])
+        cells = np.zeros((len(sets), width), np.float32)
+        cells[row[i:j], col[i:j] - c] = 1
+        out += cells[:n_left] @ cells[n_left:].T
+    return out
+
+
+def across(members: DataFrame, lines: DataFrame, group: DataFrame, n_parts: int) -> DataFrame:
+    """Pairs (a, b) of components that have like lines in a band; members: key, a.
+
+    A band is cut into blocks of bounded bytes and every two blocks meet in a group of their own, so a large band is
+    compared in many tasks.
+    """
+    sized = lines.select(F.col("h"), (F.length("body") + LINE_COST).cast("long").alias("cost"))
+    named = members.join(group, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("h"), F.coalesce("component", "a").alias("c"))
+    band = Window.partitionBy("key")
+    mixed = named.withColumn("least", F.min("c").over(band)).withColumn("most", F.max("c").over(band)).where("least <> most")
+    # bands with the same members are one; a clash of these hashes only makes a band larger
+    mixed = mixed.select(F.bit_xor(F.xxhash64("h")).over(band).alias("key"), "h", "c").dropDuplicates(["key", "h"])
+    upto = band.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = mixed.join(sized, "h").withColumn("block", F.floor((F.sum("cost").over(upto) - F.col("cost")) / BLOCK_BYTES).cast("int"))
+    blocks = blocks.withColumn("last", F.max("block").over(band))
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    met = cut(blocks.select("key", "h", "c", "cost", "block", other).select("key", "h", "c", "cost", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "blocks")
+    n = max(n_parts, (met.agg(F.sum("cost")).first()[0] or 0) // TASK_BYTES)
+
+    def test(table: pa.Table) -> pa.Table:
+        key, h, c, block = (table.column(x).to_numpy() for x in ("key", "h", "c", "block"))
+        order = np.lexsort((h, block, key))
+        key, h, c, block = key[order], h[order], c[order], block[order]
+        place = order.tolist()
+        body, shingles = table.column("body"), {}
+        for x, i in zip(h.tolist(), place, strict=True):
+            if x not in shingles:
+                shingles[x] = _sorted_shingles(body[i].as_py())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        a, b = [], []
+        for first, end in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True):
+            left = slice(first, first + int((block[first:end] == i).sum()))
+            right = left if i == j else slice(left.stop, end)
+            differ = c[left, None] != c[None, right]
+            if not differ.any():
+                continue
+            x, y = ([shingles[v] for v in h[s].tolist()] for s in (left, right))
+            nx, ny = (np.array([len(v) for v in s], np.float64) for s in (x, y))
+            common = _common(x + y, len(x))
+            p, q = np.nonzero(differ & (common >= SIMILARITY * (nx[:, None] + ny[None, :] - common)))
+            a.append(c[left][p])
+            b.append(c[right][q])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    full = met.join(lines, "h").select("key", "h", "c", "block", "i", "j", "body")
+    return full.groupBy(F.pmod("key", F.lit(n)).alias("p"), "i", "j").applyInArrow(test, "a long, b long").distinct()
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id and the numbers of the lines to remove (one row per document that loses a line)."""
     n_parts = parts(docs)
     occ = cut(occurrences(docs), "occurrences")
     firsts = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts.select("h", "first.doc_id", "first.line", "n"), "firsts")
-    pairs = cut(candidates(docs, n_parts), "pairs")
-    links = cut(verify(docs, pairs, firsts.select("h", "doc_id", "line")), "links")
-    group = components(links)
+    met = cut(candidates(docs, n_parts), "met")
+    pairs = cut(met.where("key is null").select("a", "b").distinct(), "pairs")
+    lines = bodies(docs, pairs, firsts.select("h", "doc_id", "line"))
+    group = components(cut(verify(pairs, lines), "links"))
+    # bands of three or more that still touch several components
+    more = cut(across(met.where("key is not null").select("key", "a"), lines, group, n_parts), "links")
+    if not more.isEmpty():
+        joined = cut(components(more).withColumnsRenamed({"node": "root", "component": "least"}), "joined")
+        known = group.join(joined, F.col("component") == F.col("root"), "left").select("node", F.coalesce("least", "component").alias("component"))
+        alone = joined.join(group, F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("least").alias("component"))
+        group = known.unionByName(alone)
     # only lines that occur again or have a like: the rest needs no join
     fuzzy = firsts.join(group, F.col("h") == F.col("node")).select("h", F.col("component").alias("root"), "doc_id", "line")
     keep = fuzzy.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("keep"))

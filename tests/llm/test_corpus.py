@@ -127,6 +127,36 @@ def test_line_dedup(docs, rows):
     assert same >= 0.995 * len(want)  # banding has a recall just under 1
 
 
+def lines_left(texts):
+    """The texts with the first line of each component of like lines, by all pairs; one line a text, all of 8 bytes or more."""
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in (t.lower().encode() for t in texts)]
+    root = list(range(len(texts)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if len(x & y) >= 0.8 * len(x | y):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return [t if root[i] == i else "" for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block", [line_dedup.BLOCK_BYTES, 20_000])
+def test_line_dedup_joins_all_variants_of_a_line(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", block)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(40)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        own = list(base)
+        for i in r.sample(range(40), 2):
+            own[i] = word()
+        texts.append(" ".join(own))
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x.text for x in line_dedup.without_repeats(df).orderBy("doc_id").collect()]
+    assert got == lines_left(texts)
+
+
 def test_language_and_quality_on_held_out_rows(spark, docs):
     lang = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     labels = spark.read.parquet(f"{SF}/labels.parquet")
