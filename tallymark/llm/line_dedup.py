@@ -195,9 +195,6 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_py(), y.as_py()
-                if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) / 4:
-                    ok.append(False)
-                    continue
                 sx, sy = _sorted_shingles(x), _sorted_shingles(y)
                 merged = np.sort(np.concatenate([sx, sy]), kind="stable")
                 common = int((merged[1:] == merged[:-1]).sum())

@@ -157,6 +157,13 @@ def test_line_dedup_joins_all_variants_of_a_line(spark, monkeypatch, block):
     assert got == lines_left(texts)
 
 
+def test_line_dedup_of_repeated_content(spark):
+    texts = ["-" * 10, "-" * 80, "ab" * 6, "ab" * 60, "something else that stands alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x.text for x in line_dedup.without_repeats(df).orderBy("doc_id").collect()]
+    assert got == lines_left(texts) == [texts[0], "", texts[2], "", texts[4]]
+
+
 def test_language_and_quality_on_held_out_rows(spark, docs):
     lang = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     labels = spark.read.parquet(f"{SF}/labels.parquet")
