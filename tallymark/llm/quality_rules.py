@@ -1,12 +1,18 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
-Each document gets integer measures.  A mergeable quantile sketch per language and
-source counts their values in buckets whose width grows with the value (a relative error of
-at most 1/32), so two sketches merge by adding counts and the result does not depend on
-the order of merging.  Quartiles of the sketch give an upper fence Q3 + 3 (Q3 - Q1) per
-group; a group of fewer than `least` documents takes its language's merged sketch, a language
-with fewer the one of all.  Fences never fall under documented floors, so that a group of
-uniformly clean documents rejects nobody for a trifle.
+Each document gets whole-number measures.  A mergeable quantile sketch per language and source counts their
+values in buckets (exact under 1024, a relative error of at most 1/512 above), so two sketches merge by adding counts and the
+result does not depend on the order of merging.  All thresholds are quantiles of these sketches; none is fixed:
+
+    fence = median + REACH * max(spread, width of the bucket at the median)
+
+The spread is the largest of Q50 - Q25 in the group's own, its language's and the whole sketch: the lower half of a
+distribution, which junk above the median can't widen until it is half of the group.  Where all three are zero (a measure that is zero for
+most documents) it is half of the least Q90 - Q50 of the three.  The median is the group's own; a group of fewer than
+`least` documents takes its language's sketch, a language with fewer the whole one.
+
+Symbols, repeated words and repeated lines count in excess of two chance events (two symbols, two windows met twice, two lines),
+so that a fence of zero does not turn a single accident into a verdict.
 
 Defined results for odd input: a null or empty text has no words and fails the base rule;
 null languages and sources are groups of their own; repeated rows count each; an empty table
@@ -23,10 +29,11 @@ from .textkit import WORD
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("symbols", "repeats", "lines", "long", "short")
-#: Smallest fences: symbols, repeated words and repeated lines in thousandths of word characters,
-#: words and lines; mean word length in hundredths above (long) or below (short) an even 20 characters.
-FLOORS = {"symbols": 60, "repeats": 250, "lines": 400, "long": 1000, "short": 1750}
-LEAST = 50
+#: Events that may be chance: symbols, words of repeated windows, repeated lines.
+CHANCE = {"symbols": 2, "repeats": 12, "lines": 2}
+#: Spreads from the median to the fence; Q50 - Q25 is 0.67 standard deviations of a normal distribution.
+REACH = 8
+LEAST = 20
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -37,16 +44,21 @@ def _let(value: str, name: str, body: str) -> str:
 def _repeat_words() -> str:
     """Words in 3-word windows that occur twice or more.
 
-    A window is one long: its hash shifted left over as many bits as positions need, then its position;
-    one primitive sort brings equal windows together, a second puts their positions in order, and each
-    position adds the words up to the next one, three at most.
+    A window is one long: its hash shifted left over as many bits as positions need, then its position; one
+    primitive sort brings windows together that may be equal.  These alone are sorted by their full hashes and compared
+    word by word; their positions in order then each add the words up to the next one, three at most.
     """
-    same = "((j > 0 and shiftright(p[j], b) = shiftright(p[j - 1], b)) or (j < size(p) - 1 and shiftright(p[j], b) = shiftright(p[j + 1], b)))"
-    added = "3L + aggregate(sequence(1, size(r) - 1), 0L, (a, j) -> a + least(3L, r[j] - r[j - 1]))"
-    positions = f"sort_array(transform(filter(sequence(0, size(p) - 1), j -> {same}), j -> p[j] & (shiftleft(1L, b) - 1L)))"
+    near = "((j > 0 and shiftright(p[j], b) = shiftright(p[j - 1], b)) or (j < size(p) - 1 and shiftright(p[j], b) = shiftright(p[j + 1], b)))"
     packed = "sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | cast(i as bigint)))"
+    maybe = f"transform(filter(sequence(0, size(p) - 1), j -> {near}), j -> cast(p[j] & (shiftleft(1L, b) - 1L) as int))"
+    hashed = "sort_array(transform(c, i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'i', i)))"
+    equal = lambda x, y: f"(s[{x}].h = s[{y}].h and w[s[{x}].i] = w[s[{y}].i] and w[s[{x}].i + 1] = w[s[{y}].i + 1] and w[s[{x}].i + 2] = w[s[{y}].i + 2])"
+    same = f"((k > 0 and {equal('k', 'k - 1')}) or (k < size(s) - 1 and {equal('k', 'k + 1')}))"
+    positions = f"sort_array(transform(filter(sequence(0, size(s) - 1), k -> {same}), k -> cast(s[k].i as bigint)))"
+    added = "3L + aggregate(sequence(1, size(r) - 1), 0L, (a, j) -> a + least(3L, r[j] - r[j - 1]))"
     counted = _let(positions, "r", f"if(size(r) < 2, 0L, {added})")
-    inner = _let(packed, "p", counted)
+    verified = f"if(size(c) < 2, 0L, {_let(hashed, 's', counted)})"
+    inner = _let(packed, "p", _let(maybe, "c", verified))
     return f"if(size(w) < 4, 0L, {_let('length(bin(cast(size(w) as bigint)))', 'b', inner)})"
 
 
@@ -69,15 +81,23 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _values() -> dict[str, str]:
-    length = "try_divide(100 * word_chars, n_words)"
-    share = lambda a, b: f"coalesce(cast(floor(try_divide(1000.0D * {a}, {b})) as bigint), 0L)"
-    mean = f"coalesce(cast(floor({length}) as bigint), 0L)"
-    return {"symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "long": mean, "short": f"greatest(0L, 2000L - {mean})"}
+    """Shares in thousandths of word characters, words and lines; mean word length in hundredths, above and below."""
+    share = lambda a, b: f"coalesce(cast(floor(try_divide(1000.0D * greatest({a}, 0L), {b})) as bigint), 0L)"
+    mean = "coalesce(cast(floor(try_divide(100 * word_chars, n_words)) as bigint), 0L)"
+    return {
+        "symbols": share(f"n_symbols - {CHANCE['symbols']}", "word_chars"), "repeats": share(f"n_repeat_words - {CHANCE['repeats']}", "n_words"),
+        "lines": share(f"n_dup_lines - {CHANCE['lines']}", "n_lines"), "long": mean, "short": f"greatest(0L, 2000L - {mean})",
+    }
+
+
+def _width(v: str) -> str:
+    """Width of the sketch bucket of a non-negative whole number."""
+    return f"shiftleft(1L, greatest(0, length(bin({v})) - 10))"
 
 
 def _bucket(v: str) -> str:
-    """Lower end of the sketch bucket of a non-negative whole number."""
-    return f"if({v} < 64, {v}, shiftleft(shiftright({v}, length(bin({v})) - 6), length(bin({v})) - 6))"
+    """Lower end of that bucket."""
+    return f"{v} - {v} % {_width(v)}"
 
 
 def sketches(base: DataFrame) -> DataFrame:
@@ -88,30 +108,34 @@ def sketches(base: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, source and a struct of fences, from a group's own sketch or a merged one."""
+    """lang, source and a fence per measure, from the group's own sketch and the merged ones."""
     levels = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
     found = None
     for level, keys in levels.items():
         merged = sketch.groupBy(*keys, "measure", "low").agg(F.sum("n").alias("n"))
         part = ", ".join([*keys, "measure"])
         cum = merged.select("*", F.expr(f"sum(n) over (partition by {part} order by low)").alias("upto"), F.expr(f"sum(n) over (partition by {part})").alias("total"))
-        quart = cum.groupBy(*keys, "measure").agg(
-            F.max("total").alias(f"n_{level}"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("low"))).alias("q1"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("low"))).alias("q3"),
-        )
-        quart = quart.select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.col("measure").alias(f"measure_{level}"), f"n_{level}", (4 * F.col("q3") - 3 * F.col("q1")).alias(f"f_{level}"))
+        at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("low")))
+        quant = cum.groupBy(*keys, "measure").agg(F.max("total").alias(f"n_{level}"), at(25).alias("q25"), at(50).alias(f"mid_{level}"), at(90).alias("q90"))
+        quant = quant.select(
+            *[F.col(k).alias(f"{k}_{level}") for k in keys], F.col("measure").alias(f"measure_{level}"), f"n_{level}", f"mid_{level}",
+            (F.col(f"mid_{level}") - F.col("q25")).alias(f"below_{level}"), (F.col("q90") - F.col(f"mid_{level}")).alias(f"above_{level}"),
+        )
         if found is None:
-            found = quart
+            found = quant
         else:
             on = F.col("measure_own") == F.col(f"measure_{level}")
             for k in keys:
                 on = on & F.col(f"{k}_own").eqNullSafe(F.col(f"{k}_{level}"))
-            found = found.join(quart, on)
-    fence = F.when(F.col("n_own") >= least, F.col("f_own")).when(F.col("n_lang") >= least, F.col("f_lang")).otherwise(F.col("f_all"))
-    floors = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
-    found = found.select("lang_own", "source_own", "measure_own", F.greatest(fence, floors[F.col("measure_own")]).alias("fence"))
-    return found.groupBy("lang_own", "source_own").agg(*[F.max(F.when(F.col("measure_own") == m, F.col("fence"))).alias(f"fence_{m}") for m in MEASURES])
+            found = found.join(quant, on)
+    own, lang = F.col("n_own") >= least, F.col("n_lang") >= least
+    nearest = lambda x: F.when(own, F.col(f"{x}_own")).when(lang, F.col(f"{x}_lang")).otherwise(F.col(f"{x}_all"))
+    middle = nearest("mid")
+    below = F.greatest(nearest("below"), F.when(lang, F.col("below_lang")), F.col("below_all"))
+    above = F.least(nearest("above"), F.when(lang, F.col("above_lang")), F.col("above_all"))
+    found = found.select("lang_own", "source_own", "measure_own", middle.alias("middle"), F.when(below > 0, below).otherwise(F.floor(above / 2)).alias("spread"))
+    fence = F.col("middle") + REACH * F.greatest(F.col("spread"), F.expr(_width("middle")))
+    return found.groupBy("lang_own", "source_own").agg(*[F.max(F.when(F.col("measure_own") == m, fence)).alias(f"fence_{m}") for m in MEASURES])
 
 
 def apply_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -149,24 +173,29 @@ WITH w AS (
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM w LEFT JOIN repw USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), vals AS (
-  SELECT *, CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_symbols // word_chars END AS symbols, CASE WHEN n_words = 0 THEN 0 ELSE 1000 * n_repeat_words // n_words END AS repeats,
-    CASE WHEN n_lines = 0 THEN 0 ELSE 1000 * n_dup_lines // n_lines END AS lines, CASE WHEN n_words = 0 THEN 0 ELSE 100 * word_chars // n_words END AS long FROM base
+  SELECT *, CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * greatest(n_symbols - 2, 0) // word_chars END AS symbols,
+    CASE WHEN n_words = 0 THEN 0 ELSE 1000 * greatest(n_repeat_words - 12, 0) // n_words END AS repeats,
+    CASE WHEN n_lines = 0 THEN 0 ELSE 1000 * greatest(n_dup_lines - 2, 0) // n_lines END AS lines, CASE WHEN n_words = 0 THEN 0 ELSE 100 * word_chars // n_words END AS long FROM base
 ), full_vals AS (SELECT *, greatest(0, 2000 - long) AS short FROM vals
 ), unp AS (
   SELECT doc_id, lang, source, 'symbols' AS m, symbols AS v FROM full_vals UNION ALL SELECT doc_id, lang, source, 'repeats', repeats FROM full_vals
   UNION ALL SELECT doc_id, lang, source, 'lines', lines FROM full_vals UNION ALL SELECT doc_id, lang, source, 'long', long FROM full_vals
   UNION ALL SELECT doc_id, lang, source, 'short', short FROM full_vals
 ), buck AS (
-  SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS low FROM unp
+  SELECT *, v - v % (1 << greatest(0, length(bin(v)) - 10)) AS low FROM unp
 ), q AS (
   SELECT DISTINCT lang, source, m,
-    quantile_disc(low, 0.25) OVER (PARTITION BY lang, source, m) AS a1, quantile_disc(low, 0.75) OVER (PARTITION BY lang, source, m) AS a3, count(*) OVER (PARTITION BY lang, source, m) AS na,
-    quantile_disc(low, 0.25) OVER (PARTITION BY lang, m) AS b1, quantile_disc(low, 0.75) OVER (PARTITION BY lang, m) AS b3, count(*) OVER (PARTITION BY lang, m) AS nb,
-    quantile_disc(low, 0.25) OVER (PARTITION BY m) AS c1, quantile_disc(low, 0.75) OVER (PARTITION BY m) AS c3
+    quantile_disc(low, 0.25) OVER (PARTITION BY lang, source, m) AS a1, quantile_disc(low, 0.5) OVER (PARTITION BY lang, source, m) AS a2, quantile_disc(low, 0.9) OVER (PARTITION BY lang, source, m) AS a3,
+    quantile_disc(low, 0.25) OVER (PARTITION BY lang, m) AS b1, quantile_disc(low, 0.5) OVER (PARTITION BY lang, m) AS b2, quantile_disc(low, 0.9) OVER (PARTITION BY lang, m) AS b3,
+    quantile_disc(low, 0.25) OVER (PARTITION BY m) AS c1, quantile_disc(low, 0.5) OVER (PARTITION BY m) AS c2, quantile_disc(low, 0.9) OVER (PARTITION BY m) AS c3,
+    count(*) OVER (PARTITION BY lang, source, m) >= 20 AS own, count(*) OVER (PARTITION BY lang, m) >= 20 AS by_lang
   FROM buck
+), near AS (
+  SELECT lang, source, m, CASE WHEN own THEN a2 WHEN by_lang THEN b2 ELSE c2 END AS middle,
+    greatest(CASE WHEN own THEN a2 - a1 WHEN by_lang THEN b2 - b1 ELSE c2 - c1 END, CASE WHEN by_lang THEN b2 - b1 ELSE 0 END, c2 - c1) AS below,
+    least(CASE WHEN own THEN a3 - a2 WHEN by_lang THEN b3 - b2 ELSE c3 - c2 END, CASE WHEN by_lang THEN b3 - b2 ELSE c3 - c2 END, c3 - c2) AS above FROM q
 ), fence AS (
-  SELECT lang, source, m, greatest(CASE WHEN na >= 50 THEN 4 * a3 - 3 * a1 WHEN nb >= 50 THEN 4 * b3 - 3 * b1 ELSE 4 * c3 - 3 * c1 END,
-    CASE m WHEN 'symbols' THEN 60 WHEN 'repeats' THEN 250 WHEN 'lines' THEN 400 WHEN 'long' THEN 1000 ELSE 1750 END) AS f FROM q
+  SELECT lang, source, m, middle + 8 * greatest(CASE WHEN below > 0 THEN below ELSE above // 2 END, 1 << greatest(0, length(bin(middle)) - 10)) AS f FROM near
 ), verdict AS (
   SELECT doc_id, bool_and(v <= f) AS within FROM unp JOIN fence ON unp.m = fence.m AND unp.lang IS NOT DISTINCT FROM fence.lang AND unp.source IS NOT DISTINCT FROM fence.source GROUP BY doc_id
 )
