@@ -6,10 +6,10 @@ result does not depend on the order of merging.  All thresholds are quantiles of
 
     fence = median + REACH * max(spread, width of the bucket at the median)
 
-The spread is the largest of Q50 - Q25 in the group's own, its language's and the whole sketch: the lower half of a
-distribution, which junk above the median can't widen until it is half of the group.  Where all three are zero (a measure that is zero for
-most documents) it is half of the least Q90 - Q50 of the three.  The median is the group's own; a group of fewer than
-`least` documents takes its language's sketch, a language with fewer the whole one.
+The spread is Q50 - Q25, the lower half of a distribution, which junk above the median can't widen until it is half of the
+group; a group takes at least the median spread of its language's groups, so that a group full of copies of one document is not too narrow.
+Where that is zero (a measure that is zero for most documents) it is half of the least Q90 - Q50 of the group, its language and
+the whole.  A group of fewer than `least` documents takes its language's merged sketch, a language with fewer the whole one.
 
 Symbols, repeated words and repeated lines count in excess of two chance events (two symbols, two windows met twice, two lines),
 so that a fence of zero does not turn a single accident into a verdict.
@@ -131,7 +131,10 @@ def fences(sketch: DataFrame, least: int = LEAST) -> DataFrame:
     own, lang = F.col("n_own") >= least, F.col("n_lang") >= least
     nearest = lambda x: F.when(own, F.col(f"{x}_own")).when(lang, F.col(f"{x}_lang")).otherwise(F.col(f"{x}_all"))
     middle = nearest("mid")
-    below = F.greatest(nearest("below"), F.when(lang, F.col("below_lang")), F.col("below_all"))
+    pooled = found.where(own).groupBy("lang_own", "measure_own").agg(F.expr("percentile_disc(0.5) within group (order by below_own)").alias("pooled"))
+    pooled = pooled.withColumnsRenamed({"lang_own": "lang_pooled", "measure_own": "measure_pooled"})
+    found = found.join(pooled, F.col("lang_own").eqNullSafe(F.col("lang_pooled")) & (F.col("measure_own") == F.col("measure_pooled")), "left")
+    below = F.when(own, F.greatest("below_own", "pooled")).otherwise(nearest("below"))
     above = F.least(nearest("above"), F.when(lang, F.col("above_lang")), F.col("above_all"))
     found = found.select("lang_own", "source_own", "measure_own", middle.alias("middle"), F.when(below > 0, below).otherwise(F.floor(above / 2)).alias("spread"))
     fence = F.col("middle") + REACH * F.greatest(F.col("spread"), F.expr(_width("middle")))
@@ -190,10 +193,12 @@ WITH w AS (
     quantile_disc(low, 0.25) OVER (PARTITION BY m) AS c1, quantile_disc(low, 0.5) OVER (PARTITION BY m) AS c2, quantile_disc(low, 0.9) OVER (PARTITION BY m) AS c3,
     count(*) OVER (PARTITION BY lang, source, m) >= 20 AS own, count(*) OVER (PARTITION BY lang, m) >= 20 AS by_lang
   FROM buck
+), pooled AS (
+  SELECT lang, m, quantile_disc(a2 - a1, 0.5) AS p FROM q WHERE own GROUP BY lang, m
 ), near AS (
-  SELECT lang, source, m, CASE WHEN own THEN a2 WHEN by_lang THEN b2 ELSE c2 END AS middle,
-    greatest(CASE WHEN own THEN a2 - a1 WHEN by_lang THEN b2 - b1 ELSE c2 - c1 END, CASE WHEN by_lang THEN b2 - b1 ELSE 0 END, c2 - c1) AS below,
-    least(CASE WHEN own THEN a3 - a2 WHEN by_lang THEN b3 - b2 ELSE c3 - c2 END, CASE WHEN by_lang THEN b3 - b2 ELSE c3 - c2 END, c3 - c2) AS above FROM q
+  SELECT q.lang, source, q.m, CASE WHEN own THEN a2 WHEN by_lang THEN b2 ELSE c2 END AS middle,
+    CASE WHEN own THEN greatest(a2 - a1, p) WHEN by_lang THEN b2 - b1 ELSE c2 - c1 END AS below,
+    least(CASE WHEN own THEN a3 - a2 WHEN by_lang THEN b3 - b2 ELSE c3 - c2 END, CASE WHEN by_lang THEN b3 - b2 ELSE c3 - c2 END, c3 - c2) AS above FROM q LEFT JOIN pooled ON q.lang IS NOT DISTINCT FROM pooled.lang AND q.m = pooled.m
 ), fence AS (
   SELECT lang, source, m, middle + 8 * greatest(CASE WHEN below > 0 THEN below ELSE above // 2 END, 1 << greatest(0, length(bin(middle)) - 10)) AS f FROM near
 ), verdict AS (
