@@ -175,12 +175,26 @@ def test_token_counts_are_the_library_s(odd):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path())
-    machine = token_counts.Transducer(tokenizer_path())
+    machine = token_counts.TextMachine(tokenizer_path())
+    number = lambda s: len(tk.encode(s, add_special_tokens=False).ids)
     r = random.Random(3)
-    pool = [*"aAbe'stdremvl  \n\t\r\x0b\x1c\x1f\x85  　1½é中\U0001f642.,$#<|>", "<|endoftext|>", "'re", "'ll"]
+    pool = [*"aAbe'stdremvl  \n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u30001½é中\U0001f642.,$#<|>", "<|endoftext|>", "'re", "'ll", "   "]
+    draw = lambda: "".join(r.choice(pool) for _ in range(r.randint(0, 40)))
     for _ in range(2000):
-        s = "".join(r.choice(pool) for _ in range(r.randint(0, 40)))
-        assert machine.count(s) == len(tk.encode(s, add_special_tokens=False).ids)
+        s = draw()
+        state, n = machine.advance(token_counts.START, s)  # a character at a time, by arrays, and by maps of random chunks
+        assert n + machine.end(state) == machine.whole(s) == machine.count(s, r.randint(1, 9)) == number(s)
+    for _ in range(60):  # a text cut at every position; four chunks composed in both orders
+        s = draw()
+        cuts = sorted(r.randint(0, len(s)) for _ in range(3))
+        a, b, c, d = (machine.chunk(s[i:j]) for i, j in zip([0, *cuts], [*cuts, len(s)], strict=True))
+        two = machine.compose
+        for m in [two(machine.chunk(s[:i]), machine.chunk(s[i:])) for i in range(len(s) + 1)] + [two(two(a, b), two(c, d)), two(a, two(b, two(c, d)))]:
+            state, n = machine.apply(m, token_counts.START)
+            assert n + machine.end(state) == number(s)
+    some = [draw() for _ in range(300)]
+    machine.tokens.reset()  # numbers of states are not part of a state
+    assert [machine.whole(s) for s in some] == [number(s) for s in some]
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(odd, tokenizer_path()).collect())
     assert got == sorted((d or 0, len((t or "").encode()), len(tk.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in ODD)
 
