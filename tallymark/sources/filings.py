@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FACT_COLUMNS
+from ..workers import ship
 
 _ENTRY = "struct<start:string,end:string,val:double,fy:int,fp:string,form:string,filed:string,accn:string>"
 COMPANY_FACTS = f"struct<cik:string,facts:map<string,map<string,struct<label:string,units:map<string,array<{_ENTRY}>>>>>>"
@@ -147,6 +148,7 @@ def paragraphs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([leaf_blocks(h) for h in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=[key, "lines"])
 
     kind = dict(pages.dtypes)[key]
+    ship(pages.sparkSession)
     return pages.select(key, html).mapInArrow(scan, f"`{key}` {kind}, lines array<string>").select(key, F.posexplode("lines").alias("pos", "text"))
 
 
