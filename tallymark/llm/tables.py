@@ -4,27 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
 
-_SHIPPED: set[str] = set()
+#: Groups that one shuffle is dealt to at most; a group then grows with the input, 16 MB at 1 PB.
+MOST_PARTS = 1 << 26
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, wherever the driver started."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        _SHIPPED.add(app)
-        root = Path(__file__).resolve().parents[2]
-        target = Path(tempfile.mkdtemp(prefix="tallymark-")) / "tallymark.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted((root / "tallymark").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        spark.sparkContext.addPyFile(str(target))
+def ready(df: DataFrame) -> DataFrame:
+    """df, with this package on its workers."""
+    ship(df.sparkSession)
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir, set here only where it is unset and all workers are on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tallymark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -47,10 +40,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tallymark-{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends in files that any executor can read."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,13 +55,35 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables that an operator writes on its way; those that its result does not read are deleted as soon as they have served."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = cut(df, name, path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df, path in [x for x in self.paths if any(x[0] is f for f in frames)]:
+            remove(self.spark, path.rsplit("/", 1)[0])
+        self.paths = [x for x in self.paths if not any(x[0] is f for f in frames)]
+
+    def close(self, *keep: DataFrame) -> None:
+        """Delete all but the tables that what is returned still reads."""
+        self.drop(*[df for df, _ in self.paths if not any(df is k for k in keep)])
+
+
 def parts(df: DataFrame, mb: int = 16, least: int = 12) -> int:
     """A number of partitions in proportion to the stored size of what df reads."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # unknown
+    if size >= (1 << 63) - 1:  # unknown: as for what one partition of each shuffle holds
         size = 0
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
+    return min(MOST_PARTS, max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20))))
 
 
 def is_training_fold(column: str, folds: int, held: int):
