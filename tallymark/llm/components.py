@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import Scratch
 
 
 def _min_over(edges: DataFrame, keep) -> DataFrame:
@@ -27,14 +27,18 @@ def _star(edges: DataFrame) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (a, b); loops and repeated edges do no harm."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component (its smallest node) for every node of edges (a, b); loops and repeated edges do no harm.
+
+    The result reads a table of scratch; tables of earlier rounds are deleted.
+    """
     state = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state = cut(state, "edges")
+    state = scratch.cut(state, "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(state)
     while before[0]:
-        state = cut(_star(state), "edges")
+        last, state = state, scratch.cut(_star(state), "edges")
+        scratch.drop(last)
         now = mark(state)
         if now == before:
             break

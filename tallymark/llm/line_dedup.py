@@ -13,29 +13,32 @@ Equal lines are one before any of this (partial aggregation), so a very common l
 Defined results for odd input: a null or empty text has no lines and stays as it is; lines without a
 word stay; a document can lose all its lines and then has an empty text; rows with a null doc_id are left as they are;
 rows that repeat a doc_id with the same text are one document; an empty table gives no rows; other columns
-pass `without_repeats` as they are, but n_chars, if there, follows the text.
+pass `without_repeats` as they are, whatever their names, but n_chars, if there, follows the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_BYTES, blocks_of_mixed
 from .components import components
-from .tables import cut, parts
-from .textkit import _IS_SEP, Prefix, byte_values, chunks, column, fold_ascii, mix, pack, unpack
+from .tables import Scratch, free_name, parts, ready
+from .textkit import _IS_SEP, WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack
 
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-BROADCAST_ROWS = 1_000_000
-#: Bytes of the lines of a block and of a task (a line counts LINE_COST more); dense cells of a block comparison.
-BLOCK_BYTES, TASK_BYTES, LINE_COST, CELLS = 1 << 18, 8 << 20, 256, 1 << 22
+#: Estimated bytes up to which a table of line numbers by document is broadcast; beyond it the texts meet it in a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: What a line counts besides its bytes in a block; dense cells of a block comparison.
+LINE_COST, CELLS = 256, 1 << 22
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -109,8 +112,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, "h long, doc_id long, line int")
 
 
+def _small(df: DataFrame, lists: str, each: int) -> bool:
+    """Whether rows of a doc_id and a list of `each` bytes an entry may be broadcast: their number and lengths are summed first."""
+    n, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return 64 * n + each * entries <= BROADCAST_BYTES
+
+
 def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Pairs (a, b) of line hashes that meet in a band, and (key, a) of every member of a band of three or more."""
+    """Pairs (a, b) of line hashes that meet in a band, and (key, a) of every member of a band of three or more.
+
+    The key is a hash of the band's members: bands with the same members become one.
+    """
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +141,8 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
             if not names:
                 continue
             key, name = np.concatenate(keys), np.concatenate(names)
-            part = (key % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            ps = [p for p in range(n_parts) if cuts[p + 1] > cuts[p]]
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array([pack(key[order[cuts[p] : cuts[p + 1]]], name[order[cuts[p] : cuts[p + 1]]]) for p in ps], pa.binary())], names=["p", "blob"])
+            rows = [(p, pack(key[i], name[i])) for p, i in dealt((key % np.uint64(n_parts)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
         got = [np.frombuffer(unpack(b.as_py()), np.uint64) for b in table.column("blob")]
@@ -152,13 +161,14 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
         first = np.flatnonzero(begin)
         size = np.diff(np.append(first, len(key)))
         many = np.repeat(size > 2, size)
+        key = np.repeat(np.bitwise_xor.reduceat(mix(name), first), size) if len(name) else key
         none = pa.nulls(len(pairs), pa.int64())
         found = pa.table({"key": none, "a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
         more = pa.table({"key": key[many].view(np.int64), "a": name[many].view(np.int64), "b": pa.nulls(int(many.sum()), pa.int64())})
         return pa.concat_tables([found, more])
 
-    dealt = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(bands, "p int, blob binary")
-    return dealt.groupBy("p").applyInArrow(meet, "key long, a long, b long")
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(bands, "p int, blob binary")
+    return keyed.groupBy("p").applyInArrow(meet, "key long, a long, b long")
 
 
 def _sorted_shingles(line: bytes) -> np.ndarray:
@@ -166,11 +176,11 @@ def _sorted_shingles(line: bytes) -> np.ndarray:
     return np.unique(np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,)))
 
 
-def bodies(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+def bodies(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
     """h, body of the lines in the pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h")
-    ids = cut(ids.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("wanted")), "wanted")
-    few = ids.count() <= BROADCAST_ROWS // 4  # a checked size; else the texts meet the wanted lines in a shuffle
+    ids = scratch.cut(ids.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("wanted")), "wanted")
+    few = _small(ids, "wanted", 32)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +193,7 @@ def bodies(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lines, pa.binary())], names=["h", "body"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").select("text", "wanted")
-    return cut(rows.mapInArrow(pick, "h long, body binary").dropDuplicates(["h"]), "lines")
+    return scratch.cut(rows.mapInArrow(pick, "h long, body binary").dropDuplicates(["h"]), "lines")
 
 
 def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -196,7 +206,7 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_py(), y.as_py()
                 sx, sy = _sorted_shingles(x), _sorted_shingles(y)
-                merged = np.sort(np.concatenate([sx, sy]), kind="stable")
+                merged = np.sort(np.concatenate([sx, sy]))
                 common = int((merged[1:] == merged[:-1]).sum())
                 ok.append(common >= SIMILARITY * (len(sx) + len(sy) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -223,24 +233,14 @@ def _common(sets: list[np.ndarray], n_left: int) -> np.ndarray:
     return out
 
 
-def across(members: DataFrame, lines: DataFrame, group: DataFrame, n_parts: int) -> DataFrame:
+def across(members: DataFrame, lines: DataFrame, group: DataFrame, n_parts: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of components that have like lines in a band; members: key, a.
 
-    A band is cut into blocks of bounded bytes and every two blocks meet in a group of their own, so a large band is
-    compared in many tasks.
+    Every two blocks of a band meet in a group of their own, so a large band is compared in many tasks.
     """
     sized = lines.select(F.col("h"), (F.length("body") + LINE_COST).cast("long").alias("cost"))
-    named = members.join(group, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("h"), F.coalesce("component", "a").alias("c"))
-    band = Window.partitionBy("key")
-    mixed = named.withColumn("least", F.min("c").over(band)).withColumn("most", F.max("c").over(band)).where("least <> most")
-    # bands with the same members are one; a clash of these hashes only makes a band larger
-    mixed = mixed.select(F.bit_xor(F.xxhash64("h")).over(band).alias("key"), "h", "c").dropDuplicates(["key", "h"])
-    upto = band.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = mixed.join(sized, "h").withColumn("block", F.floor((F.sum("cost").over(upto) - F.col("cost")) / BLOCK_BYTES).cast("int"))
-    blocks = blocks.withColumn("last", F.max("block").over(band))
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    met = cut(blocks.select("key", "h", "c", "cost", "block", other).select("key", "h", "c", "cost", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "blocks")
-    n = max(n_parts, (met.agg(F.sum("cost")).first()[0] or 0) // TASK_BYTES)
+    named = members.distinct().join(group, F.col("a") == F.col("node"), "left").select("key", F.col("a").alias("h"), F.coalesce("component", "a").alias("c"))
+    met, n = blocks_of_mixed(named.join(sized, "h"), n_parts, scratch, BLOCK_BYTES)
 
     def test(table: pa.Table) -> pa.Table:
         key, h, c, block = (table.column(x).to_numpy() for x in ("key", "h", "c", "block"))
@@ -276,18 +276,18 @@ def across(members: DataFrame, lines: DataFrame, group: DataFrame, n_parts: int)
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id and the numbers of the lines to remove (one row per document that loses a line)."""
-    n_parts = parts(docs)
-    occ = cut(occurrences(docs), "occurrences")
+    docs, scratch, n_parts = ready(docs), Scratch(docs.sparkSession), parts(docs)
+    occ = scratch.cut(occurrences(docs), "occurrences")
     firsts = occ.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    firsts = cut(firsts.select("h", "first.doc_id", "first.line", "n"), "firsts")
-    met = cut(candidates(docs, n_parts), "met")
-    pairs = cut(met.where("key is null").select("a", "b").distinct(), "pairs")
-    lines = bodies(docs, pairs, firsts.select("h", "doc_id", "line"))
-    group = components(cut(verify(pairs, lines), "links"))
+    firsts = scratch.cut(firsts.select("h", "first.doc_id", "first.line", "n"), "firsts")
+    met = scratch.cut(candidates(docs, n_parts), "met")
+    pairs = scratch.cut(met.where("key is null").select("a", "b").distinct(), "pairs")
+    lines = bodies(docs, pairs, firsts.select("h", "doc_id", "line"), scratch)
+    group = components(verify(pairs, lines), scratch)
     # bands of three or more that still touch several components
-    more = cut(across(met.where("key is not null").select("key", "a"), lines, group, n_parts), "links")
+    more = scratch.cut(across(met.where("key is not null").select("key", "a"), lines, group, n_parts, scratch), "links")
     if not more.isEmpty():
-        joined = cut(components(more).withColumnsRenamed({"node": "root", "component": "least"}), "joined")
+        joined = components(more, scratch).withColumnsRenamed({"node": "root", "component": "least"})
         known = group.join(joined, F.col("component") == F.col("root"), "left").select("node", F.coalesce("least", "component").alias("component"))
         alone = joined.join(group, F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("least").alias("component"))
         group = known.unionByName(alone)
@@ -297,13 +297,18 @@ def removals(docs: DataFrame) -> DataFrame:
     fuzzy = fuzzy.join(keep, "root").select("h", "keep")
     exact = firsts.where("n > 1").join(group, F.col("h") == F.col("node"), "left_anti").select("h", F.struct("doc_id", "line").alias("keep"))
     losing = occ.join(fuzzy.unionByName(exact), "h").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    return losing.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("__removed"))
+    out = scratch.cut(losing.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    scratch.close(out)
+    return out
 
 
 def _with_removed(docs: DataFrame) -> DataFrame:
-    gone = cut(removals(docs).withColumnRenamed("doc_id", "__doc"), "removed")
-    few = gone.count() <= BROADCAST_ROWS // 2  # a checked size; else a shuffle
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    """docs, all columns, and the numbers of the lines to remove as the last one."""
+    key, last = free_name(docs, "removed_of"), free_name(docs, "removed")
+    gone = removals(docs)
+    few = _small(gone, "removed", 8)
+    gone = gone.select(F.col("doc_id").alias(key), F.col("removed").alias(last))
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(key), "left").select(*[docs[f"`{c}`"] for c in docs.columns], last)
 
 
 def _kept(text: str | None, removed: list[int] | None) -> tuple[str | None, int]:
@@ -313,17 +318,24 @@ def _kept(text: str | None, removed: list[int] | None) -> tuple[str | None, int]
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one line of each component left in the texts."""
+def without_repeats(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """docs, all columns, with one line of each component left in the texts.
+
+    Documents that lose lines and keep less than the share `least` of their words go: what is left of them is no text of its own.
+    """
     joined = _with_removed(docs)
-    at, gone_at = docs.columns.index("text"), len(docs.columns)
+    at, gone_at, word = docs.columns.index("text"), len(docs.columns), re.compile(WORD)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [_kept(t, r)[0] for t, r in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True)]
+            new, stay = [], []
+            for t, r in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
+                kept, n = _kept(t, r)
+                new.append(kept)
+                stay.append(not least or not n or len(word.findall(kept)) >= least * len(word.findall(t)))
             arrays = [batch.column(i) for i in range(gone_at)]
             arrays[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:gone_at])
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:gone_at]).filter(pa.array(stay, pa.bool_()))
 
     out = joined.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -12,12 +12,13 @@ A link needs an overlap of most of both sets, so the first tokens of the two set
 
 A list first pairs its members with one pivot (the member with the fewest rarer tokens), never all
 with all; a positional bound and a bound from parity bitmaps drop pairs that can't reach the threshold.  Pairs are
-verified exactly on the whole sets and links joined by union-find.  Only lists that then still touch several components
-pair members of different components, so no link that joins two components is lost.
+verified exactly on the whole sets and links joined by union-find.  Lists that then still touch several components (lists with the
+same members are one) compare the bitmaps of their members of different components, block by block in groups of bounded size, and only
+pairs that the bitmaps allow leave a task and are verified; so no link that joins two components is lost.
 
 Defined results for odd input: a null or blank text has no set and is its own component; texts under
 SHINGLE words have one shingle; a null doc_id is in no group; rows repeating a doc_id with the same text are one document;
-an empty table gives no rows; other columns pass `keep_one` as they are.
+an empty table gives no rows; other columns pass `keep_one` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import blocks_of_mixed
 from .components import components
-from .tables import cut, parts
-from .textkit import Prefix, chunks, column, fold_ascii, mix, pack, unpack, word_hashes, words
+from .tables import Scratch, free_name, parts, ready
+from .textkit import Prefix, chunks, column, dealt, fold_ascii, mix, pack, unpack, word_hashes, words
 
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -138,17 +140,6 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, bound: int, num: int = NU
     return keys, at.astype(np.int32)
 
 
-def marks_before(keys: np.ndarray, doc: np.ndarray, n: np.ndarray, index: np.ndarray, bound: int, num: int, den: int) -> np.ndarray:
-    """A mark of the token before each key's token in its set's order (index counts a document's keys).
-
-    Two sets with equal marks under a key have met under the key before, so they need not be paired again.  First tokens and
-    subsets get a mark that no other document has.
-    """
-    inside = (n > bound) & (index > 0) & (index < n + num * -n // den + 1)
-    before = np.where(inside, np.concatenate([keys[:1], keys[:-1]]), mix(doc.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
-    return (before >> np.uint64(32)).astype(np.uint32)
-
-
 def bitmap(tokens: np.ndarray) -> bytes:
     """Parity of the tokens in about as many cells as there are tokens (a power of two)."""
     size = 1 << max(8, (len(tokens) - 1).bit_length())
@@ -182,8 +173,8 @@ def prefixes(docs: DataFrame, reps: DataFrame, level: np.ndarray, bound: int, un
     return own if unique else own.dropDuplicates(["doc_id"])
 
 
-def deal(own: DataFrame, n_parts: int, bound: int, num: int, den: int) -> DataFrame:
-    """The keys of all documents by partition, packed: a blob per task and partition.  own: doc_id, n, keys, c."""
+def deal(own: DataFrame, n_parts: int) -> DataFrame:
+    """The keys of all documents by partition, packed: a blob per task and partition.  own: doc_id, n, keys."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,32 +184,25 @@ def deal(own: DataFrame, n_parts: int, bound: int, num: int, den: int) -> DataFr
                 continue
             key, pos = (np.concatenate([np.frombuffer(r, t, m, at * m) for r, m in zip(raw, size.tolist(), strict=True)]) for t, at in ((np.uint64, 0), (np.int32, 8)))
             row = np.repeat(np.arange(len(size)), size)
-            doc, n, c = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[row] for i in (0, 1, 3))
-            index = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            before = marks_before(key, doc, n, index, bound, num, den)
-            part = (key % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(n_parts + 1))
-            ps = np.flatnonzero(np.diff(ends)).tolist()
-            blobs = [pack(*(x[order[ends[p] : ends[p + 1]]] for x in (key, doc, c, n.astype(np.int32), pos, before))) for p in ps]
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "blob"])
+            doc, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[row] for i in (0, 1))
+            rows = [(p, pack(key[i], doc[i], n[i].astype(np.int32), pos[i])) for p, i in dealt((key % np.uint64(n_parts)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
 
-    return own.select("doc_id", "n", "keys", "c").mapInArrow(scan, "p int, blob binary")
+    return own.select("doc_id", "n", "keys").mapInArrow(scan, "p int, blob binary")
 
 
 def _lists(table: pa.Table):
-    """doc, c, n, pos and the mark before of all members of lists of two or more, list by list, and the lists' begins and lengths."""
+    """doc, n and pos of all members of lists of two or more, list by list, and the lists' begins and lengths."""
     got = [unpack(b.as_py()) for b in table.column("blob")]
-    sizes = [len(g) // 36 for g in got]
-    kinds = ((np.uint64, 0), (np.int64, 8), (np.int64, 16), (np.int32, 24), (np.int32, 28), (np.uint32, 32))
-    key, *cols = [np.concatenate([np.frombuffer(g, t, s, at * s) for g, s in zip(got, sizes, strict=True)]) for t, at in kinds]
+    sizes = [len(g) // 24 for g in got]
+    key, *cols = [np.concatenate([np.frombuffer(g, t, s, at * s) for g, s in zip(got, sizes, strict=True)]) for t, at in ((np.uint64, 0), (np.int64, 8), (np.int32, 16), (np.int32, 20))]
     order = np.argsort(key, kind="stable")
     key = key[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(begin, len(key)))
     order, length = order[np.repeat(length > 1, length)], length[length > 1]
-    doc, c, n, pos, before = (x[order] for x in cols)
-    return doc, c, n.astype(np.int64), pos.astype(np.int64), before, (np.cumsum(length) - length).astype(np.int64), length
+    doc, n, pos = (x[order] for x in cols)
+    return doc, n.astype(np.int64), pos.astype(np.int64), (np.cumsum(length) - length).astype(np.int64), length
 
 
 def _possible(na, ia, nb, ib, num: int, den: int) -> np.ndarray:
@@ -231,45 +215,78 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
-def stars(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each list's pivot and its other members."""
+def stars(keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each list's pivot and its other members, and (list, a) of every member of a list of three or more.
+
+    A list is named by a hash of its members: lists with the same members become one.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        doc, _, n, pos, before, begin, length = _lists(table)
+        doc, n, pos, begin, length = _lists(table)
         if not len(begin):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({"list": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         by = np.lexsort((doc, pos, np.repeat(np.arange(len(begin)), length)))  # the pivot comes first
         head = np.repeat(by[begin], length)
-        good = (doc != doc[head]) & (before != before[head]) & _possible(n[head], pos[head], n, pos, num, den)
+        good = (doc != doc[head]) & _possible(n[head], pos[head], n, pos, num, den)
         pairs = _distinct(doc[good], doc[head][good])
+        name = np.bitwise_xor.reduceat(mix(doc.astype(np.uint64)), begin)
+        seen = np.zeros(len(begin), bool)
+        seen[np.unique(name, return_index=True)[1]] = True
+        many = np.repeat(seen & (length > 2), length)
+        found = pa.table({"list": pa.nulls(len(pairs), pa.int64()), "a": pairs[:, 0], "b": pairs[:, 1]})
+        more = pa.table({"list": np.repeat(name, length)[many].view(np.int64), "a": doc[many], "b": pa.nulls(int(many.sum()), pa.int64())})
+        return pa.concat_tables([found, more])
+
+    return keyed.groupBy("p").applyInArrow(run, "list long, a long, b long")
+
+
+def _folded(bits: list[np.ndarray], size: int) -> np.ndarray:
+    """Bitmaps folded to a size in words (a smaller or the same power of two)."""
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in bits])
+
+
+def close_pairs(n: np.ndarray, bits: list[np.ndarray], c: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of members of different components whose bitmaps allow a link; left and right are places."""
+    size = np.array([len(b) for b in bits])
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for sl in np.unique(size[left]).tolist():
+        for sr in np.unique(size[right]).tolist():
+            i, j, words_ = left[size[left] == sl], right[size[right] == sr], min(sl, sr)
+            p, q = _folded([bits[k] for k in i.tolist()], words_), _folded([bits[k] for k in j.tolist()], words_)
+            step = max(1, (1 << 20) // max(1, len(j) * words_))
+            for a in range(0, len(i), step):
+                k = i[a : a + step]
+                differ = np.bitwise_count(p[a : a + step, None, :] ^ q[None, :, :]).sum(axis=2, dtype=np.int64)
+                both = n[k][:, None] + n[j][None, :]
+                need = -(-both * num // (num + den))
+                good = (c[k][:, None] != c[j][None, :]) & (differ <= both - 2 * need) & (np.minimum(n[k][:, None], n[j][None, :]) >= need)
+                x, y = np.nonzero(good)
+                xs.append(k[x])
+                ys.append(j[y])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def across(members: DataFrame, bits: DataFrame, group: DataFrame, n_parts: int, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that meet in a list and whose bitmaps allow a link; members: list, a."""
+    named = members.distinct().join(group, F.col("a") == F.col("node"), "left").select(F.col("list").alias("key"), F.col("a").alias("h"), F.coalesce("component", "a").alias("c"))
+    sized = bits.select(F.col("doc_id").alias("h"), (F.length("bits") + 64).cast("long").alias("cost"))
+    met, n_groups = blocks_of_mixed(named.join(sized, "h"), n_parts, scratch)
+
+    def test(table: pa.Table) -> pa.Table:
+        key, h, c, block, n = (table.column(x).to_numpy() for x in ("key", "h", "c", "block", "n"))
+        maps = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("bits")]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, rows in dealt(key):
+            left, right = rows[block[rows] == i], rows[block[rows] == j]
+            x, y = close_pairs(n.astype(np.int64), maps, c, left, right, num, den)
+            a.append(h[x])
+            b.append(h[y])
+        pairs = _distinct(np.concatenate(a), np.concatenate(b))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
-
-
-def across(dealt: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of different components that first meet in a list of three or more."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc, c, n, pos, before, begin, length = _lists(table)
-        a, b = [], []
-        if len(begin):
-            mixed = (length > 2) & (np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)) & (np.minimum.reduceat(before, begin) != np.maximum.reduceat(before, begin))
-            for first, m in zip(begin[mixed].tolist(), length[mixed].tolist(), strict=True):
-                all_ = slice(first, first + m)
-                step = max(1, (1 << 20) // m)
-                for i in range(first, first + m, step):  # a block of rows at a time
-                    own = slice(i, min(i + step, first + m))
-                    good = (c[own, None] != c[None, all_]) & (doc[own, None] < doc[None, all_]) & (before[own, None] != before[None, all_])
-                    x, y = np.nonzero(good)
-                    x, y = x + i, y + first
-                    keep = _possible(n[x], pos[x], n[y], pos[y], num, den)
-                    a.append(doc[x[keep]])
-                    b.append(doc[y[keep]])
-        pairs = _distinct(np.concatenate(a), np.concatenate(b)) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("p").applyInArrow(run, "a long, b long").distinct()
+    full = met.join(bits.withColumnRenamed("doc_id", "h"), "h").select("key", "h", "c", "block", "i", "j", "n", "bits")
+    return full.groupBy(F.pmod("key", F.lit(n_groups)).alias("p"), "i", "j").applyInArrow(test, "a long, b long").distinct()
 
 
 def close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
@@ -286,9 +303,9 @@ def close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(test, "a long, b long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, unique: bool, k: int, num: int, den: int) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, unique: bool, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS  # a checked size; else the texts meet the ids in a shuffle
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +314,7 @@ def verify(docs: DataFrame, pairs: DataFrame, unique: bool, k: int, num: int, de
 
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = wanted.mapInArrow(pick, "doc_id long, tokens binary")
-    sets = cut(sets if unique else sets.dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.cut(sets if unique else sets.dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), "a")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +322,7 @@ def verify(docs: DataFrame, pairs: DataFrame, unique: bool, k: int, num: int, de
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(unpack(x.as_py()), np.uint64), np.frombuffer(unpack(y.as_py()), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
+                both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -315,29 +332,30 @@ def verify(docs: DataFrame, pairs: DataFrame, unique: bool, k: int, num: int, de
 
 def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    n_parts = parts(docs)
-    scanned = cut(first_pass(docs, k), "sets")
+    docs, scratch, n_parts = ready(docs), Scratch(docs.sparkSession), parts(docs)
+    scanned = scratch.cut(first_pass(docs, k), "sets")
     meta = scanned.where("slice is null").select("doc_id", "n", "s1", "s2")
     sketch = read_sketch(scanned.where("slice is not null").select("slice", "counts"))
     full = meta.where("n > 0 and doc_id is not null")
-    reps = cut(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = scratch.cut(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
     unique = meta.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     bound = boundary(sketch, num, den)
-    own = cut(prefixes(docs, reps.where("n > 1").select(F.col("rep").alias("doc_id")), levels(sketch), bound, unique, k, num, den), "prefixes")
+    own = scratch.cut(prefixes(docs, reps.where("n > 1").select(F.col("rep").alias("doc_id")), levels(sketch), bound, unique, k, num, den), "prefixes")
     bits = own.select("doc_id", "n", "bits")
 
-    found = cut(stars(deal(own.withColumn("c", F.lit(0).cast("long")), n_parts, bound, num, den), num, den), "stars")
-    star = cut(close(found, bits, num, den), "pairs")
-    links = cut(verify(docs, star, unique, k, num, den), "links")
-    group = components(links)
+    met = scratch.cut(stars(deal(own, n_parts), num, den), "stars")
+    found = met.where("list is null").select("a", "b").distinct()
+    star = scratch.cut(close(found, bits, num, den), "pairs")
+    links = scratch.cut(verify(docs, star, unique, scratch, k, num, den), "links")
+    group = components(links, scratch)
 
     # lists of three or more that still touch several components
-    more = own.join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("c"))
-    rest = across(deal(more, n_parts, bound, num, den), num, den).join(found, ["a", "b"], "left_anti")
-    rest = cut(close(rest, bits, num, den), "pairs")
+    rest = across(met.where("list is not null").select("list", "a"), bits, group, n_parts, scratch, num, den)
+    rest = scratch.cut(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionByName(verify(docs, rest, unique, k, num, den))
-        group = components(links)
+        group = components(links.unionByName(verify(docs, rest, unique, scratch, k, num, den)), scratch)
+    group = scratch.cut(group, "components")
+    scratch.close(scanned, reps, group)
 
     named = reps.join(group, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("rn"), F.coalesce("component", "rep").alias("component"))
     key = (meta["s1"] == named["s1"]) & (meta["s2"] == named["s2"]) & (meta["n"] == named["rn"])
@@ -348,14 +366,15 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int =
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, all columns as they are, with the document of the smallest doc_id of each component."""
     found = classes(docs, k, num, den)
-    dropped = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    dropped = Scratch(docs.sparkSession).cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
+    rank = free_name(docs, "rank")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    ranked = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(ranked)
+    ranked = kept.join(repeated, "doc_id", "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(ranked.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 ORACLE = r"""

@@ -77,6 +77,14 @@ class Scratch:
         self.drop(*[df for df, _ in self.paths if not any(df is k for k in keep)])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(df: DataFrame, mb: int = 16, least: int = 12) -> int:
     """A number of partitions in proportion to the stored size of what df reads."""
     spark = df.sparkSession

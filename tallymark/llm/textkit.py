@@ -6,6 +6,8 @@ offsets, so no per-word Python objects are made.  A null text counts as empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -125,3 +127,13 @@ def pack(*arrays: np.ndarray) -> bytes:
 def unpack(blob: bytes) -> memoryview:
     size = int.from_bytes(blob[:8], "little")
     return memoryview(pa.decompress(blob[8:], size, codec="zstd", asbytes=True)) if size else memoryview(b"")
+
+
+def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, places of its entries in their order) for the partitions that have entries."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
+        yield int(part[order[i]]), order[i:j]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import decontamination, fingerprint_index, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, token_counts
 from tallymark.llm.components import components
 from tallymark.llm.queries import ORACLES, QUERIES, tokenizer_path
+from tallymark.llm.tables import Scratch
 
 from ..oracle import assert_same, connect
 
@@ -232,7 +233,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
