@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, blocks_of_mixed
+from .blocks import BLOCK_BYTES, blocks_of_mixed, pairs_in_groups
 from .components import components
 from .tables import Scratch, free_name, parts, ready
 from .textkit import _IS_SEP, WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack
@@ -39,6 +39,8 @@ BANDS, ROWS = 12, 4
 BROADCAST_BYTES = 32 << 20
 #: What a line counts besides its bytes in a block; dense cells of a block comparison.
 LINE_COST, CELLS = 256, 1 << 22
+#: Pairs of two blocks of a band from which they are compared as a matrix.
+CROWD = 1 << 12
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -173,7 +175,19 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
 
 def _sorted_shingles(line: bytes) -> np.ndarray:
     folded = fold_ascii(np.frombuffer(line, np.uint8))
-    return np.unique(np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,)))
+    grams = np.sort(np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,)))
+    new = np.ones(len(grams), bool)
+    np.not_equal(grams[1:], grams[:-1], out=new[1:])
+    return grams[new]
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles have the similarity; sizes that rule it out are not compared."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate([x, y]))
+    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return common >= SIMILARITY * (len(x) + len(y) - common)
 
 
 def bodies(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -202,13 +216,11 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_py(), y.as_py()
-                sx, sy = _sorted_shingles(x), _sorted_shingles(y)
-                merged = np.sort(np.concatenate([sx, sy]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                ok.append(common >= SIMILARITY * (len(sx) + len(sy) - common))
+            ok, last, sx = [], None, None
+            for name, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if name != last:  # the pairs of a line follow each other
+                    last, sx = name, _sorted_shingles(x.as_py())
+                ok.append(_alike(sx, _sorted_shingles(y.as_py())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "la", "lb").mapInArrow(test, "a long, b long")
@@ -244,28 +256,30 @@ def across(members: DataFrame, lines: DataFrame, group: DataFrame, n_parts: int,
 
     def test(table: pa.Table) -> pa.Table:
         key, h, c, block = (table.column(x).to_numpy() for x in ("key", "h", "c", "block"))
-        order = np.lexsort((h, block, key))
-        key, h, c, block = key[order], h[order], c[order], block[order]
-        place = order.tolist()
-        body, shingles = table.column("body"), {}
-        for x, i in zip(h.tolist(), place, strict=True):
-            if x not in shingles:
-                shingles[x] = _sorted_shingles(body[i].as_py())
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        _, rep, member = np.unique(h, return_index=True, return_inverse=True)  # a line of many bands is cut into shingles once
+        sets = [_sorted_shingles(x.as_py()) for x in table.column("body").take(pa.array(rep))]
+        size = np.array([len(x) for x in sets], np.float64)
         a, b = [], []
-        for first, end in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True):
-            left = slice(first, first + int((block[first:end] == i).sum()))
-            right = left if i == j else slice(left.stop, end)
-            differ = c[left, None] != c[None, right]
-            if not differ.any():
+        crowded = np.zeros(len(key), bool)
+        for _, rows in dealt(key):
+            left, right = rows[block[rows] == i], rows[block[rows] == j]
+            if len(left) * len(right) <= CROWD:
                 continue
-            x, y = ([shingles[v] for v in h[s].tolist()] for s in (left, right))
-            nx, ny = (np.array([len(v) for v in s], np.float64) for s in (x, y))
-            common = _common(x + y, len(x))
-            p, q = np.nonzero(differ & (common >= SIMILARITY * (nx[:, None] + ny[None, :] - common)))
+            crowded[rows] = True
+            x, y = member[left], member[right]
+            common = _common([sets[k] for k in x.tolist()] + [sets[k] for k in y.tolist()], len(x))
+            p, q = np.nonzero((c[left, None] != c[None, right]) & (common >= SIMILARITY * (size[x][:, None] + size[y][None, :] - common)))
             a.append(c[left][p])
             b.append(c[right][q])
+        few = np.flatnonzero(~crowded)
+        for x, y in pairs_in_groups(key[few], block[few], i, j):
+            x, y = few[x], few[y]
+            differ = c[x] != c[y]
+            pairs = np.unique(np.stack([np.minimum(member[x], member[y])[differ], np.maximum(member[x], member[y])[differ]], 1), axis=0)
+            good = np.array([_alike(sets[p], sets[q]) for p, q in pairs.tolist()], bool)
+            a.append(c[rep[pairs[good, 0]]])
+            b.append(c[rep[pairs[good, 1]]])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})

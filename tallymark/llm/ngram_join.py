@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import blocks_of_mixed
+from .blocks import blocks_of_mixed, pairs_in_groups
 from .components import components
 from .tables import Scratch, free_name, parts, ready
 from .textkit import Prefix, chunks, column, dealt, fold_ascii, mix, pack, unpack, word_hashes, words
@@ -240,30 +240,23 @@ def stars(keyed: DataFrame, num: int, den: int) -> DataFrame:
     return keyed.groupBy("p").applyInArrow(run, "list long, a long, b long")
 
 
-def _folded(bits: list[np.ndarray], size: int) -> np.ndarray:
-    """Bitmaps folded to a size in words (a smaller or the same power of two)."""
-    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in bits])
-
-
-def close_pairs(n: np.ndarray, bits: list[np.ndarray], c: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y) of members of different components whose bitmaps allow a link; left and right are places."""
+def fits(n: np.ndarray, bits: list[np.ndarray], x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of places have bitmaps, folded to the smaller size, that differ in few enough bits for a link."""
     size = np.array([len(b) for b in bits])
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for sl in np.unique(size[left]).tolist():
-        for sr in np.unique(size[right]).tolist():
-            i, j, words_ = left[size[left] == sl], right[size[right] == sr], min(sl, sr)
-            p, q = _folded([bits[k] for k in i.tolist()], words_), _folded([bits[k] for k in j.tolist()], words_)
-            step = max(1, (1 << 20) // max(1, len(j) * words_))
-            for a in range(0, len(i), step):
-                k = i[a : a + step]
-                differ = np.bitwise_count(p[a : a + step, None, :] ^ q[None, :, :]).sum(axis=2, dtype=np.int64)
-                both = n[k][:, None] + n[j][None, :]
-                need = -(-both * num // (num + den))
-                good = (c[k][:, None] != c[j][None, :]) & (differ <= both - 2 * need) & (np.minimum(n[k][:, None], n[j][None, :]) >= need)
-                x, y = np.nonzero(good)
-                xs.append(k[x])
-                ys.append(j[y])
-    return np.concatenate(xs), np.concatenate(ys)
+    both = n[x] + n[y]
+    allowed = both - 2 * -(-both * num // (num + den))
+    ok = np.zeros(len(x), bool)
+    fold = lambda places, words_: np.stack([np.bitwise_xor.reduce(bits[k].reshape(-1, words_), axis=0) for k in places.tolist()])
+    kind = size[x] * (int(size.max(initial=1)) + 1) + size[y]
+    for _, some in dealt(kind):
+        width = int(min(size[x[some[0]]], size[y[some[0]]]))
+        for a in range(0, len(some), step := max(1, (1 << 20) // width)):
+            pairs = some[a : a + step]
+            left, i = np.unique(x[pairs], return_inverse=True)
+            right, j = np.unique(y[pairs], return_inverse=True)
+            differ = np.bitwise_count(fold(left, width)[i] ^ fold(right, width)[j]).sum(axis=1, dtype=np.int64)
+            ok[pairs] = differ <= allowed[pairs]
+    return ok
 
 
 def across(members: DataFrame, bits: DataFrame, group: DataFrame, n_parts: int, scratch: Scratch, num: int, den: int) -> DataFrame:
@@ -273,15 +266,20 @@ def across(members: DataFrame, bits: DataFrame, group: DataFrame, n_parts: int,
     met, n_groups = blocks_of_mixed(named.join(sized, "h"), n_parts, scratch)
 
     def test(table: pa.Table) -> pa.Table:
-        key, h, c, block, n = (table.column(x).to_numpy() for x in ("key", "h", "c", "block", "n"))
-        maps = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("bits")]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, h, c, block = (table.column(x).to_numpy() for x in ("key", "h", "c", "block"))
+        _, rep, member = np.unique(h, return_index=True, return_inverse=True)  # a member of many lists has one bitmap
+        n = table.column("n").to_numpy()[rep].astype(np.int64)
+        maps = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("bits").take(pa.array(rep))]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, rows in dealt(key):
-            left, right = rows[block[rows] == i], rows[block[rows] == j]
-            x, y = close_pairs(n.astype(np.int64), maps, c, left, right, num, den)
-            a.append(h[x])
-            b.append(h[y])
+        for x, y in pairs_in_groups(key, block, table.column("i")[0].as_py(), table.column("j")[0].as_py()):
+            differ = c[x] != c[y]
+            pairs = _distinct(member[x[differ]], member[y[differ]])
+            x, y = pairs[:, 0], pairs[:, 1]
+            able = np.minimum(n[x], n[y]) >= -(-(n[x] + n[y]) * num // (num + den))
+            x, y = x[able], y[able]
+            good = fits(n, maps, x, y, num, den)
+            a.append(h[rep[x[good]]])
+            b.append(h[rep[y[good]]])
         pairs = _distinct(np.concatenate(a), np.concatenate(b))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
