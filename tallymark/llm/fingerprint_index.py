@@ -1,10 +1,12 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index is a list of sorted immutable runs: fingerprints (anchor and content hash) of the window segments of
+The index is a folder of sorted immutable runs: fingerprints (anchor and content hash) of the window segments of
 earlier documents, each with its first document.  A new batch of larger doc_ids is fingerprinted and
-merge-joined with all runs; segments that the history holds are repeated, segments
-that share only an anchor are verified window by window on their words, and the batch's new fingerprints become a run of
-their own.  When FANOUT runs have come together they are compacted into one.
+merge-joined with all runs; wherever the batch meets the history or itself under an anchor, the words themselves are
+compared, and only what is equal word for word counts.  The batch's new fingerprints become a run of
+their own.  When FANOUT runs have come together they are compacted into one and the old ones deleted.
+
+`FingerprintIndex` keeps its list of runs in the folder: a later application opens it and adds the next batch (`add_batch`).
 
 A word is removed if a window of WINDOW words over it also starts in a document with a smaller doc_id.
 
@@ -15,15 +17,16 @@ doc_id with its text are one document; texts under WINDOW words lose nothing; an
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import cut, parts
-from .textkit import Prefix, words
-from .windows import CHECK, FULL, NO_ID, RUN, Unit, all_marks, compact, finish, merge, removed_mask, scan_segments
+from .tables import cut, new_path, parts, ready, remove
+from .textkit import Prefix, word_hashes, words
+from .windows import CHECK, FULL, NO_ID, ROW, RUN, Unit, all_marks, compact, finish, merge, removed_mask, same_bytes, scan_segments
 
 WINDOW, ANCHOR = 13, 5
 UNIT = Unit("word", WINDOW, ANCHOR, by_document=True)
@@ -33,61 +36,95 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 class FingerprintIndex:
-    """Sorted runs in the shared folder; batches must come in ascending ranges of doc_id."""
-
-    def __init__(self, n_parts: int, unit: Unit = UNIT, fanout: int = FANOUT):
-        self.n_parts, self.unit, self.fanout = n_parts, unit, fanout
-        self.runs: list[DataFrame] = []
-
-    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
-        """The batch's marks: what the history repeats, and what must be verified; then its run joins the index."""
+    """Sorted runs in a folder that all executors share; batches must come in ascending ranges of doc_id.
+
+    The folder holds runs and states; a state (the number of partitions, the largest doc_id, the live runs) is written after its runs and the one with
+    the highest number counts, so a job that dies in between leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, n_parts: int | None = None, unit: Unit = UNIT, fanout: int = FANOUT):
+        self.spark, self.path, self.unit, self.fanout = spark, path.rstrip("/"), unit, fanout
+        self.version, self.names, self.last, self.n_parts = 0, [], None, n_parts
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(folder):
+            state = spark.read.parquet(f"{self.path}/state/*").orderBy(F.desc("version")).first()
+            self.version, self.names, self.last, self.n_parts = state.version, list(state.runs), state.last, state.n_parts
+        if not self.n_parts:
+            raise ValueError("a new index needs a number of partitions")
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.read.schema(ROW).parquet(f"{self.path}/{name}") for name in self.names]
+
+    def _save(self) -> None:
+        self.version += 1
+        row = [(self.version, self.n_parts, self.last, self.names)]
+        self.spark.createDataFrame(row, "version int, n_parts int, last long, runs array<string>").coalesce(1).write.parquet(f"{self.path}/state/{self.version:08d}")
+
+    def add(self, batch: DataFrame, store: bool = True) -> DataFrame:
+        """What in the batch is repeated inside a task, and what must be compared; then its run joins the index."""
+        low, high = batch.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.last is not None and low <= self.last:
+            raise ValueError(f"the index holds documents up to {self.last}; the batch begins at {low}")
         rows = scan_segments(batch, self.unit, self.n_parts)
-        for run in self.runs:
+        for run in self.runs():
             rows = rows.unionByName(run)
-        merged = cut(merge(rows, self.unit, self.n_parts, keep_runs=not last), "batch")
-        if not last:
-            self.runs.append(merged.where(F.col("kind") == RUN))
-            if len(self.runs) >= self.fanout:
+        base, name = f"{self.path}/batch-{uuid.uuid4().hex}", f"run-{uuid.uuid4().hex}"
+        merge(rows, self.unit, self.n_parts, keep_runs=store).withColumn("of", F.when(F.col("kind") == RUN, "run").otherwise("marks")).write.option("compression", "zstd").partitionBy("of").parquet(base)
+        if store:
+            has_run = self._move(f"{base}/of=run", f"{self.path}/{name}")
+            self.names += [name] * has_run
+            self.last = high if self.last is None or (high is not None and high > self.last) else self.last
+            if len(self.names) >= self.fanout:
                 self.compact()
-        return merged.where(F.col("kind").isin(FULL, CHECK))
+            else:
+                self._save()
+        return self.spark.read.schema(ROW).parquet(base).where(F.col("kind").isin(FULL, CHECK)).select("p", "kind", "weight", "blob")
+
+    def _move(self, source: str, target: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        system = path(source).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(system.exists(path(source)) and system.rename(path(source), path(target)))
 
     def compact(self) -> None:
-        every = self.runs[0]
-        for run in self.runs[1:]:
+        old, name = self.names, f"run-{uuid.uuid4().hex}"
+        every = self.runs()[0]
+        for run in self.runs()[1:]:
             every = every.unionByName(run)
-        self.runs = [cut(compact(every), "run")]
-
-
-def repeated_windows(unit: Unit, doc: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Starts of windows whose word sequence also starts in a smaller document."""
-    piece = np.repeat(np.arange(len(size)), size)
-    ends = np.repeat(np.cumsum(size), size)
-    at = np.flatnonzero(ends - np.arange(len(tokens)) >= unit.window)
+        cut(compact(every), "run", f"{self.path}/{name}")
+        self.names = [name]
+        self._save()
+        for run in old:
+            remove(self.spark, f"{self.path}/{run}")
+
+
+def repeated_windows(unit: Unit, doc: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and word in it of windows whose word sequence also starts in a smaller document; pieces are in the order of (doc, start)."""
+    starts, ends, first = words(body, np.concatenate([[0], np.cumsum(size)]))
+    piece = np.repeat(np.arange(len(size)), np.diff(first))
+    at = np.flatnonzero(first[piece + 1] - np.arange(len(starts)) >= unit.window)
     if not len(at):
-        return at
-    h = Prefix(tokens).range(at, at + unit.window)
+        return at, at
+    h = Prefix(word_hashes(body, starts, ends)).range(at, at + unit.window)
     order = np.argsort(h, kind="stable")  # at is in the order of documents, so each group begins with its smallest
     at, h = at[order], h[order]
+    begin, length = starts[at], ends[at + unit.window - 1] - starts[at]
     same = np.zeros(len(at), bool)
-    live = np.flatnonzero(h[1:] == h[:-1]) + 1
-    for k in range(unit.window):  # verification, word by word
-        live = live[tokens[at[live] + k] == tokens[at[live - 1] + k]]
-    same[live] = True
+    near = np.flatnonzero((h[1:] == h[:-1]) & (length[1:] == length[:-1])) + 1
+    same[near] = same_bytes(body, begin[near], begin[near - 1], length[near])  # verification: the words are equal byte for byte
     head = at[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]
-    return at[doc[piece[at]] > doc[piece[head]]]
+    gone = at[doc[piece[at]] > doc[piece[head]]]
+    return piece[gone], gone - first[piece[gone]]
 
 
 def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa.Table:
-    starts, ends, first = words(data, offsets)
+    body, cum, first = UNIT.body(data, offsets)
     gone = removed_mask(UNIT, ids, first, marks)
     upto = np.concatenate([[0], np.cumsum(gone)])
-    starts, size = starts[~gone], (ends - starts)[~gone] + 1
-    cum = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(starts - cum[:-1], size) + np.arange(cum[-1])
-    body = np.append(data, np.uint8(32))[take] if len(take) else np.zeros(0, np.uint8)
-    body[cum[1:] - 1] = 32  # one space after each word
-    at = cum[first - upto[first]].tolist()
-    kept = body.tobytes()
+    size = np.diff(cum)
+    kept = body[np.repeat(~gone, size)].tobytes()  # one space after each word
+    at = np.concatenate([[0], np.cumsum(size[~gone])])[first - upto[first]].tolist()
     sha = [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
     return pa.table({
         "doc_id": pa.array(ids, mask=ids == NO_ID),
@@ -95,10 +132,21 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa
     })
 
 
+def add_batch(batch: DataFrame, history: DataFrame, path: str, n_parts: int | None = None) -> DataFrame:
+    """The digest of a batch against the index at path, which then holds the batch too.
+
+    history has the documents of earlier batches (doc_id, text), whose words the verification reads.
+    """
+    batch = ready(batch).select("doc_id", "text")
+    index = FingerprintIndex(batch.sparkSession, path, n_parts or parts(batch, mb=4))
+    marks = index.add(batch)
+    return finish(batch, all_marks(batch.unionByName(history.select("doc_id", "text")), UNIT, marks, index.n_parts, repeated_windows), index.n_parts, _result, SCHEMA)
+
+
 def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document; the index is filled in batches of ascending doc_id."""
-    n_parts = parts(docs, mb=4)
-    index = FingerprintIndex(n_parts)
+    docs, n_parts = ready(docs).select("doc_id", "text"), parts(docs, mb=4)
+    index = FingerprintIndex(docs.sparkSession, new_path(docs.sparkSession, "index"), n_parts)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     bounds = sorted(set(cuts or []))
     marks = None
@@ -108,8 +156,10 @@ def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             batch = batch.where(F.col("doc_id") > bounds[i - 1])
         if i < len(bounds):
             batch = batch.where(F.col("doc_id") <= bounds[i])
-        found = index.add(batch, last=i == len(bounds))
+        found = index.add(batch, store=i < len(bounds))  # nothing comes after the last batch
         marks = found if marks is None else marks.unionByName(found)
+    for run in index.names:
+        remove(docs.sparkSession, f"{index.path}/{run}")
     return finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA)
 
 

@@ -1,7 +1,7 @@
 """Exact substring dedup by suffix arrays.
 
 A byte is removed if a WINDOW-byte string over it also starts earlier (in a smaller doc_id or earlier in its
-document).  Segments of windows are dealt by their anchors (`windows`), equal segments collapse, and what
+document).  Segments of windows are dealt by their anchors (`windows`), byte-equal segments collapse, and what
 differs under a shared anchor is suffix-sorted per group in two stages: suffixes smaller than their successors
 are sorted directly (to the window's depth), all others are induced by scanning the buckets of first
 bytes in order.  Adjacent common prefixes of WINDOW bytes or more make the groups of equal windows.
@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import parts
-from .windows import NO_ID, Unit, all_marks, finish, first_marks, removed_mask
+from .tables import Scratch, parts, ready
+from .windows import NO_ID, Unit, all_marks, finish, merge, removed_mask, scan_segments
 
 WINDOW, ANCHOR = 100, 32
 UNIT = Unit("byte", WINDOW, ANCHOR, by_document=False)
@@ -104,25 +104,25 @@ def common_prefixes(order: np.ndarray, text: np.ndarray, least: int) -> np.ndarr
     return same
 
 
-def repeated_windows(unit: Unit, doc: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Starts of windows that also start in an earlier piece or place; pieces are in the order of (doc, start)."""
-    n = len(tokens)
+def repeated_windows(unit: Unit, doc: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and byte in it of windows that also start in an earlier piece or place; pieces are in the order of (doc, start)."""
+    n = len(body)
     ends = np.repeat(np.cumsum(size), size)
-    gap = np.repeat(np.arange(len(size)), size)  # a zero byte after each piece
+    piece = np.repeat(np.arange(len(size)), size)  # a zero byte after each piece
     text = np.zeros(n + len(size), np.uint8)
-    text[np.arange(n) + gap] = tokens
+    text[np.arange(n) + piece] = body
     inside = np.zeros(len(text), bool)
-    inside[np.arange(n) + gap] = ends - np.arange(n) >= unit.window
+    inside[np.arange(n) + piece] = ends - np.arange(n) >= unit.window
     order = suffix_array(text, unit.window)
     order = order[inside[order]]
     if not len(order):
-        return order
+        return order, order
     new = ~common_prefixes(order, text, unit.window)
     first = np.minimum.reduceat(order, np.flatnonzero(new))
     gone = order[order != first[np.cumsum(new) - 1]]
-    place = np.zeros(len(text), np.int64)
-    place[np.arange(n) + gap] = np.arange(n)
-    return place[gone]
+    begin = np.cumsum(size + 1) - size - 1
+    at = np.searchsorted(begin, gone, side="right") - 1
+    return at, gone - begin[at]
 
 
 def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa.Table:
@@ -144,6 +144,6 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    n_parts = parts(docs, mb=4)
-    marks = first_marks(docs, UNIT, n_parts)
+    docs, scratch, n_parts = ready(docs), Scratch(docs.sparkSession), parts(docs, mb=4)
+    marks = scratch.cut(merge(scan_segments(docs, UNIT, n_parts), UNIT, n_parts, keep_runs=False), "marks")
     return finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA)

@@ -2,12 +2,15 @@
 
 Every window of W tokens belongs to one segment: the run of consecutive windows with the same
 anchor (the least k-gram hash in the window, the leftmost on ties).  Equal windows have equal anchors, so they
-meet under it.  Equal segments collapse by a hash of their whole content, first inside each task, then
-per partition, so a hot group of copies leaves every task as one entry.  Only anchors under
-which different segments meet are looked at window by window (`compare`).
+meet under it.  Hashes only say what to look at; nothing is marked before its bytes have been compared:
 
-Tokens travel as packed arrays: one blob per task and partition.  Three groupings by a partition number
-follow each other: entries by anchor, texts with their marks by document, and pieces to compare by anchor.
+* inside a task, segments with equal hashes are compared byte by byte with the first one and collapse, so a hot group of copies leaves
+  every task as one entry;
+* an anchor under which entries of several places meet sends the bytes of all of them (pieces) to one group; there, equal pieces are
+  compared with the first one and collapse, and what differs is looked at window by window (`compare`).
+
+Entries and pieces travel as packed arrays: one blob per task and partition.  Three groupings by a partition number
+follow each other: entries by anchor, texts with their marks by document, and pieces by anchor.
 """
 
 from __future__ import annotations
@@ -20,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
-from .textkit import Prefix, byte_values, chunks, column, mix, pack, unpack, word_hashes, words
+from .textkit import Prefix, byte_values, chunks, column, dealt, mix, pack, unpack, word_hashes, words
 
 NO_ID = -(1 << 63)
 ROW = "p int, kind int, weight long, blob binary"
@@ -45,6 +47,31 @@ class Unit:
         starts, ends, first = words(data, offsets)
         return word_hashes(data, starts, ends), first
 
+    def body(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that say the same as the tokens (words with one space behind each), where each token begins in them (and the end), and the
+        documents' token offsets."""
+        if self.kind == "byte":
+            return data, np.arange(len(data) + 1), offsets
+        starts, ends, first = words(data, offsets)
+        size = ends - starts + 1
+        cum = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(starts - cum[:-1], size) + np.arange(cum[-1])
+        body = np.append(data, np.uint8(32))[take] if len(take) else np.zeros(0, np.uint8)
+        body[cum[1:] - 1] = 32
+        return body, cum, first
+
+
+def same_bytes(body: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes from a and from b are equal, for each of some places; sizes are 1 or more."""
+    ok = np.ones(len(a), bool)
+    for i, j in chunks(np.concatenate([[0], np.cumsum(size)]), 1 << 20):
+        n = size[i:j]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        equal = body[np.repeat(a[i:j], n) + step] == body[np.repeat(b[i:j], n) + step]
+        ok[i:j] = np.logical_and.reduceat(equal, begin)
+    return ok
+
 
 def _sliding_least(v: np.ndarray, span: int) -> np.ndarray:
     """Position of the leftmost least value in every span of values."""
@@ -110,14 +137,9 @@ def _doc_part(doc: np.ndarray, n_parts: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
 
 
-def _deal(part: np.ndarray, n_parts: int, kind: int, weight: np.ndarray | None, *arrays: np.ndarray):
+def _deal(part: np.ndarray, kind: int, weight: np.ndarray | None, *arrays: np.ndarray):
     """Rows (p, kind, weight, blob) with the entries of each partition, in their order."""
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(n_parts + 1))
-    ps = np.flatnonzero(np.diff(ends))
-    blobs = [pack(*(x[order[ends[p] : ends[p + 1]]] for x in arrays)) for p in ps]
-    sums = [int(weight[order[ends[p] : ends[p + 1]]].sum()) if weight is not None else int(ends[p + 1] - ends[p]) for p in ps]
-    return [(int(p), kind, s, b) for p, s, b in zip(ps, sums, blobs, strict=True)]
+    return [(p, kind, int(weight[i].sum()) if weight is not None else len(i), pack(*(x[i] for x in arrays))) for p, i in dealt(part)]
 
 
 _SCHEMA = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("weight", pa.int64()), ("blob", pa.binary())])
@@ -128,86 +150,83 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def _scan_some(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, unit: Unit, n_parts: int) -> pa.Table:
+def scan_some(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, unit: Unit, n_parts: int) -> pa.Table:
     """Rows of some documents: what is equal among them collapses here."""
     found = []
     for a, b in chunks(offsets, 1 << 20):
         values, toff = unit.tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         start, n, anchor, seg = segments(unit, values, toff)
         of = np.searchsorted(toff, start, side="right") - 1
-        found.append((anchor, seg, ids[a + of], (start - toff[of]).astype(np.int32), n.astype(np.int32)))
-    anchor, seg, doc, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    order, _, rep = _collapse(unit, anchor, seg, doc, start)
+        found.append((anchor, seg, a + of, (start - toff[of]).astype(np.int32), n.astype(np.int32)))
+    anchor, seg, of, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = ids[of]
+    order, new, rep = _collapse(unit, anchor, seg, doc, start)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.flatnonzero(~rep)
+    if len(later):  # equal hashes: are the bytes equal too
+        x, y = order[later], head[later]
+        body, cum, first = unit.body(data, offsets)
+        size = n.astype(np.int64) + unit.window - 1
+        at = first[of] + start
+        begin, stop = cum[at], cum[at + size]
+        good = stop[x] - begin[x] == stop[y] - begin[y]
+        good[good] = same_bytes(body, begin[x[good]], begin[y[good]], (stop - begin)[x[good]])
+        rep[later[~good]] = True
     gone, keep = np.sort(order[~rep]), np.sort(order[rep])
-    rows = _deal((anchor[keep] % np.uint64(n_parts)).astype(np.int64), n_parts, RUN, None, *(x[keep] for x in (anchor, seg, doc, start, n)))
-    head = np.maximum.accumulate(np.where(_starts(anchor[order], seg[order]), np.arange(len(order)), 0))
-    first = order[head][~rep]
-    back = np.argsort(order[~rep], kind="stable")
+    rows = _deal((anchor[keep] % np.uint64(n_parts)).astype(np.int64), RUN, None, *(x[keep] for x in (anchor, seg, doc, start, n)))
+    first_of = np.empty(len(order), np.int64)
+    first_of[order] = head
     # a repeated row (same doc_id and start as the first) is the same occurrence
-    other = (doc[gone] != doc[first[back]]) | (start[gone] != start[first[back]])
-    gone = gone[other]
-    return _table(rows + _deal(_doc_part(doc[gone], n_parts), n_parts, FULL, None, anchor[gone], doc[gone], start[gone], n[gone]))
+    gone = gone[(doc[gone] != doc[first_of[gone]]) | (start[gone] != start[first_of[gone]])]
+    return _table(rows + _deal(_doc_part(doc[gone], n_parts), FULL, None, anchor[gone], doc[gone], start[gone], n[gone]))
 
 
 def scan_segments(docs: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
-    """Entries by anchor partition, and marks of what a task itself knows to be repeated by document partition."""
+    """Entries by anchor partition, and marks of what a task itself has found repeated by document partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = column(batch.column(1))
             for a, b in chunks(offsets, 8 << 20):
-                yield from _scan_some(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, n_parts).to_batches()
+                yield from scan_some(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, n_parts).to_batches()
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, ROW)
 
 
-def _starts(anchor: np.ndarray, seg: np.ndarray) -> np.ndarray:
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])
-    return new
+def merge_some(table: pa.Table, unit: Unit, n_parts: int, keep_runs: bool) -> pa.Table:
+    """One anchor partition: new entries (kind RUN, weight >= 0) and history (weight < 0) that meet under an anchor are to be compared."""
+    columns = [c.to_pylist() for c in table.columns]
+    out = [(p, k, w, b) for p, k, w, b in zip(*columns, strict=True) if k == FULL]
+    mine = [(w, _entries(b)) for _, k, w, b in zip(*columns, strict=True) if k == RUN]
+    if not mine:
+        return _table(out)
+    part = columns[0][0]
+    fresh = np.concatenate([np.full(len(e[0]), w >= 0) for w, e in mine])
+    anchor, seg, doc, start, n = (np.concatenate(x) for x in zip(*(e for _, e in mine), strict=True))
+    order, _, rep = _collapse(unit, anchor, seg, doc, start)
+    once = np.ones(len(order), bool)  # an occurrence counts once, even if its row repeats
+    once[1:] = np.any([x[order][1:] != x[order][:-1] for x in (anchor, doc, start)], axis=0)
+    order, rep = order[once], rep[once]
+    anchor, seg, doc, start, n, fresh = (x[order] for x in (anchor, seg, doc, start, n, fresh))
+    by = np.argsort(anchor, kind="stable")
+    a = anchor[by]
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    size = np.diff(np.append(begin, len(a)))
+    news = np.add.reduceat(fresh[by].astype(np.int64), begin)
+    look = by[np.repeat((size > 1) & (news > 0), size)]
+    out += _deal(_doc_part(doc[look], n_parts), CHECK, n[look].astype(np.int64) + unit.window - 1, anchor[look], doc[look], start[look], n[look])
+    if keep_runs:  # the first of equal hashes stands for them in the index
+        i = np.flatnonzero(fresh & rep)
+        i = i[np.lexsort((seg[i], anchor[i]))]
+        if len(i):
+            out.append((part, RUN, -len(i), pack(anchor[i], seg[i], doc[i], start[i], n[i])))
+    return _table(out)
 
 
 def merge(rows: DataFrame, unit: Unit, n_parts: int, keep_runs: bool) -> DataFrame:
-    """Per anchor partition: merge new entries (kind RUN, weight >= 0) with history (weight < 0).
-
-    Gives marks FULL and CHECK by document partition and, with keep_runs, the sorted run of new segments.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        out = [(p, k, w, b) for p, k, w, b in zip(*(c.to_pylist() for c in table.columns), strict=True) if k == FULL]
-        mine = [(w, _entries(b)) for k, w, b in zip(table.column("kind").to_pylist(), table.column("weight").to_pylist(), table.column("blob").to_pylist(), strict=True) if k == RUN]
-        if not mine:
-            return _table(out)
-        part = table.column("p")[0].as_py()
-        fresh = np.concatenate([np.full(len(e[0]), w >= 0) for w, e in mine])
-        anchor, seg, doc, start, n = (np.concatenate(x) for x in zip(*(e for _, e in mine), strict=True))
-        order, new, rep = _collapse(unit, anchor, seg, doc, start)
-        anchor, seg, doc, start, n, fresh = (x[order] for x in (anchor, seg, doc, start, n, fresh))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        other = (doc != doc[head]) | (start != start[head])
-        gone = ~rep & fresh & other
-        out += _deal(_doc_part(doc[gone], n_parts), n_parts, FULL, None, anchor[gone], doc[gone], start[gone], n[gone])
-        once = rep.copy()  # an occurrence counts once, even if its row repeats
-        once[1:] &= new[1:] | (start[1:] != start[:-1]) | (doc[1:] != doc[:-1])
-        anchor, seg, doc, start, n, fresh, new = (x[once] for x in (anchor, seg, doc, start, n, fresh, new))
-        # anchors under which several different segments meet, one of them new
-        by = np.argsort(anchor, kind="stable")
-        a = anchor[by]
-        begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        if len(a):
-            kinds = np.add.reduceat(new[by].astype(np.int64), begin)
-            news = np.add.reduceat((new & fresh)[by].astype(np.int64), begin)
-            look = by[np.repeat((kinds > 1) & (news > 0), np.diff(np.append(begin, len(a))))]
-            out += _deal(_doc_part(doc[look], n_parts), n_parts, CHECK, n[look].astype(np.int64) + unit.window - 1, anchor[look], doc[look], start[look], n[look])
-        if keep_runs:
-            i = np.flatnonzero(fresh)
-            i = i[np.lexsort((seg[i], anchor[i]))]
-            if len(i):
-                out.append((part, RUN, -len(i), pack(anchor[i], seg[i], doc[i], start[i], n[i])))
-        return _table(out)
-
-    return rows.groupBy("p").applyInArrow(run, ROW)
+    """Marks FULL and CHECK by document partition and, with keep_runs, the sorted run of new segments of each anchor partition."""
+    return rows.groupBy("p").applyInArrow(lambda table: merge_some(table, unit, n_parts, keep_runs), ROW)
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -228,11 +247,8 @@ def packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = column(batch.column(1))
-            order = np.argsort(part := _doc_part(ids, n_parts), kind="stable")
-            ends = np.searchsorted(part[order], np.arange(n_parts + 1))
             rows = []
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                i = order[ends[p] : ends[p + 1]]
+            for p, i in dealt(_doc_part(ids, n_parts)):
                 size = offsets[i + 1] - offsets[i]
                 body = np.concatenate([data[offsets[x] : offsets[x + 1]] for x in i.tolist()])
                 rows.append((p, TEXT, len(i), pack(ids[i], size, body)))
@@ -259,44 +275,39 @@ def read_group(table: pa.Table):
     return ids, np.concatenate([[0], np.cumsum(sizes)]), data, marks
 
 
+def cut_out(table: pa.Table, unit: Unit, n_parts: int) -> pa.Table:
+    """The bytes of the segments to compare of a group of documents."""
+    ids, offsets, data, found = read_group(table)
+    anchor, doc, start, n = found[CHECK]
+    if not len(doc) or not len(ids):
+        return _table([])
+    once = np.unique(np.stack([doc, start.astype(np.int64)], 1), axis=0, return_index=True)[1]
+    anchor, doc, start, size = anchor[once], doc[once], start[once].astype(np.int64), n[once].astype(np.int64) + unit.window - 1
+    body, cum, toff = unit.body(data, offsets)
+    known, row = np.unique(ids, return_index=True)
+    at = toff[row[np.searchsorted(known, doc)]] + start
+    begin, size = cum[at], cum[at + size] - cum[at]
+    rows = []
+    for p, i in dealt((mix(anchor) % np.uint64(n_parts)).astype(np.int64)):
+        take = np.repeat(begin[i] - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(size[i].sum())
+        rows.append((p, TEXT, len(i), pack(doc[i], start[i], size[i], body[take])))
+    return _table(rows)
+
+
 def pieces(texts: DataFrame, marks: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
-    """The tokens of all segments to compare, by a partition of their anchors."""
+    """The bytes of all segments to compare, by a partition of their anchors."""
+    return texts.unionByName(marks.where(F.col("kind") == CHECK)).groupBy("p").applyInArrow(lambda table: cut_out(table, unit, n_parts), ROW)
 
-    def cut_out(table: pa.Table) -> pa.Table:
-        ids, offsets, data, found = read_group(table)
-        anchor, doc, start, n = found[CHECK]
-        if not len(doc) or not len(ids):
-            return _table([])
-        once = np.unique(np.stack([doc, start.astype(np.int64)], 1), axis=0, return_index=True)[1]
-        anchor, doc, start, size = anchor[once], doc[once], start[once], n[once].astype(np.int64) + unit.window - 1
-        if unit.kind == "byte":
-            tokens, toff = data, offsets
-        else:
-            tokens, toff = unit.tokens(data, offsets)
-        known, row = np.unique(ids, return_index=True)
-        at = toff[row[np.searchsorted(known, doc)]] + start
-        part = (mix(anchor) % np.uint64(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(n_parts + 1))
-        rows = []
-        for p in np.flatnonzero(np.diff(ends)).tolist():
-            i = order[ends[p] : ends[p + 1]]
-            take = np.repeat(at[i] - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(size[i].sum())
-            rows.append((p, TEXT, len(i), pack(doc[i], start[i].astype(np.int64), size[i], tokens[take])))
-        return _table(rows)
-
-    return texts.unionByName(marks.where(F.col("kind") == CHECK)).groupBy("p").applyInArrow(cut_out, ROW)
-
-
-def read_pieces(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start, size and tokens of the pieces of a group, in the order of (doc, start)."""
+
+def read_pieces(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, start, size and bytes of the pieces of a group, in the order of (doc, start)."""
     docs, starts, sizes, bodies = [], [], [], []
     for n, blob in zip(table.column("weight").to_pylist(), table.column("blob"), strict=True):
         raw = unpack(blob.as_py())
         docs.append(np.frombuffer(raw, np.int64, n))
         starts.append(np.frombuffer(raw, np.int64, n, 8 * n))
         sizes.append(np.frombuffer(raw, np.int64, n, 16 * n))
-        bodies.append(np.frombuffer(raw, dtype, -1, 24 * n))
+        bodies.append(np.frombuffer(raw, np.uint8, -1, 24 * n))
     doc, start, size, body = (np.concatenate(x) for x in (docs, starts, sizes, bodies))
     order = np.lexsort((start, doc))
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -304,35 +315,55 @@ def read_pieces(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndar
     return doc[order], start[order], size[order], body[take]
 
 
+def copies(unit: Unit, doc: np.ndarray, size: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Which pieces are, byte for byte, an earlier piece (of a smaller document, if that is the rule), so that all their windows go."""
+    begin = np.cumsum(size) - size
+    h = Prefix(byte_values(body)).range(begin, begin + size)
+    order = np.argsort(h, kind="stable")  # pieces are in the order of (doc, start)
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], h[order][1:] != h[order][:-1]]), np.arange(len(order)), 0))
+    x, y = order, order[head]
+    ok = (x != y) & (size[x] == size[y]) & ((not unit.by_document) | (doc[x] != doc[y]))
+    ok[ok] = same_bytes(body, begin[x[ok]], begin[y[ok]], size[x[ok]])
+    out = np.zeros(len(size), bool)
+    out[x[ok]] = True
+    return out
+
+
+def compare_some(table: pa.Table, unit: Unit, n_parts: int, repeated: Callable) -> pa.Table:
+    """Marks FULL of one group of pieces."""
+    doc, start, size, body = read_pieces(table)
+    copy = copies(unit, doc, size, body)
+    left = np.flatnonzero(~copy)
+    piece, offset = repeated(unit, doc[left], size[left], body[np.repeat(~copy, size)])  # of windows: place and token in it
+    order = np.lexsort((offset, piece))
+    piece, offset = left[piece[order]], offset[order]
+    new = np.ones(len(piece), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(piece)))
+    whole = np.flatnonzero(copy)
+    spaces = np.concatenate([[0], np.cumsum(body == 32)])
+    end = np.cumsum(size)[whole]
+    tokens = size[whole] if unit.kind == "byte" else spaces[end] - spaces[end - size[whole]]
+    d = np.concatenate([doc[piece[first]], doc[whole]])
+    s = np.concatenate([start[piece[first]] + offset[first], start[whole]]).astype(np.int32)
+    n = np.concatenate([n, tokens - unit.window + 1]).astype(np.int32)
+    return _table(_deal(_doc_part(d, n_parts), FULL, None, np.zeros(len(d), np.uint64), d, s, n))
+
+
 def compare(groups: DataFrame, unit: Unit, n_parts: int, repeated: Callable) -> DataFrame:
-    """Marks FULL of single windows that `repeated` finds in each group of pieces."""
-    dtype = np.uint8 if unit.kind == "byte" else np.uint64
+    """Marks FULL of the windows that are copies or that `repeated` finds in each group of pieces."""
+    return groups.groupBy("p").applyInArrow(lambda table: compare_some(table, unit, n_parts, repeated), ROW)
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, start, size, tokens = read_pieces(table, dtype)
-        gone = np.sort(repeated(unit, doc, size, tokens))  # token positions of window starts
-        if not len(gone):
-            return _table([])
-        begin = np.concatenate([[0], np.cumsum(size)])
-        piece = np.searchsorted(begin, gone, side="right") - 1
-        new = np.ones(len(gone), bool)
-        new[1:] = (gone[1:] != gone[:-1] + 1) | (piece[1:] != piece[:-1])
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(gone))).astype(np.int32)
-        d, s = doc[piece[first]], (start[piece[first]] + gone[first] - begin[piece[first]]).astype(np.int32)
-        return _table(_deal(_doc_part(d, n_parts), n_parts, FULL, None, np.zeros(len(d), np.uint64), d, s, n))
-
-    return groups.groupBy("p").applyInArrow(run, ROW)
-
-
-def all_marks(docs: DataFrame, unit: Unit, marks: DataFrame, n_parts: int, repeated: Callable) -> DataFrame:
-    """FULL marks of everything to remove: those of equal segments and those found by comparing windows."""
+
+def all_marks(texts: DataFrame, unit: Unit, marks: DataFrame, n_parts: int, repeated: Callable) -> DataFrame:
+    """FULL marks of everything to remove; texts are those of all documents under CHECK marks (others do no harm)."""
     volume = marks.where(F.col("kind") == CHECK).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     full = marks.where(F.col("kind") == FULL)
     if not volume:
         return full
-    n_groups = max(12, -(-int(volume) * (1 if unit.kind == "byte" else 8) // PIECE_BYTES))
-    groups = pieces(packed_texts(docs.where("doc_id is not null and text is not null"), n_parts), marks, unit, n_groups)
+    n_groups = max(12, -(-int(volume) * (1 if unit.kind == "byte" else 7) // PIECE_BYTES))
+    groups = pieces(packed_texts(texts.where("doc_id is not null and text is not null"), n_parts), marks, unit, n_groups)
     return full.unionByName(compare(groups, unit, n_parts, repeated))
 
 
@@ -359,8 +390,3 @@ def finish(docs: DataFrame, marks: DataFrame, n_parts: int, rows: Callable, sche
         return rows(ids, offsets, data, found[FULL])
 
     return packed_texts(docs, n_parts).unionByName(marks).groupBy("p").applyInArrow(run, schema)
-
-
-def first_marks(docs: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
-    """Marks of one batch without history."""
-    return cut(merge(scan_segments(docs, unit, n_parts), unit, n_parts, keep_runs=False), "marks")
