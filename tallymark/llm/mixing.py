@@ -51,33 +51,37 @@ def source_targets(sizes: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
     return per.select(f"{_P}source", f"{_P}source_size", target.alias(f"{_P}target"))
 
 
-def with_copies(docs: DataFrame, seed: str = SEED, max_rate: int = MAX_RATE) -> DataFrame:
-    """docs with __mix_size, __mix_source_size, __mix_target and __mix_copies."""
-    sized = docs.withColumns({f"{_P}source": F.col("source"), f"{_P}size": word_count(F.col("text"))})
-    targets = source_targets(sized.select(f"{_P}source", f"{_P}size"), max_rate)
-    targets = targets.withColumnRenamed(f"{_P}source", f"{_P}key")
-    joined = sized.join(targets, F.col(f"{_P}source").eqNullSafe(F.col(f"{_P}key")))
-    rate = F.coalesce(F.try_divide(F.col(f"{_P}target"), F.col(f"{_P}source_size")), F.lit(0.0))
+def with_copies(docs: DataFrame, seed: str = SEED, max_rate: int = MAX_RATE) -> tuple[DataFrame, str]:
+    """docs, all columns, with size, source_size, target and copies under a prefix that none of their names has, and that prefix."""
+    p = _P
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    sized = docs.withColumn(f"{p}size", word_count(docs["text"]))
+    targets = source_targets(sized.select(F.col("source").alias(f"{_P}source"), F.col(f"{p}size").alias(f"{_P}size")), max_rate)
+    targets = targets.select(F.col(f"{_P}source").alias(f"{p}key"), F.col(f"{_P}source_size").alias(f"{p}source_size"), F.col(f"{_P}target").alias(f"{p}target"))
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(f"{p}key")))
+    rate = F.coalesce(F.try_divide(F.col(f"{p}target"), F.col(f"{p}source_size")), F.lit(0.0))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13)
     draw = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn(f"{_P}copies", copies.cast("long")).drop(f"{_P}source", f"{_P}key")
+    return joined.withColumn(f"{p}copies", copies.cast("long")).drop(f"{p}key"), p
 
 
 def emit(docs: DataFrame, seed: str = SEED, max_rate: int = MAX_RATE) -> DataFrame:
     """The mixture itself: every document as often as it was drawn, with docs' own columns."""
-    repeated = with_copies(docs, seed, max_rate).withColumn(f"{_P}copy", F.explode(F.array_repeat(F.lit(1), F.col(f"{_P}copies").cast("int"))))
+    drawn, p = with_copies(docs, seed, max_rate)
+    repeated = drawn.withColumn(f"{p}copy", F.explode(F.array_repeat(F.lit(1), F.col(f"{p}copies").cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    d = with_copies(docs.select("doc_id", "text", "source"), seed)
+    d, p = with_copies(docs.select("doc_id", "text", "source"), seed)
     return d.select(
         "doc_id",
-        F.col(f"{_P}size").alias("size"),
-        F.col(f"{_P}source_size").alias("source_size"),
-        F.col(f"{_P}target").alias("target"),
-        (F.col(f"{_P}size") * F.col(f"{_P}copies")).alias("taken"),
+        F.col(f"{p}size").alias("size"),
+        F.col(f"{p}source_size").alias("source_size"),
+        F.col(f"{p}target").alias("target"),
+        (F.col(f"{p}size") * F.col(f"{p}copies")).alias("taken"),
     )
 
 

@@ -5,8 +5,9 @@ encoded (character-class transitions, word repetition and length figures), a hid
 gated attention (tanh times sigmoid) weigh the passages, and the weighted representation is
 scored.  Document labels train all layers at once; the passages have no labels of their own.
 
-Training takes at most about SAMPLE labelled rows (a documented bound; chosen by a hash of the text) and
-gathers only their encoded passages.  Scoring is one map over the documents with the model, of fixed size, in its closure.
+Training takes at most about SAMPLE labelled rows and TRAIN_BYTES of text (documented bounds; rows are chosen by a hash of the label's doc_id,
+fewer of them where their texts are long, and texts over LONGEST bytes are not trained on) and gathers only their
+encoded passages.  Scoring is one map over all whole documents with the model, of fixed size, in its closure.
 
 Defined results for odd input: a null, empty or blank text is a bag with one passage of zeros and gets the
 score the model gives that; repeated rows score alike; an empty document table gives no rows; without any usable
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import is_training_fold
+from .tables import is_training_fold, ready
 from .textkit import chunks, column, unpack, pack, word_hashes, words
 
 PASSAGE_WORDS = 40
 SAMPLE = 3000
+TRAIN_BYTES, LONGEST = 16 << 20, 1 << 20
 HIDDEN, GATE, EPOCHS = 16, 8, 160
 FOLDS, HELD = 3, 1
 
@@ -150,10 +152,17 @@ class Constant:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Constant:
     """A model from labelled rows outside the held-out fold."""
+    docs = ready(docs)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & is_training_fold("doc_id", FOLDS, HELD)).select(F.col("doc_id").alias("__label_id"), F.col("quality").cast("int").alias("__quality"))
-    n = usable.count()
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("quality"), "__label_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(n, 1)))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id")).select("text", "__quality")  # chosen has about `sample` rows
+    share = min(1.0, sample / max(usable.count(), 1))
+
+    def rows_of(share: float) -> DataFrame:
+        chosen = usable.where(F.pmod(F.xxhash64(F.lit("quality"), "__label_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
+        texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+        return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__label_id")).select("text", "__quality")  # chosen has about `sample` rows
+
+    volume = rows_of(share).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = rows_of(share * min(1.0, TRAIN_BYTES / max(volume, 1)))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
