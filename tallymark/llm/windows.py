@@ -47,11 +47,11 @@ class Unit:
         starts, ends, first = words(data, offsets)
         return word_hashes(data, starts, ends), first
 
-    def body(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes that say the same as the tokens (words with one space behind each), where each token begins in them (and the end), and the
-        documents' token offsets."""
+    def body(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """Bytes that say the same as the tokens (words with one space behind each), where each token begins in them and the end (None: token
+        numbers are places), and the documents' token offsets."""
         if self.kind == "byte":
-            return data, np.arange(len(data) + 1), offsets
+            return data, None, offsets
         starts, ends, first = words(data, offsets)
         size = ends - starts + 1
         cum = np.concatenate([[0], np.cumsum(size)])
@@ -137,6 +137,16 @@ def _doc_part(doc: np.ndarray, n_parts: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
 
 
+def gather(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The size bytes from each place, one after the other."""
+    out = np.empty(int(size.sum()), np.uint8)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    for i, j in chunks(upto, 1 << 20):  # bounds the indexes
+        n = size[i:j]
+        out[upto[i] : upto[j]] = body[np.repeat(begin[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return out
+
+
 def _deal(part: np.ndarray, kind: int, weight: np.ndarray | None, *arrays: np.ndarray):
     """Rows (p, kind, weight, blob) with the entries of each partition, in their order."""
     return [(p, kind, int(weight[i].sum()) if weight is not None else len(i), pack(*(x[i] for x in arrays))) for p, i in dealt(part)]
@@ -168,7 +178,7 @@ def scan_some(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, unit: Unit
         body, cum, first = unit.body(data, offsets)
         size = n.astype(np.int64) + unit.window - 1
         at = first[of] + start
-        begin, stop = cum[at], cum[at + size]
+        begin, stop = (at, at + size) if cum is None else (cum[at], cum[at + size])
         good = stop[x] - begin[x] == stop[y] - begin[y]
         good[good] = same_bytes(body, begin[x[good]], begin[y[good]], (stop - begin)[x[good]])
         rep[later[~good]] = True
@@ -283,14 +293,19 @@ def cut_out(table: pa.Table, unit: Unit, n_parts: int) -> pa.Table:
         return _table([])
     once = np.unique(np.stack([doc, start.astype(np.int64)], 1), axis=0, return_index=True)[1]
     anchor, doc, start, size = anchor[once], doc[once], start[once].astype(np.int64), n[once].astype(np.int64) + unit.window - 1
-    body, cum, toff = unit.body(data, offsets)
     known, row = np.unique(ids, return_index=True)
-    at = toff[row[np.searchsorted(known, doc)]] + start
-    begin, size = cum[at], cum[at + size] - cum[at]
+    row = row[np.searchsorted(known, doc)]  # the text of each mark
     rows = []
-    for p, i in dealt((mix(anchor) % np.uint64(n_parts)).astype(np.int64)):
-        take = np.repeat(begin[i] - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(size[i].sum())
-        rows.append((p, TEXT, len(i), pack(doc[i], start[i], size[i], body[take])))
+    for a, b in chunks(offsets, 4 << 20):
+        own = np.flatnonzero((row >= a) & (row < b))
+        if not len(own):
+            continue
+        body, cum, toff = unit.body(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        at = toff[row[own] - a] + start[own]
+        begin, stop = (at, at + size[own]) if cum is None else (cum[at], cum[at + size[own]])
+        n = stop - begin
+        for p, i in dealt((mix(anchor[own]) % np.uint64(n_parts)).astype(np.int64)):
+            rows.append((p, TEXT, len(i), pack(doc[own[i]], start[own[i]], n[i], gather(body, begin[i], n[i]))))
     return _table(rows)
 
 
@@ -311,14 +326,16 @@ def read_pieces(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     doc, start, size, body = (np.concatenate(x) for x in (docs, starts, sizes, bodies))
     order = np.lexsort((start, doc))
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    take = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(size.sum())
-    return doc[order], start[order], size[order], body[take]
+    return doc[order], start[order], size[order], gather(body, begin[order], size[order])
 
 
 def copies(unit: Unit, doc: np.ndarray, size: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Which pieces are, byte for byte, an earlier piece (of a smaller document, if that is the rule), so that all their windows go."""
     begin = np.cumsum(size) - size
-    h = Prefix(byte_values(body)).range(begin, begin + size)
+    h = np.empty(len(size), np.uint64)
+    for i, j in chunks(np.concatenate([[0], np.cumsum(size)]), 1 << 20):
+        at = begin[i:j] - begin[i]
+        h[i:j] = Prefix(byte_values(body[begin[i] : begin[j - 1] + size[j - 1]])).range(at, at + size[i:j])
     order = np.argsort(h, kind="stable")  # pieces are in the order of (doc, start)
     head = np.maximum.accumulate(np.where(np.concatenate([[True], h[order][1:] != h[order][:-1]]), np.arange(len(order)), 0))
     x, y = order, order[head]
@@ -387,6 +404,7 @@ def finish(docs: DataFrame, marks: DataFrame, n_parts: int, rows: Callable, sche
 
     def run(table: pa.Table) -> pa.Table:
         ids, offsets, data, found = read_group(table)
-        return rows(ids, offsets, data, found[FULL])
+        some = [rows(ids[a:b], offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], found[FULL]) for a, b in chunks(offsets, 4 << 20)]
+        return pa.concat_tables(some) if some else rows(ids, offsets, data, found[FULL])
 
     return packed_texts(docs, n_parts).unionByName(marks).groupBy("p").applyInArrow(run, schema)
