@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut, ready
-from .textkit import _IS_SEP, chunks, column
+from .textkit import _IS_SEP, chunks, column, tidy
 
 Q = 8
 EDITS = 0.10
@@ -262,7 +262,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
 
         if k and k % CHAIN == 0:
             rows = cut(rows, "matches")
-        rows = rows.mapInArrow(scan, "doc_id long, text string, items array<long>, edits long")
+        rows = rows.mapInArrow(tidy(scan), "doc_id long, text string, items array<long>, edits long")
     return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "edits")
 
 
@@ -281,5 +281,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
         if k and k % CHAIN == 0:
             docs = cut(docs, "clean")
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = docs.mapInArrow(tidy(scan), docs.schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_BYTES, blocks_of_mixed, pairs_in_groups
 from .components import components
 from .tables import Scratch, free_name, parts, ready
-from .textkit import _IS_SEP, WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack
+from .textkit import _IS_SEP, WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack, tidy
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -111,7 +111,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 h = line_hashes(fold_ascii(part), starts[full], ends[full])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a + doc[full]]), pa.array(number[full].astype(np.int32))], names=["h", "doc_id", "line"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, "h long, doc_id long, line int")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(tidy(scan), "h long, doc_id long, line int")
 
 
 def _small(df: DataFrame, lists: str, each: int) -> bool:
@@ -169,8 +169,8 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
         more = pa.table({"key": key[many].view(np.int64), "a": name[many].view(np.int64), "b": pa.nulls(int(many.sum()), pa.int64())})
         return pa.concat_tables([found, more])
 
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(bands, "p int, blob binary")
-    return keyed.groupBy("p").applyInArrow(meet, "key long, a long, b long")
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(tidy(bands), "p int, blob binary")
+    return keyed.groupBy("p").applyInArrow(tidy(meet), "key long, a long, b long")
 
 
 def _sorted_shingles(line: bytes) -> np.ndarray:
@@ -207,7 +207,7 @@ def bodies(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, scratch: Scratc
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lines, pa.binary())], names=["h", "body"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").select("text", "wanted")
-    return scratch.cut(rows.mapInArrow(pick, "h long, body binary").dropDuplicates(["h"]), "lines")
+    return scratch.cut(rows.mapInArrow(tidy(pick), "h long, body binary").dropDuplicates(["h"]), "lines")
 
 
 def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
                 ok.append(_alike(sx, _sorted_shingles(y.as_py())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "la", "lb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "la", "lb").mapInArrow(tidy(test), "a long, b long")
 
 
 def _common(sets: list[np.ndarray], n_left: int) -> np.ndarray:
@@ -285,7 +285,7 @@ def across(members: DataFrame, lines: DataFrame, group: DataFrame, n_parts: int,
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     full = met.join(lines, "h").select("key", "h", "c", "block", "i", "j", "body")
-    return full.groupBy(F.pmod("key", F.lit(n)).alias("p"), "i", "j").applyInArrow(test, "a long, b long").distinct()
+    return full.groupBy(F.pmod("key", F.lit(n)).alias("p"), "i", "j").applyInArrow(tidy(test), "a long, b long").distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -351,7 +351,7 @@ def without_repeats(docs: DataFrame, least: float = 0.0) -> DataFrame:
             arrays[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:gone_at]).filter(pa.array(stay, pa.bool_()))
 
-    out = joined.mapInArrow(scan, docs.schema)
+    out = joined.mapInArrow(tidy(scan), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -370,4 +370,4 @@ def digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256((new or "").encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines), pa.array(removed, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return _with_removed(docs.select("doc_id", "text")).mapInArrow(scan, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return _with_removed(docs.select("doc_id", "text")).mapInArrow(tidy(scan), "doc_id long, n_lines long, n_removed long, kept_sha256 string")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .blocks import blocks_of_mixed, pairs_in_groups
 from .components import components
 from .tables import Scratch, free_name, parts, ready
-from .textkit import Prefix, chunks, column, dealt, fold_ascii, mix, pack, unpack, word_hashes, words
+from .textkit import Prefix, chunks, column, dealt, fold_ascii, mix, pack, unpack, word_hashes, words, tidy
 
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -91,7 +91,7 @@ def first_pass(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         empty = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), "doc_id long, n long, s1 long, s2 long, slice int, counts binary")
 
 
 def read_sketch(rows: DataFrame) -> np.ndarray:
@@ -101,7 +101,7 @@ def read_sketch(rows: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(unpack(b.as_py()), np.int64) for b in table.column("counts"))
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([pack(total)], pa.binary())})
 
-    got = rows.groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().sort_by("slice")
+    got = rows.groupBy("slice").applyInArrow(tidy(add), "slice int, counts binary").toArrow().sort_by("slice")
     return np.concatenate([np.frombuffer(unpack(b.as_py()), np.int64) for b in got.column("counts")]) if got.num_rows else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
@@ -169,7 +169,7 @@ def prefixes(docs: DataFrame, reps: DataFrame, level: np.ndarray, bound: int, un
                 maps.append(bitmap(s) if len(s) > 1 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "n", "keys", "bits"])
 
-    own = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, keys binary, bits binary").where("keys is not null").join(reps, "doc_id", "left_semi")
+    own = docs.select("doc_id", "text").mapInArrow(tidy(scan), "doc_id long, n long, keys binary, bits binary").where("keys is not null").join(reps, "doc_id", "left_semi")
     return own if unique else own.dropDuplicates(["doc_id"])
 
 
@@ -188,7 +188,7 @@ def deal(own: DataFrame, n_parts: int) -> DataFrame:
             rows = [(p, pack(key[i], doc[i], n[i].astype(np.int32), pos[i])) for p, i in dealt((key % np.uint64(n_parts)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
 
-    return own.select("doc_id", "n", "keys").mapInArrow(scan, "p int, blob binary")
+    return own.select("doc_id", "n", "keys").mapInArrow(tidy(scan), "p int, blob binary")
 
 
 def _lists(table: pa.Table):
@@ -237,7 +237,7 @@ def stars(keyed: DataFrame, num: int, den: int) -> DataFrame:
         more = pa.table({"list": np.repeat(name, length)[many].view(np.int64), "a": doc[many], "b": pa.nulls(int(many.sum()), pa.int64())})
         return pa.concat_tables([found, more])
 
-    return keyed.groupBy("p").applyInArrow(run, "list long, a long, b long")
+    return keyed.groupBy("p").applyInArrow(tidy(run), "list long, a long, b long")
 
 
 def fits(n: np.ndarray, bits: list[np.ndarray], x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -284,7 +284,7 @@ def across(members: DataFrame, bits: DataFrame, group: DataFrame, n_parts: int,
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     full = met.join(bits.withColumnRenamed("doc_id", "h"), "h").select("key", "h", "c", "block", "i", "j", "n", "bits")
-    return full.groupBy(F.pmod("key", F.lit(n_groups)).alias("p"), "i", "j").applyInArrow(test, "a long, b long").distinct()
+    return full.groupBy(F.pmod("key", F.lit(n_groups)).alias("p"), "i", "j").applyInArrow(tidy(test), "a long, b long").distinct()
 
 
 def close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
@@ -298,7 +298,7 @@ def close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
             differ = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(differ <= na + nb - 2 * need))
 
-    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(tidy(test), "a long, b long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, unique: bool, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
@@ -311,7 +311,7 @@ def verify(docs: DataFrame, pairs: DataFrame, unique: bool, scratch: Scratch, k:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(s) for s in _sets(batch.column(1), k)], pa.binary())], names=["doc_id", "tokens"])
 
     wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = wanted.mapInArrow(pick, "doc_id long, tokens binary")
+    sets = wanted.mapInArrow(tidy(pick), "doc_id long, tokens binary")
     sets = scratch.cut(sets if unique else sets.dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), "a")
 
@@ -325,7 +325,7 @@ def verify(docs: DataFrame, pairs: DataFrame, unique: bool, scratch: Scratch, k:
                 ok.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(test), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:

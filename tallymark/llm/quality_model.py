@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import is_training_fold, ready
-from .textkit import chunks, column, unpack, pack, word_hashes, words
+from .textkit import chunks, column, unpack, pack, word_hashes, words, tidy
 
 PASSAGE_WORDS = 40
 SAMPLE = 3000
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | C
                 blobs += [pack(x[begin[i] : begin[i + 1]]) for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch.column(1)], names=["bag", "y"])
 
-    got = rows.mapInArrow(bags, "bag binary, y int").toArrow()
+    got = rows.mapInArrow(tidy(bags), "bag binary, y int").toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Constant(0.5 if not len(y) else (y.sum() + 1) / (len(y) + 2))
@@ -202,7 +202,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(~is_training_fold("doc_id", FOLDS, HELD), F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(scan, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held, "text").mapInArrow(tidy(scan), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -214,4 +214,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(at)) >= threshold))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)

@@ -6,7 +6,10 @@ offsets, so no per-word Python objects are made.  A null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +140,36 @@ def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     begin = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
     for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
         yield int(part[order[i]]), order[i:j]
+
+
+_RELEASED = [0.0]
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers stay alive, and several share an executor's memory."""
+    if time.monotonic() - _RELEASED[0] > 0.5:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+        _RELEASED[0] = time.monotonic()
+
+
+def _released(batches: Iterator) -> Iterator:
+    yield from batches
+    release()
+
+
+def tidy(f: Callable) -> Callable:
+    """f, a map over batches or a function of a group, with freed memory given back when it is done."""
+
+    @functools.wraps(f)
+    def run(arg):
+        out = f(arg)
+        if isinstance(out, Iterator):
+            return _released(out)
+        release()
+        return out
+
+    return run

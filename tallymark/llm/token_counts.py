@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from .tables import ready
 from .textkit import chunks as ranges
-from .textkit import column, mix
+from .textkit import column, mix, tidy
 
 CHUNK_BYTES = 1 << 20
 #: Most states of a token machine and most pre-tokens that a worker remembers; beyond that it starts anew.
@@ -524,4 +524,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
                 counts[a:b] = _count_some(machine, texts.slice(a, b - a))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return ready(docs).select("doc_id", "text").mapInArrow(scan_batches, SCHEMA)
+    return ready(docs).select("doc_id", "text").mapInArrow(tidy(scan_batches), SCHEMA)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Prefix, byte_values, chunks, column, dealt, mix, pack, unpack, word_hashes, words
+from .textkit import Prefix, byte_values, chunks, column, dealt, mix, pack, unpack, word_hashes, words, tidy
 
 NO_ID = -(1 << 63)
 ROW = "p int, kind int, weight long, blob binary"
@@ -201,7 +201,7 @@ def scan_segments(docs: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
             for a, b in chunks(offsets, 8 << 20):
                 yield from scan_some(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], unit, n_parts).to_batches()
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, ROW)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(tidy(scan), ROW)
 
 
 def merge_some(table: pa.Table, unit: Unit, n_parts: int, keep_runs: bool) -> pa.Table:
@@ -236,7 +236,7 @@ def merge_some(table: pa.Table, unit: Unit, n_parts: int, keep_runs: bool) -> pa
 
 def merge(rows: DataFrame, unit: Unit, n_parts: int, keep_runs: bool) -> DataFrame:
     """Marks FULL and CHECK by document partition and, with keep_runs, the sorted run of new segments of each anchor partition."""
-    return rows.groupBy("p").applyInArrow(lambda table: merge_some(table, unit, n_parts, keep_runs), ROW)
+    return rows.groupBy("p").applyInArrow(tidy(lambda table: merge_some(table, unit, n_parts, keep_runs)), ROW)
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def compact(runs: DataFrame) -> DataFrame:
         i = np.lexsort((seg, anchor))
         return _table([(table.column("p")[0].as_py(), RUN, -len(i), pack(anchor[i], seg[i], doc[i], start[i], n[i]))])
 
-    return runs.groupBy("p").applyInArrow(run, ROW)
+    return runs.groupBy("p").applyInArrow(tidy(run), ROW)
 
 
 def packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -264,7 +264,7 @@ def packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
                 rows.append((p, TEXT, len(i), pack(ids[i], size, body)))
             yield from _table(rows).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, ROW)
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), ROW)
 
 
 def read_group(table: pa.Table):
@@ -311,7 +311,7 @@ def cut_out(table: pa.Table, unit: Unit, n_parts: int) -> pa.Table:
 
 def pieces(texts: DataFrame, marks: DataFrame, unit: Unit, n_parts: int) -> DataFrame:
     """The bytes of all segments to compare, by a partition of their anchors."""
-    return texts.unionByName(marks.where(F.col("kind") == CHECK)).groupBy("p").applyInArrow(lambda table: cut_out(table, unit, n_parts), ROW)
+    return texts.unionByName(marks.where(F.col("kind") == CHECK)).groupBy("p").applyInArrow(tidy(lambda table: cut_out(table, unit, n_parts)), ROW)
 
 
 def read_pieces(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -370,7 +370,7 @@ def compare_some(table: pa.Table, unit: Unit, n_parts: int, repeated: Callable)
 
 def compare(groups: DataFrame, unit: Unit, n_parts: int, repeated: Callable) -> DataFrame:
     """Marks FULL of the windows that are copies or that `repeated` finds in each group of pieces."""
-    return groups.groupBy("p").applyInArrow(lambda table: compare_some(table, unit, n_parts, repeated), ROW)
+    return groups.groupBy("p").applyInArrow(tidy(lambda table: compare_some(table, unit, n_parts, repeated)), ROW)
 
 
 def all_marks(texts: DataFrame, unit: Unit, marks: DataFrame, n_parts: int, repeated: Callable) -> DataFrame:
@@ -407,4 +407,4 @@ def finish(docs: DataFrame, marks: DataFrame, n_parts: int, rows: Callable, sche
         some = [rows(ids[a:b], offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], found[FULL]) for a, b in chunks(offsets, 4 << 20)]
         return pa.concat_tables(some) if some else rows(ids, offsets, data, found[FULL])
 
-    return packed_texts(docs, n_parts).unionByName(marks).groupBy("p").applyInArrow(run, schema)
+    return packed_texts(docs, n_parts).unionByName(marks).groupBy("p").applyInArrow(tidy(run), schema)
