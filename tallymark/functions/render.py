@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import ABSOLUTE, BPS, CHANGE, GROWTH
 
 # How the unit of a claimed value reads, and the line that the verdict parser looks for.
-UNIT_NAMES = {"USD": "USD", "percent": "%", "bps": "basis points", "pure": "(fraction)"}
+UNIT_NAMES = {"USD": "dollars", "percent": "percent", "bps": "bps", "pure": "as a fraction"}
 CLAIMED_UNITS = {GROWTH: "percent", BPS: "bps"}
 VERDICT_LINE = "VERDICT: <consistent|inconsistent|unverifiable>"
 
@@ -53,8 +53,8 @@ def short(c: Column) -> Column:
 
 def amount(value: Column, unit: Column) -> Column:
     """A value with its unit: whole dollars, six places of a fraction, else short."""
-    known = F.when(unit == "USD", F.concat(whole(value), F.lit(" USD"))).when(unit == "pure", fixed(value, 6)).otherwise(F.concat_ws(" ", short(value), F.coalesce(_map(UNIT_NAMES)[unit], unit)))
-    return F.coalesce(F.when(value.isNotNull(), known), F.lit("not found in retrieved data"))
+    known = F.when(unit == "USD", F.concat(F.lit("$"), whole(value))).when(unit == "pure", fixed(value, 6)).otherwise(F.concat_ws(" ", short(value), F.coalesce(_map(UNIT_NAMES)[unit], unit)))
+    return F.coalesce(F.when(value.isNotNull(), known), F.lit("(no such fact)"))
 
 
 def explanation() -> Column:
@@ -76,25 +76,17 @@ def explanation() -> Column:
 
 
 def prompt() -> Column:
-    """The user message for a training example (the columns that build_examples gives)."""
+    """The user message for a training example (the columns that build_examples gives): the statement, a table of facts, the rule, the answer's form."""
     kind, unit = F.col("comparison_type"), F.col("unit")
-    line = lambda metric, end, value: F.concat(F.lit("- "), metric, F.lit(" for period ending "), end, F.lit(": "), amount(F.col(value), unit))
     metric, den, end, prior = (F.col(c) for c in ("metric", "denominator_metric", "period_end", "comparison_period_end"))
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Claim type: "), kind),
-        F.concat(F.lit("Metric: "), metric),
-        F.concat(F.lit("Claimed value: "), amount(F.col("claimed_value"), F.coalesce(_map(CLAIMED_UNITS)[kind], unit))),
-        F.concat(F.lit("Tolerance: "), short(F.col("tolerance"))),
-        _map(RULES)[kind],
-        F.lit("Reported data:"),
-        line(metric, end, "current_value"),
-        F.when(kind != ABSOLUTE, line(metric, prior, "comparison_value")),
-        F.when(kind == BPS, line(den, end, "denominator_current_value")),
-        F.when(kind == BPS, line(den, prior, "denominator_comparison_value")),
-        F.lit("End with one line of this form:"),
-        F.lit(VERDICT_LINE),
-    )
+    row = lambda name, at, value: F.concat_ws(" | ", name, at, amount(F.col(value), unit))
+    stated = F.concat(F.lit("A filing states "), amount(F.col("claimed_value"), F.coalesce(_map(CLAIMED_UNITS)[kind], unit)), F.lit(" as the "), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" of "), metric, F.lit("."))
+    facts = F.concat_ws(
+        "\n", F.lit("concept | period end | reported"), row(metric, end, "current_value"), F.when(kind != ABSOLUTE, row(metric, prior, "comparison_value")),
+        F.when(kind == BPS, row(den, end, "denominator_current_value")), F.when(kind == BPS, row(den, prior, "denominator_comparison_value")),
+    )
+    accepted = F.concat(_map(RULES)[kind], F.lit(" It holds if the gap is at most "), short(F.col("tolerance")), F.lit("; without the facts it can't be decided."))
+    return F.concat_ws("\n\n", stated, facts, accepted, F.concat(F.lit("Last line: "), F.lit(VERDICT_LINE)))
 
 
 def chat(user: Column) -> Column:

@@ -27,14 +27,23 @@ def one_per_period(facts: DataFrame) -> DataFrame:
 
 
 def adjacent_pairs(facts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Each fact with the nearest earlier one of another period_end and a length within LENGTH_DAYS; cur and pri hold the columns to carry."""
+    """Each fact with the nearest earlier one of another period_end and a length within LENGTH_DAYS; cur and pri hold the columns to carry.
+
+    A fact asks each length that its (ticker, concept) has within reach (a handful), and one running maximum per length answers all that ask.
+    """
     order = Window.partitionBy("ticker", "concept").orderBy("period_end", "fact_ord")
-    f = facts.withColumns({"rn": F.row_number().over(order), "days": days()}).where("days is not null")
-    side = lambda p: [F.col("fact_ord").alias(f"{p}_ord"), F.col("rn").alias(f"{p}_rn"), F.col("days").alias(f"{p}_days"), F.col("period_end").alias(f"{p}_end"), *([F.struct(*carry).alias(p)] if carry else [])]
-    cur, pri = f.select("ticker", "concept", *side("cur")), f.select(F.col("ticker").alias("t"), F.col("concept").alias("c"), *side("pri"))
-    on = (F.col("ticker") == F.col("t")) & (F.col("concept") == F.col("c")) & (F.col("pri_rn") < F.col("cur_rn")) & (F.col("pri_end") != F.col("cur_end")) & (F.abs(F.col("pri_days") - F.col("cur_days")) <= LENGTH_DAYS)
-    both = [F.any_value("cur").alias("cur"), F.max_by("pri", "pri_rn").alias("pri")] if carry else []
-    return cur.join(pri, on).groupBy("ticker", "concept", "cur_ord").agg(F.max_by("pri_ord", "pri_rn").alias("pri_ord"), *both)
+    f = facts.withColumns({"rn": F.row_number().over(order), "days": days(), "at": F.unix_date(F.col("period_end").cast("date"))}).where("days is not null")
+    held = F.struct(*carry) if carry else F.lit(None).cast("int")
+    f = f.select("ticker", "concept", "days", "at", "rn", "fact_ord", held.alias("held"))
+    lengths = f.select("ticker", "concept", F.col("days").alias("length")).distinct()
+    asks = f.join(lengths, ["ticker", "concept"]).where(F.abs(F.col("length") - F.col("days")) <= LENGTH_DAYS)
+    told = F.struct("rn", "fact_ord", "held").alias("told")
+    asks = asks.select("ticker", "concept", "length", "at", F.col("fact_ord").alias("cur_ord"), F.col("held").alias("cur"), F.lit(None).cast(f.select(told).schema[0].dataType).alias("told"))
+    tells = f.select("ticker", "concept", F.col("days").alias("length"), "at", F.lit(None).cast("long").alias("cur_ord"), F.lit(None).cast(f.schema["held"].dataType).alias("cur"), told)
+    before = Window.partitionBy("ticker", "concept", "length").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    got = asks.unionByName(tells).withColumn("pri", F.max("told").over(before)).where("cur_ord is not null and pri is not null")
+    out = got.groupBy("ticker", "concept", "cur_ord").agg(F.max("pri").alias("pri"), F.any_value("cur").alias("cur"))
+    return out.select("ticker", "concept", "cur_ord", F.col("pri.fact_ord").alias("pri_ord"), *([F.col("cur"), F.col("pri.held").alias("pri")] if carry else []))
 
 
 def dominant_length(facts: DataFrame) -> DataFrame:

@@ -21,15 +21,16 @@ def lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     entry = F.struct(F.col("f_value").alias("value"), F.col("f_accession_number").alias("accession"))
     first = F.struct(F.coalesce("f_filed", F.lit("")), F.coalesce("f_accession_number", F.lit("")), F.col("f_fact_ord"))
     last = F.struct(F.coalesce("f_filed", F.lit("")), F.coalesce("f_accession_number", F.lit("")), -F.col("f_fact_ord"))
+    start = F.when(hit, F.coalesce("f_period_start", F.lit("none")))
     found = requests.join(f, on, "left").groupBy("req_id").agg(
         F.count("f_fact_ord").alias("n"),
-        F.count_distinct(F.when(hit, F.coalesce("f_period_start", F.lit("none")))).alias("n_start"),
-        F.count_distinct(F.when(hit, F.col("f_value"))).alias("n_value"),
+        (F.min(start) != F.max(start)).alias("starts"),  # least and largest say whether there are several, without expanding the rows
+        (F.min("f_value") != F.max("f_value")).alias("values"),
         F.min_by(F.when(hit, entry), F.when(hit, first)).alias("lo"),
         F.max_by(F.when(hit, entry), F.when(hit, last)).alias("hi"),
     )
-    status = F.when(F.col("n_start") > 1, "ambiguous_period").when(F.col("n") == 0, "missing_fact").otherwise("found")
-    pick = F.when(F.col("n_value") > 1, F.col("hi")).otherwise(F.col("lo"))
+    status = F.when(F.col("starts"), "ambiguous_period").when(F.col("n") == 0, "missing_fact").otherwise("found")
+    pick = F.when(F.col("values"), F.col("hi")).otherwise(F.col("lo"))
     found = found.select("req_id", status.alias("status"), pick.alias("pick"))
     ok = F.col("status") == "found"
     return requests.join(found, "req_id").select(*requests.columns, "status", F.when(ok, F.col("pick.value")).alias("value"), F.when(ok, F.col("pick.accession")).alias("accession"))

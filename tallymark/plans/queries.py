@@ -285,7 +285,27 @@ def q_occurrence(spark, sf_dir):
     return _numbered(spark, sf_dir).select("claim_id", "occurrence")
 
 
-@query()
+_VERIFY = f"""
+{_PERIODS}, side AS (
+  SELECT p.*, o.occurrence, d.concept AS den, c.fact_ord IS NOT NULL AS has_cur, m.fact_ord IS NOT NULL AS has_cmp, m.period_start AS cmp_start, m.period_end AS cmp_end,
+    p.comparison_type = 'absolute' AND ((o.occurrence = 1 AND coalesce(p.period, '') = '') OR p.hint_year_ago) AS swap,
+    c.period_start AS cur_start, c.period_end AS cur_end, c.unit AS cur_unit, m.unit AS cmp_unit
+  FROM placed p JOIN {_OCC} o USING (claim_id) LEFT JOIN ({_recency(_RATIO)}) d USING (claim_id)
+  LEFT JOIN fx c ON c.ticker = p.ticker AND c.fact_ord = p.cur_ord LEFT JOIN fx m ON m.ticker = p.ticker AND m.fact_ord = p.cmp_ord
+), main AS (
+  SELECT *, CASE WHEN swap THEN cmp_unit ELSE cur_unit END AS main_unit,
+    concept IS NULL OR NOT has_cur OR NOT (CASE WHEN swap THEN has_cmp ELSE has_cur END) OR (comparison_type <> 'absolute' AND NOT has_cmp)
+      OR coalesce(comparison_type = 'absolute' AND value_unit = 'percent' AND (CASE WHEN swap THEN cmp_unit ELSE cur_unit END) <> 'pure', false) AS stuck FROM side
+), ready AS (
+  SELECT claim_id, ticker, concept AS metric, comparison_type, CASE WHEN comparison_type = 'absolute' AND main_unit = 'pure' AND value_unit = 'percent' THEN value / 100 ELSE value END AS claimed_value,
+    CASE WHEN swap THEN cmp_end ELSE cur_end END AS period_end, CASE WHEN swap THEN cmp_start ELSE cur_start END AS period_start,
+    CASE WHEN comparison_type <> 'absolute' THEN cmp_end END AS comparison_period_end, CASE WHEN comparison_type <> 'absolute' THEN cmp_start END AS comparison_period_start,
+    CASE WHEN comparison_type = 'bps_change' THEN den END AS denominator_metric, main_unit AS unit, CAST(NULL AS DOUBLE) AS tolerance, as_of FROM main WHERE NOT stuck
+), {_RECON.strip().replace(_C, "ready")}"""
+
+
+@query(f"""WITH {_VERIFY} SELECT claim_id, verdict, reason_code, computed_value FROM final
+UNION ALL SELECT claim_id, 'unverifiable', NULL, NULL FROM main WHERE stuck""")
 def q_verify_pipeline(spark, sf_dir):
     return resolve.verify(_numbered(spark, sf_dir), facts(spark, sf_dir), dic.metrics(spark), dic.ratios(spark))
 
@@ -380,7 +400,28 @@ def _examples(spark, sf_dir):
     return got.select("id", F.transform("p", lambda r: r["c"]).alias("preds"), F.transform("g", lambda r: r["c"]).alias("golds"))
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(metric), '[a-z0-9]+'), lambda w: w NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'for', 'to', 'in', 'on')))"
+# a walk over the golds in order: each takes the first prediction that matches it and is left
+_WALK = f"""
+RECURSIVE one AS (
+  SELECT chunk_id AS id, metric || ' ' || string_split(claim_id, '/')[2] AS metric, value, value_unit, comparison_type, claim_ord, row_number() OVER (PARTITION BY chunk_id ORDER BY claim_id) AS k FROM {_X}
+), gold AS (SELECT *, {_WORDS} AS w FROM one),
+pred AS (
+  SELECT * REPLACE (value * CASE WHEN claim_ord = 2 THEN 1.03 ELSE 1.005 END AS value, CASE WHEN claim_ord = 3 THEN 'absolute' ELSE comparison_type END AS comparison_type), {_WORDS} AS w FROM one
+), able AS (
+  SELECT g.id, g.k, list(p.k ORDER BY p.k) AS ps FROM gold g JOIN pred p ON g.id = p.id AND p.comparison_type = g.comparison_type AND p.value_unit = g.value_unit
+    AND abs(p.value - g.value) <= greatest(0.05, abs(g.value) * 0.01)
+    AND CASE WHEN len(p.w) = 0 OR len(g.w) = 0 THEN len(p.w) = len(g.w) ELSE len(list_intersect(p.w, g.w)) >= {tx.OVERLAP} * greatest(len(p.w), len(g.w)) END GROUP BY ALL
+), walk AS (
+  SELECT DISTINCT id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM gold
+  UNION ALL
+  SELECT id, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (
+    SELECT w.id, g.k, w.used, list_filter(coalesce(a.ps, []), lambda x: NOT list_contains(w.used, x))[1] AS pick
+    FROM walk w JOIN gold g ON g.id = w.id AND g.k = w.k + 1 LEFT JOIN able a ON a.id = g.id AND a.k = g.k)
+), done AS (SELECT id, arg_max(used, k) AS used, max(k) AS n FROM walk GROUP BY id)"""
+
+
+@query(f"WITH {_WALK} SELECT id, len(used) AS tp, n - len(used) AS fp, n - len(used) AS fn FROM done")
 def q_claim_match_greedy(spark, sf_dir):
     m = scoring.match_greedy(_examples(spark, sf_dir))
     return m.select("id", F.size(F.filter("hits", lambda h: h)).alias("tp"), F.size("left").alias("fp"), F.size(F.filter("hits", lambda h: ~h)).alias("fn"))
@@ -395,7 +436,13 @@ def q_prf_micro(spark, sf_dir):
     return c.select("tp", "fp", "fn", *scoring.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-@query()
+@query(f"""
+WITH {_WALK}, c AS (
+  SELECT comparison_type AS category, CAST(pick IS NOT NULL AS INT) AS tp, 0 AS fp, CAST(pick IS NULL AS INT) AS fn FROM walk JOIN gold USING (id, k)
+  UNION ALL SELECT comparison_type, 0, 1, 0 FROM pred JOIN done USING (id) WHERE NOT list_contains(used, k)
+), t AS (SELECT category, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM c GROUP BY category
+), r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS r FROM t)
+SELECT category, tp, fp, fn, CAST(p AS DOUBLE) AS p, CAST(r AS DOUBLE) AS r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM r""")
 def q_prf_by_category(spark, sf_dir):
     c = scoring.counts_by_type(scoring.match_greedy(_examples(spark, sf_dir)))
     return c.select("category", "tp", "fp", "fn", *scoring.prf(F.col("tp"), F.col("fp"), F.col("fn")))
