@@ -147,3 +147,8 @@ def build_examples(facts: DataFrame, numerators: list[str], denominators: list[s
     gold = {"claim_id": "id", "verdict": "gold_verdict", "reason_code": "gold_reason_code", "computed_value": "gold_computed_value", "difference": "gold_difference"}
     out = judge(rows).drop("citations").withColumnsRenamed(gold)
     return out.withColumn("part", F.when(md5_bucket(F.col("id"), SPLIT_PARTS) == 0, "test").otherwise("train"))
+
+
+def label_counts(examples: DataFrame) -> DataFrame:
+    """Examples by gold verdict and reason."""
+    return examples.groupBy("gold_verdict", "gold_reason_code").agg(F.count("*").alias("n"))

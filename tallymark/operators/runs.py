@@ -40,10 +40,6 @@ def is_stale(chunks: DataFrame, state: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.bool_or(F.col("now").isNull() | F.col("then").isNull()), F.lit(False)).alias("stale"))
 
 
-def number_steps(events: DataFrame, order: str, start: int = 0) -> DataFrame:
-    return events.withColumn("step", F.row_number().over(Window.partitionBy("run").orderBy(order, "event_id")) + start)
-
-
 def trace_summary(events: DataFrame) -> DataFrame:
     """events (run, kind, agent, step, elapsed): steps, calls by kind, first and last elapsed per run."""
     return events.groupBy("run").agg(
@@ -52,6 +48,17 @@ def trace_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def calls_by_agent(events: DataFrame) -> DataFrame:
+    """Tool calls of each run by agent."""
+    return events.where("kind = 'tool'").groupBy("run", "agent").agg(F.count("*").alias("n"))
+
+
+def batch_lists(runs: DataFrame) -> DataFrame:
+    """One row: the failed and the partial runs by name, in order."""
+    names = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("run"))))
+    return runs.agg(names(~F.col("ok")).alias("failed"), names(F.col("partial")).alias("partial"))
+
+
 def batch_rollup(runs: DataFrame) -> DataFrame:
     """runs (run, ok, partial, consistent, inconsistent, unverifiable, tool_calls): one row for the batch."""
     sums = [F.sum(c).cast("long").alias(c) for c in ("consistent", "inconsistent", "unverifiable", "tool_calls")]

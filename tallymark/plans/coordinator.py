@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import resolve, runs
@@ -61,3 +61,35 @@ def report(planned: DataFrame, judged: DataFrame) -> DataFrame:
 def state_of(planned: DataFrame) -> DataFrame:
     """Rows to append to the run state: chunks processed, failed ones marked so that they come again."""
     return planned.where("processed").select("run", "accession", "chunk_index", F.when(F.col("failed"), "failed").otherwise("done").alias("status"))
+
+
+class StateStore:
+    """Run states in a folder, a partition per run: saved after each step, dropped when stale or when the run is complete."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, run: str | None = None):
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path if run is None else f"{self.path}/run={run}")
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def save(self, state: DataFrame) -> None:
+        """Replace the states of the runs in `state` (as state_of gives them); other runs stay."""
+        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(self.path)
+
+    def load(self, run: str, chunks: DataFrame) -> DataFrame | None:
+        """The state of a run, or None; a state made for another set of filings is deleted."""
+        folder, system = self._folder(run)
+        if not system.exists(folder):
+            return None
+        schema = "accession string, chunk_index int, status string, run string"
+        state = self.spark.read.schema(schema).option("basePath", self.path).parquet(f"{self.path}/run={run}").select("run", "accession", "chunk_index", "status")
+        if runs.is_stale(chunks, state).first().stale:
+            self.delete(run)
+            return None
+        return state
+
+    def delete(self, run: str) -> None:
+        folder, system = self._folder(run)
+        system.delete(folder, True)

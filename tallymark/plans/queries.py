@@ -696,12 +696,36 @@ def q_trace_summary(spark, sf_dir):
 _RUNS = f"(SELECT run, count(*) FILTER (kind = 'error') < 20 AS ok, count(*) > 70 AS partial, count(*) FILTER (agent = 'view') AS consistent, count(*) FILTER (agent = 'signup') AS inconsistent, count(*) FILTER (agent = 'purchase') AS unverifiable, count(*) FILTER (kind = 'tool') AS tool_calls FROM {_E} GROUP BY run)"
 
 
-@query(f"SELECT count(*) AS runs, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (partial) AS partial, CAST(sum(consistent) AS BIGINT) AS consistent, CAST(sum(inconsistent) AS BIGINT) AS inconsistent, CAST(sum(unverifiable) AS BIGINT) AS unverifiable, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(inconsistent) AS DOUBLE) / (sum(consistent) + sum(inconsistent)) AS inconsistent_rate FROM {_RUNS}")
-def q_batch_rollup(spark, sf_dir):
-    e = build(spark, sf_dir, EVENTS).groupBy("run").agg(
+def _batch(spark, sf_dir):
+    return build(spark, sf_dir, EVENTS).groupBy("run").agg(
         (F.count_if(F.col("kind") == "error") < 20).alias("ok"), (F.count("*") > 70).alias("partial"), *[F.count_if(F.col("agent") == a).alias(n) for a, n in (("view", "consistent"), ("signup", "inconsistent"), ("purchase", "unverifiable"))], F.count_if(F.col("kind") == "tool").alias("tool_calls")
     )
-    return runs.batch_rollup(e)
+
+
+@query(f"SELECT count(*) AS runs, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (partial) AS partial, CAST(sum(consistent) AS BIGINT) AS consistent, CAST(sum(inconsistent) AS BIGINT) AS inconsistent, CAST(sum(unverifiable) AS BIGINT) AS unverifiable, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(inconsistent) AS DOUBLE) / (sum(consistent) + sum(inconsistent)) AS inconsistent_rate FROM {_RUNS}")
+def q_batch_rollup(spark, sf_dir):
+    return runs.batch_rollup(_batch(spark, sf_dir))
+
+
+@query(f"SELECT string_agg(run, ',' ORDER BY run) FILTER (NOT ok) AS failed, string_agg(run, ',' ORDER BY run) FILTER (partial) AS partial FROM {_RUNS}")
+def q_batch_lists(spark, sf_dir):
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    return runs.batch_lists(_batch(spark, sf_dir)).select(joined("failed"), joined("partial"))
+
+
+@query(f"SELECT run, agent, count(*) AS n FROM {_E} WHERE kind = 'tool' GROUP BY ALL")
+def q_agent_calls(spark, sf_dir):
+    return runs.calls_by_agent(build(spark, sf_dir, EVENTS))
+
+
+@query(f"SELECT gold_verdict, gold_reason_code, count(*) AS n FROM ({ORACLES['q_examples']}) GROUP BY ALL")
+def q_label_counts(spark, sf_dir):
+    return dataset.label_counts(QUERIES["q_examples"](spark, sf_dir))
+
+
+@query(rf"SELECT doc_id, pos FROM (SELECT doc_id, CAST(pos AS INT) AS pos, length(text) AS n FROM {_LINES}) WHERE n > 400 ORDER BY doc_id, pos LIMIT 15")
+def q_long_texts(spark, sf_dir):
+    return filings.long_texts(_lines(spark, sf_dir), ["doc_id", "pos"]).select("doc_id", "pos")
 
 
 @query(f"""

@@ -26,7 +26,9 @@ class Tools:
 
     def list_filings(self, ticker: str, form_types: list[str] | None = None, limit: int = LISTED) -> DataFrame:
         mine = self.index.where(F.upper(F.trim("ticker")) == ticker.strip().upper())
-        return filings.filing_index(mine, list(form_types or LISTED_FORMS), limit)
+        if mine.isEmpty():
+            raise ValueError(f"unknown ticker: {ticker}")
+        return filings.with_url(filings.filing_index(mine, list(form_types or LISTED_FORMS), limit))
 
     def get_xbrl_facts(self, ticker: str, concepts: list[str] | None = None) -> DataFrame:
         mine = self.facts.where(F.col("ticker") == ticker.strip().upper())

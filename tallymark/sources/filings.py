@@ -67,6 +67,47 @@ def filing_index(raw: DataFrame, forms: list[str] | None = None, limit: int | No
     return out.withColumn("filing_path", F.concat_ws("/", F.col("cik").cast("long").cast("string"), F.replace("accession_number", F.lit("-"), F.lit("")), "primary_document"))
 
 
+# Fixed value: where filed documents are kept.
+ARCHIVE = "https://www.sec.gov/Archives/edgar/data/"
+
+
+def with_url(index: DataFrame, archive: str = ARCHIVE) -> DataFrame:
+    """Filing rows with the address of the primary document."""
+    return index.withColumn("filing_url", F.concat(F.lit(archive), F.col("filing_path")))
+
+
+def search_candidates(hits: DataFrame) -> DataFrame:
+    """cik, name and file_date of landed search hits (ord, ciks, names, file_date): hits without a cik go, the last hit of a cik wins."""
+    first = hits.where(F.size("ciks") > 0).select(F.lpad(F.col("ciks")[0], 10, "0").alias("cik"), "ord", F.try_element_at("names", F.lit(1)).alias("name"), "file_date")
+    return first.groupBy("cik").agg(F.max_by(F.struct("name", "file_date"), "ord").alias("x")).select("cik", "x.*")
+
+
+def only_companies(rows: DataFrame, tickers: DataFrame | None) -> DataFrame:
+    """rows of an explicit list of companies, where one is given."""
+    if tickers is None:
+        return rows
+    return rows.join(tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct(), "ticker", "left_semi")
+
+
+def original_chunks(wanted: DataFrame, index: DataFrame, chunks: DataFrame, most: int = 60) -> DataFrame:
+    """The first chunks of each wanted filing (ticker, accession_number) that the index knows."""
+    known = wanted.join(index.select("ticker", "accession_number"), ["ticker", "accession_number"], "left_semi").select("accession_number").distinct()
+    return chunks.where(F.col("chunk_index") < most).join(known, "accession_number", "left_semi")
+
+
+def long_texts(chunks: DataFrame, order: list[str], least: int = 400, n: int = 15) -> DataFrame:
+    """The first n chunks longer than `least` characters, as a sample to price."""
+    return chunks.where(F.length("text") > least).orderBy(*order).limit(n)
+
+
+def known_ciks(requests: DataFrame, tickers: DataFrame) -> DataFrame:
+    """resolve_cik, or an error that names tickers nobody knows."""
+    absent = [r.ticker for r in unknown_tickers(requests, tickers).distinct().orderBy("ticker").limit(10).collect()]  # for the message alone
+    if absent:
+        raise ValueError(f"unknown tickers: {', '.join(map(str, absent))}")
+    return resolve_cik(requests, tickers)
+
+
 def resolve_cik(requests: DataFrame, tickers: DataFrame) -> DataFrame:
     """requests (ticker) with the 10-digit cik, null where unknown; unknown_tickers() gives those."""
     t = tickers.select(F.upper(F.trim("ticker")).alias("__t"), F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"))
