@@ -624,7 +624,15 @@ def q_status_counts(spark, sf_dir):
     return audit.status_counts(build(spark, sf_dir, EVENTS), ["error", "click", "timeout"], "agent")
 
 
-@query()
+_PRF = "CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS r"
+
+
+@query(f"""
+WITH {_WALK}, t AS (
+  SELECT 'noisy' AS extractor, sum(len(used)) AS tp, sum(n - len(used)) AS fp, sum(n - len(used)) AS fn, 0 AS failed FROM done
+  UNION ALL SELECT 'perfect', sum(n), 0, 0, 0 FROM done UNION ALL SELECT 'failing', 0, 0, sum(n), count(*) FROM done
+), q AS (SELECT *, {_PRF} FROM t), f AS (SELECT *, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 FROM q)
+SELECT extractor, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(failed AS BIGINT) AS failed, CAST(p AS DOUBLE) AS p, CAST(r AS DOUBLE) AS r, f1, 1.96 * sqrt(f1 * (1 - f1) / (tp + fp + fn)) AS half_width FROM f""")
 def q_score_extractors(spark, sf_dir):
     e = _examples(spark, sf_dir)
     none = F.lit(None).cast(e.schema["preds"].dataType)
@@ -638,7 +646,7 @@ def q_feedback(spark, sf_dir):
     return scoring.match_greedy(_examples(spark, sf_dir)).select("id", render.feedback().alias("feedback"))
 
 
-@query()
+@query(f"SELECT count(DISTINCT chunk_id) AS records, count(*) AS claims, CAST(0 AS BIGINT) AS negatives, count(DISTINCT chunk_id) FILTER (metric IS NULL OR value IS NULL OR value_unit IS NULL OR comparison_type IS NULL) AS invalid FROM {_X}")
 def q_validate_labels(spark, sf_dir):
     return audit.validate_labels(_examples(spark, sf_dir).select(F.col("golds").alias("claims")))
 
@@ -651,7 +659,10 @@ def q_judge_outcomes(spark, sf_dir):
     return audit.judge_outcomes(li.select("l_orderkey", "l_linenumber", "l_shipdate", before.alias("before"), after.alias("after")))
 
 
-@query()
+@query(f"""
+WITH {_MATCH}, g AS (
+  SELECT m.match_id, count(f.fact_ord) AS n, arg_min(f.value, f.fact_ord) AS first_value FROM m LEFT JOIN fx f ON f.ticker = m.ticker AND f.concept = m.concept AND f.period_start IS NOT DISTINCT FROM m.period_start AND f.period_end = m.period_end GROUP BY m.match_id)
+SELECT m.match_id, CAST(g.n AS INT) AS n, g.first_value FROM m JOIN g ON m.match_id = g.match_id""")
 def q_judge_inputs(spark, sf_dir):
     m = audit.judge_inputs(_matches(spark, sf_dir), facts(spark, sf_dir))
     return m.select("match_id", F.size("evidence").alias("n"), F.element_at("evidence", 1)["value"].alias("first_value"))
