@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hint_quarter, hint_sequential, hint_year, hint_year_ago, metric_key
+from ..storage import cut
 
 # Days.
 NEAR_DAYS, LENGTH_DAYS, QUARTER_DAYS = 60, 20, 91
@@ -88,7 +89,7 @@ def number_occurrences(claims: DataFrame) -> DataFrame:
 
 
 def verify(claims: DataFrame, facts: DataFrame, dictionary: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Extracted claims to verdicts: concept, periods, unit rules, then reconciliation.
+    """Extracted claims to verdicts: concept, periods, unit rules, then reconciliation.  Resolution runs when this is called.
 
     claims: claim_id, ticker, metric, value, value_unit, period, comparison_type, occurrence, as_of.
     """
@@ -109,8 +110,8 @@ def verify(claims: DataFrame, facts: DataFrame, dictionary: DataFrame, ratios: D
         .when(~absolute & F.col("cmp").isNull(), "no_comparison_period")
         .when(absolute & (F.col("value_unit") == "percent") & (F.col("main.unit") != "pure"), "percent_against_amount")
     )
-    # an exchange on the key of the joins that follow: without it every later use repeats the chain of rules above
-    j = j.withColumn("problem", problem).repartition("claim_id")
+    # the resolved claims are written and read again: the plan of the comparison begins there, and nothing above runs twice
+    j = cut(j.withColumn("problem", problem).select("claim_id", "ticker", "concept", "comparison_type", "value", "value_unit", "denominator_metric", "as_of", "main", "cmp", "problem"), "resolved")
     ready = j.where("problem is null").select(
         "claim_id", "ticker", F.col("concept").alias("metric"), "comparison_type",
         F.when(absolute & (F.col("main.unit") == "pure") & (F.col("value_unit") == "percent"), F.col("value") / 100).otherwise(F.col("value")).alias("claimed_value"),

@@ -12,6 +12,7 @@ from ..functions import render
 from ..functions import text as tx
 from ..operators import audit, dataset, lookup, reconcile, resolve, restate, runs, scoring
 from ..sources import filings
+from ..storage import cut
 from . import adapter, coordinator, tools
 from .adapter import CLAIMS, EVENTS, EXTRACTED, FACTS, PROSE, build, duck
 
@@ -307,7 +308,7 @@ _VERIFY = f"""
 @query(f"""WITH {_VERIFY} SELECT claim_id, verdict, reason_code, computed_value FROM final
 UNION ALL SELECT claim_id, 'unverifiable', NULL, NULL FROM main WHERE stuck""")
 def q_verify_pipeline(spark, sf_dir):
-    return resolve.verify(_numbered(spark, sf_dir), facts(spark, sf_dir), dic.metrics(spark), dic.ratios(spark))
+    return resolve.verify(_numbered(spark, sf_dir), cut(facts(spark, sf_dir), "facts"), dic.metrics(spark), dic.ratios(spark))
 
 
 # ---- restatements ----
@@ -557,7 +558,7 @@ def q_examples(spark, sf_dir):
 
 
 def _built(spark, sf_dir):
-    return dataset.build_examples(facts(spark, sf_dir), list(dic.RATIO_NUMERATORS), list(dic.RATIO_DENOMINATORS))
+    return dataset.build_examples(cut(facts(spark, sf_dir), "facts"), list(dic.RATIO_NUMERATORS), list(dic.RATIO_DENOMINATORS))
 
 
 @query()
@@ -766,7 +767,7 @@ def q_run_state(spark, sf_dir):
 @query()
 def q_run_trace(spark, sf_dir):
     planned, x = _planned(spark, sf_dir)
-    judged = coordinator.verdicts(planned, x, facts(spark, sf_dir), dic.metrics(spark), dic.ratios(spark))
+    judged = cut(coordinator.verdicts(planned, x, cut(facts(spark, sf_dir), "facts"), dic.metrics(spark), dic.ratios(spark)), "judged")
     return coordinator.trace(planned, x, judged)
 
 
