@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import OVERLAP, metric_overlap, parse_verdict
+from ..functions.text import OVERLAP, keywords, metric_overlap, parse_verdict
 
 # Shaping of a wrong verdict by the gold reason, and the two penalties.
 SHAPING = {"near_miss": 0.3, "large_miss": 0.0, "missing_fact": 0.1, "ambiguous_period": 0.1, "zero_denominator": 0.1, "missing_comparison_context": 0.1, "unsupported_comparison_type": 0.1, "match": 0.0}
@@ -18,6 +18,29 @@ def claims_match(p: Column, g: Column) -> Column:
     return (p["comparison_type"] == g["comparison_type"]) & (p["value_unit"] == g["value_unit"]) & close & (metric_overlap(p["metric"], g["metric"]) >= OVERLAP)
 
 
+def overlapping(left: DataFrame, right: DataFrame, least: float = OVERLAP) -> DataFrame:
+    """left (a, text) and right (b, text), ids unique: a, b, overlap of all pairs with an overlap of at least `least` (above 0).
+
+    Such a pair shares least * n words of either side's n, so with the words of both sides in one order it shares one of each side's
+    first n - least * n + 1.  Only those meet; the order is rarest in `right` first, so that what everybody says stays
+    out, and words that `right` lacks are not sent at all.  A text without keywords meets nothing.
+    """
+    words = lambda df, k: df.select(k, F.explode(keywords(F.col("text"))).alias("word"))
+    rarity = words(right, "b").groupBy("word").agg(F.count("*").alias("n"))
+
+    def first_words(df: DataFrame, k: str) -> DataFrame:
+        ranked = words(df, k).join(rarity, "word", "left")
+        whole = ranked.groupBy(k).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o"))
+        size = F.size("o")
+        first = F.filter(F.slice("o", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int")), lambda o: o["n"] > 0)
+        return whole.select(k, size.alias(f"size_{k}"), F.transform("o", lambda o: o["word"]).alias(f"w_{k}"), F.explode(first).alias("o")).withColumn("word", F.col("o.word")).drop("o")
+
+    met = first_words(left, "a").join(first_words(right, "b"), "word").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-9)
+    mine = F.array_intersect("w_a", "w_b")
+    pairs = met.where(F.element_at(mine, 1) == F.col("word"))  # the first shared word reports a pair, so that none comes twice
+    return pairs.select("a", "b", (F.size(mine) / F.greatest("size_a", "size_b")).alias("overlap")).where(F.col("overlap") >= least)
+
+
 def match_greedy(examples: DataFrame) -> DataFrame:
     """examples (id, preds, golds: arrays of claims) with hits, one flag per gold, and left, the predictions not matched.
 

@@ -110,6 +110,27 @@ def q_section_pick(spark, sf_dir):
     return filings.sections(_lines(spark, sf_dir), "doc_id", "10-K")
 
 
+_BODY = "'The year ' || doc_id || ' went as we had planned.'"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 END AS chunk_index, CASE WHEN doc_id % 4 = 0 THEN {_BODY} END AS text,
+CASE doc_id % 4 WHEN 1 THEN 'no start heading' WHEN 2 THEN 'no end heading' WHEN 3 THEN 'no end heading after a start heading' END AS error FROM documents""")
+def q_section_errors(spark, sf_dir):
+    """Both forms: whole sections, and each cause why there is none."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    body = F.concat(F.lit("<p>"), F.expr(_BODY), F.lit("</p><p>short</p>"))
+
+    def of(form, start, end, rest):
+        s, e = F.lit(f"<td>{start}</td>"), F.lit(f"<div>{end}</div>")
+        case = F.col("doc_id") % 4
+        html = F.when(case == 0, F.concat(s, body, e)).when(case == 1, F.concat(body, e)).when(case == 2, F.concat(s, body)).otherwise(F.concat(e, body, s))
+        return filings.get_section(d.where(F.col("doc_id").bitwiseAND(4) == rest).withColumn("html", html), "doc_id", form)
+
+    year = of("10-K", "Item 7. Management&#8217;s Discussion", "Item 8. Financial Statements", 0)
+    return year.unionByName(of("10-Q", "Item 2</td><td>Management's Discussion", "Item 3 - Quantitative", 4))
+
+
 @query(rf"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS chunk_index, text FROM {_LINES} WHERE length(text) >= 20")
 def q_chunk_filter(spark, sf_dir):
     return filings.chunks(_lines(spark, sf_dir), "doc_id")
@@ -449,13 +470,16 @@ def q_prf_by_category(spark, sf_dir):
     return c.select("category", "tp", "fp", "fn", *scoring.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-@query(r"""
-WITH k AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'for', 'to', 'in', 'on'))) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN CASE WHEN len(a.w) = len(b.w) THEN 1.0 ELSE 0.0 END ELSE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / greatest(len(a.w), len(b.w)) END AS overlap FROM k a JOIN k b ON b.item_id = a.item_id + 1""")
+_KEYWORDS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'for', 'to', 'in', 'on')))"
+
+
+@query(f"""
+WITH i AS (SELECT item_id, {_KEYWORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_KEYWORDS} AS w FROM documents),
+p AS (SELECT item_id, doc_id, CAST(len(list_intersect(i.w, d.w)) AS DOUBLE) / greatest(len(i.w), len(d.w)) AS overlap FROM i JOIN d ON least(len(i.w), len(d.w)) >= 0.5 * greatest(len(i.w), len(d.w)) WHERE len(i.w) > 0 AND len(d.w) > 0)
+SELECT item_id, doc_id, overlap FROM p WHERE overlap >= 0.5""")
 def q_keyword_overlap(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    x, y = b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
-    return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", tx.metric_overlap(F.col("ta"), F.col("tb")).alias("overlap"))
+    items, docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b"), "text"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), "text")
+    return scoring.overlapping(docs, items).select(F.col("b").alias("item_id"), F.col("a").alias("doc_id"), "overlap")
 
 
 @query("SELECT lang, count(*) AS n, 1.96 * sqrt(avg(CAST(quality AS DOUBLE)) * (1 - avg(CAST(quality AS DOUBLE))) / count(*)) AS half_width FROM labels JOIN documents USING (doc_id) GROUP BY lang")
@@ -613,9 +637,9 @@ def q_audit(spark, sf_dir):
     return audit.audit(reconcile.reconcile(c, spark.createDataFrame(rows, FACT_SCHEMA)))
 
 
-@query("SELECT doc_id AS accession, CAST(doc_id % 7 AS INT) AS chunk_index, strpos(replace(text, chr(160), ' '), CASE WHEN doc_id % 3 = 0 THEN 'no such quote 123' ELSE substr(replace(text, chr(160), ' '), 5, 20) END) > 0 AS found FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS accession, CAST(doc_id % 7 AS INT) AS chunk_index, coalesce(strpos(replace(text, chr(160), ' '), CASE WHEN doc_id % 3 = 0 THEN 'no such quote 123' ELSE substr(replace(text, chr(160), ' '), 5, 20) END) > 0, false) AS found FROM documents")
 def q_quote_check(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("accession"), (F.col("doc_id") % 7).cast("int").alias("chunk_index"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("accession"), (F.col("doc_id") % 7).cast("int").alias("chunk_index"), "text")
     quote = F.when(F.col("accession") % 3 == 0, "no such quote 123").otherwise(F.substring("text", 5, 20))
     return audit.check_quotes(d.select("accession", "chunk_index", quote.alias("quote")), d).select("accession", "chunk_index", "found")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FACT_COLUMNS
@@ -23,6 +23,8 @@ SECTIONS = {
     "10-K": (f"(?i)Item[\\s ]*7{_SEP}Management.{{0,3}}s[\\s ]+Discussion", [f"(?i)Item[\\s ]*7A{_SEP}Quantitative", f"(?i)Item[\\s ]*8{_SEP}Financial[\\s ]+Statements"]),
     "10-Q": (f"(?i)Item[\\s ]*2{_SEP}Management.{{0,3}}s[\\s ]+Discussion", [f"(?i)Item[\\s ]*3{_SEP}Quantitative"]),
 }
+#: Why a filing has no section.
+NO_START, NO_END, NO_PAIR = "no start heading", "no end heading", "no end heading after a start heading"
 
 
 def flatten_facts(raw: DataFrame, taxonomy: str = "us-gaap", concepts: list[str] | None = None) -> DataFrame:
@@ -181,8 +183,8 @@ def leaf_blocks(html: str | None) -> list[str]:
     return parser.out
 
 
-def paragraphs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, pos, text of all leaf blocks (HTML needs a parser: one Arrow map, no shuffle)."""
+def paragraph_lists(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, lines: the leaf blocks of each page in order (HTML needs a parser: one Arrow map, no shuffle)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,33 +192,54 @@ def paragraphs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     kind = dict(pages.dtypes)[key]
     ship(pages.sparkSession)
-    return pages.select(key, html).mapInArrow(scan, f"`{key}` {kind}, lines array<string>").select(key, F.posexplode("lines").alias("pos", "text"))
+    return pages.select(key, html).mapInArrow(scan, f"`{key}` {kind}, lines array<string>")
 
 
-def headings(lines: DataFrame, key: str, pattern: str) -> DataFrame:
-    """key, start, stop where one to three lines together hold a heading that begins in the first; the shortest window wins."""
-    order = Window.partitionBy(key).orderBy("pos")
-    spans = lines.withColumns({"l1": F.lead("text", 1).over(order), "l2": F.lead("text", 2).over(order)})
-    texts = [F.col("text"), F.concat_ws(" ", "text", "l1"), F.concat_ws(" ", "text", "l1", "l2")]
-    have = [F.lit(True), F.col("l1").isNotNull(), F.col("l2").isNotNull()]
-    begins = lambda t: t.rlike(pattern) & (F.regexp_instr(t, F.lit(pattern)) - 1 <= F.length("text"))
-    span = F.when(have[0] & begins(texts[0]), 1).when(have[1] & begins(texts[1]), 2).when(have[2] & begins(texts[2]), 3)
-    return spans.select(key, F.col("pos").alias("start"), (F.col("pos") + span).alias("stop")).where("stop is not null")
+def paragraphs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, pos, text of all leaf blocks."""
+    return paragraph_lists(pages, key, html).select(key, F.posexplode("lines").alias("pos", "text"))
 
 
-def sections(lines: DataFrame, key: str, form: str) -> DataFrame:
-    """The body lines of the section: each start pairs with the first end after it; the longest pair wins, the first on ties."""
+def headings(lines: Column, pattern: str) -> Column:
+    """(start, stop) wherever one to three lines together hold a heading that begins in the first; the shortest window wins."""
+
+    def span(text, at):
+        second, third = F.get(lines, at + 1), F.get(lines, at + 2)
+        begins = lambda t: t.rlike(pattern) & (F.regexp_instr(t, F.lit(pattern)) - 1 <= F.length(text))
+        two, three = F.concat_ws(" ", text, second), F.concat_ws(" ", text, second, third)
+        n = F.when(begins(text), 1).when(second.isNotNull() & begins(two), 2).when(third.isNotNull() & begins(three), 3)
+        return F.struct(at.alias("start"), (at + n).alias("stop"))
+
+    return F.filter(F.transform(lines, span), lambda x: x["stop"].isNotNull())
+
+
+def locate(lines: Column, form: str) -> Column:
+    """(b, e, error): the section is lines b to e - 1; without one, b and e are null and the error says why.
+
+    Each start pairs with the first end after it; the longest pair wins, the first on ties.
+    """
     if form not in SECTIONS:
         raise ValueError(f"no section is known for form {form}")
     start, ends = SECTIONS[form]
-    s = headings(lines, key, start).select(key, F.col("start").alias("s"), F.col("stop").alias("b"))
-    e = headings(lines, key, ends[0])
-    for pattern in ends[1:]:
-        e = e.unionByName(headings(lines, key, pattern))
-    e = e.select(F.col(key).alias("__k"), F.col("start").alias("e"))
-    pairs = s.join(e, (F.col(key) == F.col("__k")) & (F.col("e") >= F.col("b"))).groupBy(key, "s", "b").agg(F.min("e").alias("e"))
-    best = pairs.groupBy(key).agg(F.max(F.struct((F.col("e") - F.col("b")).alias("gap"), (-F.col("s")).alias("first"), "b", "e")).alias("x")).select(F.col(key).alias("__k"), "x.b", "x.e")
-    return lines.join(best, (F.col(key) == F.col("__k")) & (F.col("pos") >= F.col("b")) & (F.col("pos") < F.col("e"))).select(key, "pos", "text")
+    stops = F.transform(headings(lines, start), lambda x: x["stop"])
+    tails = F.concat(*[F.transform(headings(lines, p), lambda x: x["start"]) for p in ends])
+
+    def best(stops, tails):
+        pair = lambda b: F.struct((F.array_min(F.filter(tails, lambda e: e >= b)) - b).alias("gap"), (-b).alias("first"))
+        x = F.array_max(F.filter(F.transform(stops, pair), lambda p: p["gap"].isNotNull()))
+        error = F.when(F.coalesce(F.size(stops), F.lit(0)) <= 0, NO_START).when(F.size(tails) == 0, NO_END).when(x.isNull(), NO_PAIR)
+        return F.struct((-x["first"]).alias("b"), (x["gap"] - x["first"]).alias("e"), error.alias("error"))
+
+    once = F.array(F.struct(stops.alias("stops"), tails.alias("tails")))  # a list of one: both are looked for once
+    return F.transform(once, lambda x: best(x["stops"], x["tails"]))[0]
+
+
+def sections(lines: DataFrame, key: str, form: str) -> DataFrame:
+    """The body lines (key, pos, text) of each key's section; one shuffle brings a key's lines together."""
+    whole = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("__lines"))
+    found = whole.withColumn("__at", locate(F.transform("__lines", lambda x: x["text"]), form))
+    body = F.slice("__lines", F.col("__at.b") + 1, F.col("__at.e") - F.col("__at.b"))
+    return found.select(key, F.explode(body).alias("__x")).select(key, "__x.pos", "__x.text")
 
 
 def chunks(lines: DataFrame, key: str, least: int = MIN_CHUNK) -> DataFrame:
@@ -226,11 +249,14 @@ def chunks(lines: DataFrame, key: str, least: int = MIN_CHUNK) -> DataFrame:
 
 
 def get_section(filings: DataFrame, key: str, form: str) -> DataFrame:
-    """key, chunk_index, text, error: the chunks of each filing's section, or one error row where it is not found."""
-    lines = paragraphs(filings, key)
-    found = chunks(sections(lines, key, form), key)
-    missing = filings.select(key).join(found.select(key).distinct(), key, "left_anti")
-    return found.withColumn("error", F.lit(None).cast("string")).unionByName(missing.select(key, F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("section not found").alias("error")))
+    """key, chunk_index, text, error: the chunks of each filing's section, no row if all its lines are short, one row with the cause
+    where there is no section.  No shuffle: a filing is parsed once and its section is cut out of its own lines."""
+    at = paragraph_lists(filings, key).withColumn("__at", locate(F.col("lines"), form))
+    body = F.slice("lines", F.col("__at.b") + 1, F.col("__at.e") - F.col("__at.b"))
+    kept = F.transform(F.filter(body, lambda t: F.length(t) >= MIN_CHUNK), lambda t, i: F.struct(i.alias("chunk_index"), t.alias("text")))
+    failed = F.array(F.struct(F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("text")))
+    rows = at.select(key, F.explode(F.when(F.col("__at.error").isNull(), kept).otherwise(failed)).alias("__x"), F.col("__at.error").alias("error"))
+    return rows.select(key, "__x.chunk_index", "__x.text", "error")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -108,7 +108,7 @@ def test_leaf_blocks_and_sections(spark):
     assert filings.leaf_blocks(html)[:2] == ["Item 7.", "Management’s Discussion"]
     df = spark.createDataFrame([("f", html), ("g", "<p>nothing</p>"), ("h", None)], "k string, html string")
     got = {(r.k, r.chunk_index, r.text, r.error) for r in filings.get_section(df, "k", "10-K").collect()}
-    assert ("f", 0, "We sold more of everything this year.", None) in got and ("g", None, None, "section not found") in got and ("h", None, None, "section not found") in got
+    assert ("f", 0, "We sold more of everything this year.", None) in got and ("g", None, None, filings.NO_START) in got and ("h", None, None, filings.NO_START) in got
 
 
 def test_budget_counts_failures_as_calls_only(spark):
@@ -136,7 +136,7 @@ def test_explanations_and_the_tool_surface(spark):
 def test_section_tool_gives_error_rows(spark):
     docs = spark.createDataFrame([("T", "10-K", "a1", "2024-01-01", "<p>none</p>"), ("T", "10-K", "a0", "2023-01-01", "<p>older</p>")], "ticker string, form string, accession_number string, filing_date string, html string")
     t = tools.Tools(spark, spark.createDataFrame([], FACTS), documents=docs)
-    assert [(r.accession_number, r.error) for r in t.get_mdna("t").collect()] == [("a1", "section not found")]
+    assert [(r.accession_number, r.error) for r in t.get_mdna("t").collect()] == [("a1", filings.NO_START)]
     with pytest.raises(ValueError):
         t.get_mdna("t", "8-K")
 
@@ -203,3 +203,24 @@ def test_extractor_scores_label_checks_and_judge_inputs(spark):
     matches = spark.createDataFrame([("m", "T", "Revenues", "2022-09-25", "2023-09-30"), ("n", "T", "None", None, "2023-09-30")], "match_id string, ticker string, concept string, period_start string, period_end string")
     got = {r.match_id: [e.value for e in r.evidence] for r in audit.judge_inputs(matches, spark.createDataFrame(BOOK, FACTS)).collect()}
     assert got == {"m": [383_285e6, 380_000e6], "n": []}
+
+
+def test_overlapping_pairs_equal_all_pairs(spark):
+    rng = random.Random(5)
+    texts = lambda n: [(i, " ".join(rng.choices("alpha beta gamma delta the of eps zeta eta 7".split(), k=rng.randrange(0, 9)))) for i in range(n)]
+    left, right = texts(60) + [(60, None), (61, ""), (62, "the of")], texts(40) + [(40, None), (41, "the")]
+    bag = lambda t: set((t or "").split()) - set(text.STOPWORDS)
+    for least in (0.5, 0.8, 1.0):
+        want = {(a, b, len(bag(s) & bag(t)) / max(len(bag(s)), len(bag(t)))) for a, s in left for b, t in right if bag(s) and bag(t) and len(bag(s) & bag(t)) >= least * max(len(bag(s)), len(bag(t)))}
+        rows = scoring.overlapping(spark.createDataFrame(left, "a int, text string"), spark.createDataFrame(right, "b int, text string"), least).collect()
+        assert len(rows) == len(want) > 0 and {tuple(r) for r in rows} == want
+
+
+def test_section_errors_by_cause(spark):
+    start, end, body = "<p>Item 7.</p><p>Management's</p><p>Discussion</p>", "<p>Item 8. Financial Statements</p>", "<p>We sold more than in the year before.</p>"
+    pages = {"all": start + body + end, "contents": start + end + start + body * 3 + end, "short": start + "<p>few</p>" + end, "endless": start + body, "startless": body + end, "backward": end + body + start, "null": None}
+    rows = filings.get_section(spark.createDataFrame(list(pages.items()), "k string, html string"), "k", "10-K").collect()
+    assert {(r.k, r.error) for r in rows if r.error} == {("endless", filings.NO_END), ("startless", filings.NO_START), ("null", filings.NO_START), ("backward", filings.NO_PAIR)}
+    assert sorted((r.k, r.chunk_index) for r in rows if not r.error) == [("all", 0), ("contents", 0), ("contents", 1), ("contents", 2)]
+    with pytest.raises(ValueError):
+        filings.get_section(spark.createDataFrame(list(pages.items()), "k string, html string"), "k", "8-K")
