@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint_index, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, token_counts
+from . import bpe_tree, decontamination, fingerprint_index, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, token_alignment, token_counts
 from .tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,7 +58,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_line_dedup, op4_fingerprint_index, op5_quality_classifier, op6_decontamination, op7_language_id, op8_token_counts, op9_quality_rules, op10_ngram_jaccard_join)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_line_dedup, op4_fingerprint_index, op5_quality_classifier, op6_decontamination, op7_language_id, op8_token_counts, op9_quality_rules, op10_ngram_jaccard_join, op11_token_alignment, op12_bpe_tree)}
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,

@@ -132,6 +132,27 @@ def unpack(blob: bytes) -> memoryview:
     return memoryview(pa.decompress(blob[8:], size, codec="zstd", asbytes=True)) if size else memoryview(b"")
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a place of each distinct byte range, and for every range which of them it equals.  Hashes propose, bytes decide."""
+    h = word_hashes(data, starts, ends)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    size = ends - starts
+    clash = size != size[first][which]
+    for a, b in chunks(np.concatenate([[0], np.cumsum(size)]), 1 << 22):
+        n = np.where(clash[a:b], 0, size[a:b])
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = data[np.repeat(starts[first[which[a:b]]], n) + within] != data[np.repeat(starts[a:b], n) + within]
+        clash[a + np.repeat(np.arange(b - a), n)[other]] = True
+    own: dict[bytes, int] = {}
+    for i in np.flatnonzero(clash).tolist():  # equal hashes, other bytes
+        raw = data[starts[i] : ends[i]].tobytes()
+        if raw not in own:
+            own[raw] = len(first)
+            first = np.append(first, i)
+        which[i] = own[raw]
+    return first, which
+
+
 def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(partition, places of its entries in their order) for the partitions that have entries."""
     if not len(part):
