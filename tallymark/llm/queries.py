@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontamination, fingerprint_index, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, token_alignment, token_counts
+from . import bpe_tree, decontamination, fingerprint_index, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, tiered_search, token_alignment, token_counts
 from .tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -66,11 +66,16 @@ def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_line_dedup, op4_fingerprint_index, op5_quality_classifier, op6_decontamination, op7_language_id, op8_token_counts, op9_quality_rules, op10_ngram_jaccard_join, op11_token_alignment, op12_bpe_tree)}
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_line_dedup, op4_fingerprint_index, op5_quality_classifier, op6_decontamination, op7_language_id, op8_token_counts, op9_quality_rules, op10_ngram_jaccard_join, op11_token_alignment, op12_bpe_tree, op13_tiered_search)}
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
     "op4_fingerprint_index": fingerprint_index.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,
+    "op13_tiered_search": tiered_search.ORACLE,
 }
