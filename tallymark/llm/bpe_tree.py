@@ -65,6 +65,8 @@ class Words:
         self.letters = {i: t.removesuffix(suffix) for t, i in spec["model"]["vocab"].items()}
         self.token = {i: t for t, i in spec["model"]["vocab"].items()}
         self.byte = dict(enumerate(byte_letters()))  # for str.translate
+        if leaf_bytes < 2:
+            raise ValueError("a leaf holds two bytes at least")
         self.leaf = leaf_bytes
         self.windows = 0  # encoded so far, for tests
 

@@ -132,9 +132,15 @@ def unpack(blob: bytes) -> memoryview:
     return memoryview(pa.decompress(blob[8:], size, codec="zstd", asbytes=True)) if size else memoryview(b"")
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, which): a place of each distinct byte range, and for every range which of them it equals.  Hashes propose, bytes decide."""
-    h = word_hashes(data, starts, ends)
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges in ascending order, a bounded stretch of data at a time."""
+    stretches = chunks(np.append(starts, len(data)), 1 << 21) if len(starts) else ()
+    return np.concatenate([np.zeros(0, np.uint64), *(word_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in stretches)])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a place of each distinct byte range (in ascending order), and for every range which of them it equals.  Hashes propose, bytes decide."""
+    h = range_hashes(data, starts, ends) if h is None else h
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     size = ends - starts
     clash = size != size[first][which]
