@@ -54,16 +54,24 @@ def calls_by_agent(events: DataFrame) -> DataFrame:
 
 
 def batch_lists(runs: DataFrame) -> DataFrame:
-    """One row: the failed and the partial runs by name, in order."""
+    """One row: the failed runs, and the partial ones of those that succeeded, by name in order."""
     names = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("run"))))
-    return runs.agg(names(~F.col("ok")).alias("failed"), names(F.col("partial")).alias("partial"))
+    return runs.agg(names(~F.col("ok")).alias("failed"), names(F.col("ok") & F.col("partial")).alias("partial"))
 
 
 def batch_rollup(runs: DataFrame) -> DataFrame:
-    """runs (run, ok, partial, consistent, inconsistent, unverifiable, tool_calls): one row for the batch."""
-    sums = [F.sum(c).cast("long").alias(c) for c in ("consistent", "inconsistent", "unverifiable", "tool_calls")]
-    rolled = runs.agg(F.count("*").alias("runs"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("partial").alias("partial"), *sums)
-    return rolled.withColumn("inconsistent_rate", F.try_divide("inconsistent", F.col("consistent") + F.col("inconsistent")))
+    """runs (run, ok, partial, consistent, inconsistent, unverifiable, tool_calls, steps, elapsed): one row for the batch.
+
+    Verdicts, claims, calls, steps and partial runs are those of runs that succeeded; the time is that of all.
+    """
+    of_ok = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), c)), F.lit(0)).cast("long")
+    verdicts = ("consistent", "inconsistent", "unverifiable")
+    sums = [of_ok(F.col(c)).alias(c) for c in (*verdicts, "tool_calls", "steps")]
+    rolled = runs.agg(
+        F.count("*").alias("runs"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok") & F.col("partial")).alias("partial"), *sums, F.sum("elapsed").alias("elapsed"),
+    )
+    claims = F.col("consistent") + F.col("inconsistent") + F.col("unverifiable")
+    return rolled.withColumns({"claims": claims, "inconsistent_rate": F.try_divide("inconsistent", F.col("consistent") + F.col("inconsistent"))})
 
 
 def most_common(rows: DataFrame, key: str, n: int | None = None) -> DataFrame:

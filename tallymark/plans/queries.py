@@ -729,21 +729,33 @@ def q_trace_summary(spark, sf_dir):
     return runs.trace_summary(build(spark, sf_dir, EVENTS))
 
 
-_RUNS = f"(SELECT run, count(*) FILTER (kind = 'error') < 20 AS ok, count(*) > 70 AS partial, count(*) FILTER (agent = 'view') AS consistent, count(*) FILTER (agent = 'signup') AS inconsistent, count(*) FILTER (agent = 'purchase') AS unverifiable, count(*) FILTER (kind = 'tool') AS tool_calls FROM {_E} GROUP BY run)"
+_RUNS = f"""(
+  SELECT run, count(*) FILTER (kind = 'error') < 20 AS ok, count(*) > 70 AS partial,
+    count(*) FILTER (agent = 'view') AS consistent, count(*) FILTER (agent = 'signup') AS inconsistent, count(*) FILTER (agent = 'purchase') AS unverifiable,
+    count(*) FILTER (kind = 'tool') AS tool_calls, count(*) FILTER (kind = 'decision') AS steps, max(elapsed) AS elapsed
+  FROM {_E} GROUP BY run)"""
 
 
 def _batch(spark, sf_dir):
-    return build(spark, sf_dir, EVENTS).groupBy("run").agg(
-        (F.count_if(F.col("kind") == "error") < 20).alias("ok"), (F.count("*") > 70).alias("partial"), *[F.count_if(F.col("agent") == a).alias(n) for a, n in (("view", "consistent"), ("signup", "inconsistent"), ("purchase", "unverifiable"))], F.count_if(F.col("kind") == "tool").alias("tool_calls")
-    )
+    counts = [F.count_if(F.col("agent") == a).alias(n) for a, n in (("view", "consistent"), ("signup", "inconsistent"), ("purchase", "unverifiable"))]
+    calls, steps = F.count_if(F.col("kind") == "tool").alias("tool_calls"), F.count_if(F.col("kind") == "decision").alias("steps")
+    flags = (F.count_if(F.col("kind") == "error") < 20).alias("ok"), (F.count("*") > 70).alias("partial")
+    return build(spark, sf_dir, EVENTS).groupBy("run").agg(*flags, *counts, calls, steps, F.max("elapsed").alias("elapsed"))
 
 
-@query(f"SELECT count(*) AS runs, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (partial) AS partial, CAST(sum(consistent) AS BIGINT) AS consistent, CAST(sum(inconsistent) AS BIGINT) AS inconsistent, CAST(sum(unverifiable) AS BIGINT) AS unverifiable, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(inconsistent) AS DOUBLE) / (sum(consistent) + sum(inconsistent)) AS inconsistent_rate FROM {_RUNS}")
+@query(f"""
+WITH good AS (
+  SELECT coalesce(sum(consistent), 0) AS consistent, coalesce(sum(inconsistent), 0) AS inconsistent, coalesce(sum(unverifiable), 0) AS unverifiable,
+    coalesce(sum(tool_calls), 0) AS tool_calls, coalesce(sum(steps), 0) AS steps, count(*) AS ok, count(*) FILTER (partial) AS partial FROM {_RUNS} WHERE ok
+), every AS (SELECT count(*) AS runs, sum(elapsed) AS elapsed FROM {_RUNS})
+SELECT runs, ok, runs - ok AS failed, partial, CAST(consistent AS BIGINT) AS consistent, CAST(inconsistent AS BIGINT) AS inconsistent, CAST(unverifiable AS BIGINT) AS unverifiable,
+  CAST(tool_calls AS BIGINT) AS tool_calls, CAST(steps AS BIGINT) AS steps, elapsed, CAST(consistent + inconsistent + unverifiable AS BIGINT) AS claims,
+  CASE WHEN consistent + inconsistent > 0 THEN CAST(inconsistent AS DOUBLE) / (consistent + inconsistent) END AS inconsistent_rate FROM good, every""")
 def q_batch_rollup(spark, sf_dir):
     return runs.batch_rollup(_batch(spark, sf_dir))
 
 
-@query(f"SELECT string_agg(run, ',' ORDER BY run) FILTER (NOT ok) AS failed, string_agg(run, ',' ORDER BY run) FILTER (partial) AS partial FROM {_RUNS}")
+@query(f"SELECT string_agg(run, ',' ORDER BY run) FILTER (NOT ok) AS failed, string_agg(run, ',' ORDER BY run) FILTER (ok AND partial) AS partial FROM {_RUNS}")
 def q_batch_lists(spark, sf_dir):
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
     return runs.batch_lists(_batch(spark, sf_dir)).select(joined("failed"), joined("partial"))

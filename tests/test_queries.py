@@ -1,6 +1,6 @@
 import pytest
 
-from tallymark.plans.queries import ORACLES, QUERIES
+from tallymark.plans.registry import ORACLES, QUERIES
 
 from .oracle import assert_same, connect
 

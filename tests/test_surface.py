@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import dictionary, render
 from tallymark.operators import audit, resolve
-from tallymark.plans import coordinator, tools
+from tallymark.plans import tools
 from tallymark.schema import FACTS
 from tallymark.sources import filings
 
@@ -52,21 +52,6 @@ def test_verification_case_by_case(spark):
         assert got[f"c{i:02d}"][1] == (None if c[8] is None else pytest.approx(c[8])), c
 
 
-def test_state_is_saved_loaded_and_dropped(spark, tmp_path):
-    store = coordinator.StateStore(spark, f"file://{tmp_path}/state")
-    chunks = spark.createDataFrame([("r", "a", i) for i in range(3)], "run string, accession string, chunk_index int")
-    assert store.load("r", chunks) is None
-    rows = lambda *r: spark.createDataFrame(r, "run string, accession string, chunk_index int, status string")
-    store.save(rows(("r", "a", 0, "done"), ("s", "b", 0, "done")))
-    store.save(rows(("r", "a", 0, "done"), ("r", "a", 1, "failed")))  # the other run stays
-    assert store.load("r", chunks).count() == 2
-    assert store.load("s", chunks.withColumn("accession", F.lit("b"))).count() == 1
-    assert store.load("r", chunks.withColumn("accession", F.lit("new"))) is None  # stale, so gone
-    assert store.load("r", chunks) is None
-    store.delete("s")
-    assert store.load("s", chunks.withColumn("accession", F.lit("b"))) is None
-
-
 def test_tool_surface(spark):
     arrays = ", ".join(f"{n} array<string>" for n in filings.INDEX_FIELDS)
     index = spark.createDataFrame([("T", "12", ["1-2-3", "1-2-4"], ["2024-02-01", "2024-01-01"], ["2023-12-31", "2023-12-31"], ["10-K", "4"], ["x.htm", "y.htm"], ["", ""])], f"ticker string, cik string, {arrays}")
