@@ -11,7 +11,7 @@ their own.  When FANOUT runs have come together they are compacted into one and
 A word is removed if a window of WINDOW words over it also starts in a document with a smaller doc_id.
 
 Defined results for odd input: a null text has no words; a null doc_id is neither compared nor changed; rows that repeat a
-doc_id with its text are one document; texts under WINDOW words lose nothing; an empty table gives no rows; other columns are not read.
+doc_id with its text are one document, rows that share a doc_id with other texts are documents of their own, in the order of a hash (`add_batch` refuses such a batch); texts under WINDOW words lose nothing; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import cut, new_path, parts, ready, remove
+from .tables import cut, new_path, own_ids, parts, ready, remove, with_doc_ids
 from .textkit import Prefix, word_hashes, words
 from .windows import CHECK, FULL, NO_ID, ROW, RUN, Unit, all_marks, compact, finish, merge, removed_mask, same_bytes, scan_segments
 
@@ -137,7 +137,9 @@ def add_batch(batch: DataFrame, history: DataFrame, path: str, n_parts: int | No
 
     history has the documents of earlier batches (doc_id, text), whose words the verification reads.
     """
-    batch = ready(batch).select("doc_id", "text")
+    batch, back = own_ids(ready(batch).select("doc_id", "text"))
+    if back is not None:
+        raise ValueError("rows of the batch share a doc_id with different texts; the index needs one text for each")
     index = FingerprintIndex(batch.sparkSession, path, n_parts or parts(batch, mb=4))
     marks = index.add(batch)
     return finish(batch, all_marks(batch.unionByName(history.select("doc_id", "text")), UNIT, marks, index.n_parts, repeated_windows), index.n_parts, _result, SCHEMA)
@@ -145,7 +147,8 @@ def add_batch(batch: DataFrame, history: DataFrame, path: str, n_parts: int | No
 
 def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document; the index is filled in batches of ascending doc_id."""
-    docs, n_parts = ready(docs).select("doc_id", "text"), parts(docs, mb=4)
+    n_parts = parts(docs, mb=4)
+    docs, back = own_ids(ready(docs).select("doc_id", "text"))
     index = FingerprintIndex(docs.sparkSession, new_path(docs.sparkSession, "index"), n_parts)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     bounds = sorted(set(cuts or []))
@@ -160,7 +163,7 @@ def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         marks = found if marks is None else marks.unionByName(found)
     for run in index.names:
         remove(docs.sparkSession, f"{index.path}/{run}")
-    return finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA)
+    return with_doc_ids(finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA), back)
 
 
 ORACLE = r"""

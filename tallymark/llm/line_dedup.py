@@ -12,7 +12,7 @@ Equal lines are one before any of this (partial aggregation), so a very common l
 
 Defined results for odd input: a null or empty text has no lines and stays as it is; lines without a
 word stay; a document can lose all its lines and then has an empty text; rows with a null doc_id are left as they are;
-rows that repeat a doc_id with the same text are one document; an empty table gives no rows; other columns
+rows that repeat a doc_id with the same text are one document, rows that share a doc_id with other texts are documents of their own, in the order of a hash; an empty table gives no rows; other columns
 pass `without_repeats` as they are, whatever their names, but n_chars, if there, follows the text.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, blocks_of_mixed, pairs_in_groups
 from .components import components
-from .tables import Scratch, free_name, parts, ready
+from .tables import Scratch, free_name, own_ids, parts, ready
 from .textkit import _IS_SEP, WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack, tidy
 
 SHINGLE = 8
@@ -318,11 +318,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def _with_removed(docs: DataFrame) -> DataFrame:
     """docs, all columns, and the numbers of the lines to remove as the last one."""
-    key, last = free_name(docs, "removed_of"), free_name(docs, "removed")
-    gone = removals(docs)
+    own, key, last = free_name(docs, "own_of"), free_name(docs, "removed_of"), free_name(docs, "removed")
+    named, back = own_ids(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(docs.columns)]))
+    gone = removals(named.select("doc_id", "text") if back is not None else docs.select(F.col("doc_id").cast("long"), "text"))
     few = _small(gone, "removed", 8)
     gone = gone.select(F.col("doc_id").alias(key), F.col("removed").alias(last))
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(key), "left").select(*[docs[f"`{c}`"] for c in docs.columns], last)
+    gone = F.broadcast(gone) if few else gone
+    if back is None:
+        return docs.join(gone, docs["doc_id"] == F.col(key), "left").select(*[docs[f"`{c}`"] for c in docs.columns], last)
+    rows = named.select(F.col("doc_id").alias(own), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return rows.join(gone, F.col(own) == F.col(key), "left").select(*[F.col(f"`{c}`") for c in docs.columns], last)
 
 
 def _kept(text: str | None, removed: list[int] | None) -> tuple[str | None, int]:
@@ -370,4 +375,4 @@ def digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256((new or "").encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines), pa.array(removed, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return _with_removed(docs.select("doc_id", "text")).mapInArrow(tidy(scan), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return _with_removed(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy(scan), "doc_id long, n_lines long, n_removed long, kept_sha256 string")

@@ -7,7 +7,7 @@ are sorted directly (to the window's depth), all others are induced by scanning
 bytes in order.  Adjacent common prefixes of WINDOW bytes or more make the groups of equal windows.
 
 Defined results for odd input: a null text is empty; a null doc_id is neither compared nor changed; rows
-that repeat a doc_id with its text are one document and lose the same bytes; texts under WINDOW bytes lose
+that repeat a doc_id with its text are one document and lose the same bytes, rows that share a doc_id with other texts are documents of their own, in the order of a hash; texts under WINDOW bytes lose
 nothing; an empty table gives no rows; other columns are not read.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import Scratch, parts, ready
+from .tables import Scratch, own_ids, parts, ready, with_doc_ids
 from .windows import NO_ID, Unit, all_marks, finish, merge, removed_mask, scan_segments
 
 WINDOW, ANCHOR = 100, 32
@@ -144,6 +144,7 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, marks) -> pa
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    docs, scratch, n_parts = ready(docs), Scratch(docs.sparkSession), parts(docs, mb=4)
+    scratch, n_parts = Scratch(docs.sparkSession), parts(docs, mb=4)
+    docs, back = own_ids(ready(docs).select("doc_id", "text"))
     marks = scratch.cut(merge(scan_segments(docs, UNIT, n_parts), UNIT, n_parts, keep_runs=False), "marks")
-    return finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA)
+    return with_doc_ids(finish(docs, all_marks(docs, UNIT, marks, n_parts, repeated_windows), n_parts, _result, SCHEMA), back)

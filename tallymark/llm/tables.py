@@ -53,6 +53,36 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text, ...) with long ids that name one text each, and (own, doc_id) to go back, or None where doc_id does so already.
+
+    Rows that share a doc_id with different texts become documents of their own, in the order of doc_id, then of a hash; rows that repeat
+    a doc_id with its text stay one.  Only where ids clash are they numbered anew.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    name = free_name(docs, "named")
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumn(name, F.struct(F.xxhash64(text), F.hash(text), F.length(text)))
+    each = named.where("doc_id is not null").select("doc_id", F.col(name).alias("named"))
+    if each.groupBy("doc_id").agg(F.min("named").alias("a"), F.max("named").alias("b")).where("a <> b").isEmpty():
+        return docs, None
+    # ids of a sorted table grow with its order; written, so that they stay as they are
+    numbered = cut(each.distinct().orderBy("doc_id", "named").select("doc_id", "named", F.monotonically_increasing_id().alias("own")), "own-ids")
+    key, own, of = free_name(named, "own"), numbered["own"], numbered["doc_id"]
+    joined = named.join(numbered, (named["doc_id"] == of) & (named[name] == numbered["named"]), "left").select(*[named[f"`{c}`"] for c in docs.columns], own.alias(key))
+    out = joined.select(*[F.col(key).alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
+    return out, numbered.select("own", "doc_id")
+
+
+def with_doc_ids(rows: DataFrame, back: DataFrame | None) -> DataFrame:
+    """rows keyed by ids of own_ids, with the doc_ids they came from."""
+    if back is None:
+        return rows
+    found = back.select("own", F.col("doc_id").alias("came_from"))
+    joined = rows.join(found, F.col("doc_id") == F.col("own"), "left")
+    return joined.select(*[F.col("came_from").alias("doc_id") if c == "doc_id" else F.col(c) for c in rows.columns])
+
+
 def parts(df: DataFrame, mb: int = 16, least: int = 12) -> int:
     """A number of partitions in proportion to the stored size of what df reads."""
     spark = df.sparkSession
