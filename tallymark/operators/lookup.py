@@ -5,32 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+KEY = ("ticker", "concept", "unit", "period_end")
+
+
+def versions(facts: DataFrame) -> DataFrame:
+    """One row per (ticker, concept, unit, period_end): all that was filed for it, in the order of filing date, accession and ingestion.
+
+    An array holds the restatements of one value, and those of other periods with the same end: a few entries.
+    """
+    entry = F.struct(F.coalesce("filed", F.lit("")).alias("filed"), F.coalesce("accession_number", F.lit("")).alias("order"), "fact_ord", "period_start", "value", F.col("accession_number").alias("accession"))
+    return facts.groupBy(*[F.col(c).alias(f"f_{c}") for c in KEY]).agg(F.sort_array(F.collect_list(entry)).alias("f_versions"))
+
 
 def lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """requests with status, value and accession found.
 
-    requests: any columns, with req_id, ticker, concept, unit, period_end, period_start (null: any), as_of (null: now).
-    One join and one aggregation on req_id.  More than one distinct start among the candidates is ambiguous; one distinct
-    value cites its earliest filing, several cite the latest and take its value.
+    requests: any columns, with ticker, concept, unit, period_end, period_start (null: any), as_of (null: now).
+    A request meets the one row of its key's versions, and nothing is aggregated by request.  More than one distinct start among the candidates is
+    ambiguous; one distinct value cites its earliest filing, several cite the latest and take its value.
     """
-    f = facts.select(*[F.col(c).alias(f"f_{c}") for c in ("ticker", "concept", "unit", "period_end", "period_start", "filed", "value", "accession_number", "fact_ord")])
-    on = (F.col("ticker") == F.col("f_ticker")) & (F.col("concept") == F.col("f_concept")) & (F.col("unit") == F.col("f_unit")) & (F.col("period_end") == F.col("f_period_end"))
-    on = on & (F.col("as_of").isNull() | (F.coalesce("f_filed", F.lit("")) <= F.col("as_of")))
-    on = on & (F.col("period_start").isNull() | F.col("period_start").eqNullSafe(F.col("f_period_start")))
-    hit = F.col("f_fact_ord").isNotNull()
-    entry = F.struct(F.col("f_value").alias("value"), F.col("f_accession_number").alias("accession"))
-    first = F.struct(F.coalesce("f_filed", F.lit("")), F.coalesce("f_accession_number", F.lit("")), F.col("f_fact_ord"))
-    last = F.struct(F.coalesce("f_filed", F.lit("")), F.coalesce("f_accession_number", F.lit("")), -F.col("f_fact_ord"))
-    start = F.when(hit, F.coalesce("f_period_start", F.lit("none")))
-    found = requests.join(f, on, "left").groupBy("req_id").agg(
-        F.count("f_fact_ord").alias("n"),
-        (F.min(start) != F.max(start)).alias("starts"),  # least and largest say whether there are several, without expanding the rows
-        (F.min("f_value") != F.max("f_value")).alias("values"),
-        F.min_by(F.when(hit, entry), F.when(hit, first)).alias("lo"),
-        F.max_by(F.when(hit, entry), F.when(hit, last)).alias("hi"),
-    )
-    status = F.when(F.col("starts"), "ambiguous_period").when(F.col("n") == 0, "missing_fact").otherwise("found")
-    pick = F.when(F.col("values"), F.col("hi")).otherwise(F.col("lo"))
-    found = found.select("req_id", status.alias("status"), pick.alias("pick"))
-    ok = F.col("status") == "found"
-    return requests.join(found, "req_id").select(*requests.columns, "status", F.when(ok, F.col("pick.value")).alias("value"), F.when(ok, F.col("pick.accession")).alias("accession"))
+    on = [F.col(c) == F.col(f"f_{c}") for c in KEY]
+    known = lambda v: (F.col("as_of").isNull() | (v["filed"] <= F.col("as_of"))) & (F.col("period_start").isNull() | v["period_start"].eqNullSafe(F.col("period_start")))
+    rows = requests.join(versions(facts), on, "left").withColumn("f_versions", F.filter("f_versions", known))
+    every = lambda f: F.transform("f_versions", f)
+    start, value = every(lambda v: F.coalesce(v["period_start"], F.lit("none"))), every(lambda v: v["value"])
+    latest = F.array_max(every(lambda v: F.struct(v["filed"], v["order"], (-v["fact_ord"]).alias("o"), v["value"].alias("value"), v["accession"].alias("accession"))))
+    first = F.try_element_at("f_versions", F.lit(1))
+    status = F.when(F.coalesce(F.size("f_versions"), F.lit(0)) <= 0, "missing_fact").when(F.array_min(start) != F.array_max(start), "ambiguous_period").otherwise("found")
+    pick = F.when(F.array_min(value) != F.array_max(value), F.struct(latest["value"].alias("value"), latest["accession"].alias("accession"))).otherwise(F.struct(first["value"].alias("value"), first["accession"].alias("accession")))
+    rows = rows.withColumns({"f_status": status, "f_pick": pick})
+    ok = F.col("f_status") == "found"
+    return rows.select(*requests.columns, F.col("f_status").alias("status"), F.when(ok, F.col("f_pick.value")).alias("value"), F.when(ok, F.col("f_pick.accession")).alias("accession"))

@@ -12,16 +12,37 @@ from ..storage import cut
 NEAR_DAYS, LENGTH_DAYS, QUARTER_DAYS = 60, 20, 91
 
 
+def ranked(facts: DataFrame) -> DataFrame:
+    """One row per (ticker, concept): `ranks`, its facts from the newest, ties in the order of ingestion.
+
+    Built once for any number of claims.  An array holds what one company has filed for one concept: a few values a quarter.
+    """
+    days = F.date_diff(F.col("period_end").cast("date"), F.col("period_start").cast("date"))
+    fact = F.struct("period_end", (-F.col("fact_ord")).alias("o"), "fact_ord", "period_start", "fiscal_year", "fiscal_period", F.coalesce("filed", F.lit("")).alias("filed"), days.alias("days"), "unit")
+    newest = F.reverse(F.sort_array(F.collect_list(fact)))  # sort_array puts nulls first, so they come last
+    lists = facts.groupBy(F.col("ticker").alias("ft"), F.col("concept").alias("fc")).agg(newest.alias("ranks"))
+    placed = F.transform("ranks", lambda f, i: F.struct(i.alias("rank"), *[f[c].alias(c) for c in ("fact_ord", "period_start", "period_end", "fiscal_year", "fiscal_period", "filed", "days", "unit")]))
+    return lists.select("ft", "fc", placed.alias("ranks"))
+
+
+def known_by(ranks, as_of):
+    """The facts of an array that were filed by a date (all if it is null), in their order."""
+    return F.when(as_of.isNull(), ranks).otherwise(F.filter(ranks, lambda f: f["filed"] <= as_of))
+
+
 def resolve_concept(claims: DataFrame, facts: DataFrame, dictionary: DataFrame, out: str = "concept") -> DataFrame:
     """claims (claim_id, ticker, metric, as_of) with the candidate concept of the latest period_end filed by as_of.
 
     Exact keys only; ties keep dictionary order; null if nothing is found.  Facts are reduced to one row
-    per (ticker, concept, filed) before they meet the claims.
+    per (ticker, concept) before they meet the claims: the latest period by each filing date, in the order of the dates.
     """
     keyed = claims.select("claim_id", "ticker", "as_of", metric_key(F.col("metric")).alias("metric_key"))
     wanted = keyed.join(F.broadcast(dictionary), "metric_key")  # a dictionary of fixed size
-    slim = facts.groupBy(F.col("ticker").alias("ft"), F.col("concept").alias("fc"), F.coalesce("filed", F.lit("")).alias("filed")).agg(F.max("period_end").alias("latest"))
-    hit = wanted.join(slim, (F.col("ticker") == F.col("ft")) & (F.col("concept") == F.col("fc")) & (F.col("as_of").isNull() | (F.col("filed") <= F.col("as_of"))))
+    by_date = facts.groupBy(F.col("ticker").alias("ft"), F.col("concept").alias("fc"), F.coalesce("filed", F.lit("")).alias("filed")).agg(F.max("period_end").alias("latest"))
+    slim = by_date.groupBy("ft", "fc").agg(F.collect_list(F.struct("filed", "latest")).alias("dates"))
+    hit = wanted.join(slim, (F.col("ticker") == F.col("ft")) & (F.col("concept") == F.col("fc")))
+    seen = F.when(F.col("as_of").isNull(), F.col("dates")).otherwise(F.filter("dates", lambda d: d["filed"] <= F.col("as_of")))
+    hit = hit.withColumn("latest", F.array_max(F.transform(seen, lambda d: d["latest"]))).where(F.size(seen) > 0)
     best = hit.groupBy("claim_id").agg(F.max_by("concept", F.struct("latest", -F.col("priority"))).alias(out))
     return claims.join(best, "claim_id", "left")
 
@@ -31,54 +52,40 @@ def with_hints(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"hint_year": hint_year(p), "hint_quarter": hint_quarter(p), "hint_sequential": hint_sequential(p), "hint_year_ago": hint_year_ago(p)})
 
 
-def resolve_periods(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """claims (claim_id, ticker, concept, as_of and the hint columns) with cur_ord and cmp_ord, the facts chosen.
+def resolve_periods(claims: DataFrame, facts: DataFrame, keep: bool = False) -> DataFrame:
+    """claims (claim_id, ticker, concept, as_of and the hint columns) with cur_ord and cmp_ord, the facts chosen; with keep also cur and cmp, the facts themselves.
 
-    One join and one sort per claim: facts are ranked from the newest, every rule is a flag on the ranked rows, 'if any' is a
-    window maximum, and the chosen rows are least ranks.
+    A claim meets one row: the ranked facts of its concept, in which every rule is a filter.  Nothing is made for each pair of a claim and a fact.
     """
-    hints = ["hint_year", "hint_quarter", "hint_sequential", "hint_year_ago"]
-    f = facts.select(F.col("ticker").alias("ft"), F.col("concept").alias("fc"), "period_start", "period_end", "fiscal_year", "fiscal_period", "filed", "fact_ord")
-    c = claims.select("claim_id", "ticker", "concept", "as_of", *hints)
-    rows = c.join(f, (F.col("ticker") == F.col("ft")) & (F.col("concept") == F.col("fc")) & (F.col("as_of").isNull() | (F.coalesce("filed", F.lit("")) <= F.col("as_of"))))
-    per = Window.partitionBy("claim_id")
-    some = lambda flag: F.coalesce(F.bool_or(flag).over(per), F.lit(False))
-    rows = rows.withColumn("rn", F.row_number().over(per.orderBy(F.desc("period_end"), "fact_ord")))
-    rows = rows.withColumn("days", F.date_diff(F.col("period_end").cast("date"), F.col("period_start").cast("date")))
-    in_quarter = F.coalesce(F.col("fiscal_period") == F.col("hint_quarter"), F.lit(False))
-    in_year = F.coalesce(F.col("fiscal_year") == F.col("hint_year"), F.lit(False))
-    rows = rows.withColumn("q1", in_quarter).withColumn("q1y", F.col("q1") & in_year)
-    rows = rows.withColumn("q2", F.when(F.col("hint_year").isNotNull() & some(F.col("q1y")), F.col("q1y")).otherwise(F.col("q1")))
-    rows = rows.withColumn("q2l", F.col("q2") & F.coalesce(F.abs(F.col("days") - QUARTER_DAYS) <= LENGTH_DAYS, F.lit(False)))
-    rows = rows.withColumn("q3", F.when(some(F.col("q2l")), F.col("q2l")).otherwise(F.col("q2")))
-    annual = F.col("fiscal_period") == "FY"
-    ys = [F.coalesce(annual & (F.col("fiscal_year") == F.col("hint_year")), F.lit(False)), F.coalesce(annual & (F.col("fiscal_year") == F.col("hint_year") - 1), F.lit(False)), in_year]
-    rows = rows.withColumns({f"y{i}": y for i, y in enumerate(ys)})
-    first = lambda flag: F.min(F.when(flag, F.col("rn"))).over(per)
-    chosen = F.when(F.col("hint_quarter").isNotNull(), first(F.col("q3"))).when(F.col("hint_year").isNotNull(), F.coalesce(first(F.col("y0")), first(F.col("y1")), first(F.col("y2")), F.lit(1))).otherwise(F.lit(1))
-    rows = rows.withColumn("cur", chosen)
-    at = lambda col: F.max(F.when(F.col("rn") == F.col("cur"), F.col(col))).over(per)
-    rows = rows.withColumns({"cs": at("period_start"), "ce": at("period_end"), "cd": at("days")})
-    older = F.coalesce((F.col("rn") > F.col("cur")) & ~(F.col("period_start").eqNullSafe(F.col("cs")) & F.col("period_end").eqNullSafe(F.col("ce"))), F.lit(False))
-    similar = older & F.coalesce(F.abs(F.col("days") - F.col("cd")) <= LENGTH_DAYS, F.lit(False))
-    rows = rows.withColumns({"older": older, "similar": similar})
-    away = lambda col, base: F.abs(F.date_diff(F.col(col).cast("date"), F.add_months(F.col(base).cast("date"), -12)))
-    near_end = F.min(F.when(F.col("older") & F.col("period_start").isNull(), F.struct(away("period_end", "ce").alias("d"), F.col("rn").alias("rn"))))
-    near_start = F.min(F.when(F.col("similar"), F.struct(away("period_start", "cs").alias("d"), F.col("rn").alias("rn"))))
-    got = rows.groupBy("claim_id").agg(
-        F.max("cur").alias("cur"), F.max("cs").alias("cs"), F.max("cd").alias("cd"), F.max("hint_sequential").alias("seq"), F.max("hint_year_ago").alias("ago"),
-        F.min(F.when(F.col("older"), F.col("rn"))).alias("any"), F.min(F.when(F.col("similar"), F.col("rn"))).alias("like"), near_end.alias("ne"), near_start.alias("ns"),
-        F.map_from_entries(F.collect_list(F.struct("rn", "fact_ord"))).alias("ords"),
-    )
-    instant = F.col("cs").isNull()
-    default = F.when(instant, F.when(F.col("ne.d") <= NEAR_DAYS, F.col("ne.rn")).otherwise(F.col("any"))).otherwise(F.coalesce("like", "any"))
-    cmp_ = (
-        F.when(F.col("seq") & ~instant, F.coalesce("like", default))
-        .when(F.col("ago") & ~instant & (F.col("ns.d") <= NEAR_DAYS), F.col("ns.rn"))
+    at = lambda xs: F.try_element_at(xs, F.lit(1))  # noqa: E731  the first, null if there is none
+    some = lambda xs, rest: F.when(F.size(xs) > 0, xs).otherwise(rest)
+    col = F.col
+    rows = claims.join(ranked(facts), (col("ticker") == col("ft")) & (col("concept") == col("fc")), "left")
+    rows = rows.withColumn("__f", known_by(col("ranks"), col("as_of"))).drop("ft", "fc", "ranks")
+    # the current fact: of the quarter that is named (of its year, of a quarter's length, where there are such), of the year, or the newest
+    rows = rows.withColumn("__q", F.filter("__f", lambda f: f["fiscal_period"] == col("hint_quarter")))
+    rows = rows.withColumn("__q", some(F.filter("__q", lambda f: f["fiscal_year"] == col("hint_year")), col("__q")))
+    rows = rows.withColumn("__q", some(F.filter("__q", lambda f: F.abs(f["days"] - QUARTER_DAYS) <= LENGTH_DAYS), col("__q")))
+    annual = lambda year: at(F.filter("__f", lambda f: (f["fiscal_period"] == "FY") & (f["fiscal_year"] == year)))
+    of_year = F.coalesce(annual(col("hint_year")), annual(col("hint_year") - 1), at(F.filter("__f", lambda f: f["fiscal_year"] == col("hint_year"))), at(col("__f")))
+    rows = rows.withColumn("cur", F.when(col("hint_quarter").isNotNull(), at(col("__q"))).when(col("hint_year").isNotNull(), of_year).otherwise(at(col("__f"))))
+    # the comparison: an older fact of another period, of the same length where there is one, about a year before where that is asked for
+    other = lambda f: ~(f["period_start"].eqNullSafe(col("cur.period_start")) & f["period_end"].eqNullSafe(col("cur.period_end")))
+    rows = rows.withColumn("__old", F.filter("__f", lambda f: (f["rank"] > col("cur.rank")) & other(f)))
+    rows = rows.withColumn("__like", F.filter("__old", lambda f: F.abs(f["days"] - col("cur.days")) <= LENGTH_DAYS))
+    away = lambda f, side: F.abs(F.date_diff(f[side].cast("date"), F.add_months(col(f"cur.{side}").cast("date"), -12)))
+    nearest = lambda xs, side: F.array_min(F.transform(xs, lambda f: F.struct(away(f, side).alias("d"), f["rank"].alias("rank"), f.alias("fact"))))
+    rows = rows.withColumns({"__end": nearest(F.filter("__old", lambda f: f["period_start"].isNull()), "period_end"), "__start": nearest(col("__like"), "period_start")})
+    first_old, first_like, instant = at(col("__old")), at(col("__like")), col("cur.period_start").isNull()
+    default = F.when(instant, F.when(col("__end.d") <= NEAR_DAYS, col("__end.fact")).otherwise(first_old)).otherwise(F.coalesce(first_like, first_old))
+    chosen = (
+        F.when(col("hint_sequential") & ~instant, F.coalesce(first_like, default))
+        .when(col("hint_year_ago") & ~instant & (col("__start.d") <= NEAR_DAYS), col("__start.fact"))
         .otherwise(default)
     )
-    got = got.where("cur is not null").select("claim_id", F.try_element_at("ords", F.col("cur")).alias("cur_ord"), F.try_element_at("ords", cmp_).alias("cmp_ord"))
-    return claims.join(got, "claim_id", "left")
+    rows = rows.withColumn("cmp", F.when(col("cur").isNotNull(), chosen)).drop("__f", "__q", "__old", "__like", "__end", "__start")
+    out = rows.withColumns({"cur_ord": col("cur.fact_ord"), "cmp_ord": col("cmp.fact_ord")})
+    return out if keep else out.drop("cur", "cmp")
 
 
 def number_occurrences(claims: DataFrame) -> DataFrame:
@@ -96,10 +103,7 @@ def verify(claims: DataFrame, facts: DataFrame, dictionary: DataFrame, ratios: D
     from .reconcile import reconcile
 
     named = with_hints(resolve_concept(resolve_concept(claims, facts, dictionary), facts, ratios, out="denominator_metric"))
-    placed = resolve_periods(named, facts)
-    f = facts.select("ticker", "fact_ord", "period_start", "period_end", "unit")
-    side = lambda p: f.select(F.col("ticker").alias(f"{p}_t"), F.col("fact_ord").alias(f"{p}_o"), F.struct("period_start", "period_end", "unit").alias(p))
-    j = placed.join(side("cur"), (F.col("ticker") == F.col("cur_t")) & (F.col("cur_ord") == F.col("cur_o")), "left").join(side("cmp"), (F.col("ticker") == F.col("cmp_t")) & (F.col("cmp_ord") == F.col("cmp_o")), "left")
+    j = resolve_periods(named, facts, keep=True)
     absolute = F.col("comparison_type") == "absolute"
     swap = absolute & (((F.col("occurrence") == 1) & (F.coalesce("period", F.lit("")) == "")) | F.col("hint_year_ago"))
     j = j.withColumn("main", F.when(swap, F.col("cmp")).otherwise(F.col("cur")))

@@ -276,7 +276,7 @@ named AS (SELECT h.*, r.concept FROM {_HINTS} h LEFT JOIN ({_recency(_DICT)}) r
 
 
 def _placed(spark, sf_dir):
-    f = facts(spark, sf_dir)
+    f = cut(facts(spark, sf_dir), "facts")  # read by both steps
     named = resolve.with_hints(resolve.resolve_concept(build(spark, sf_dir, EXTRACTED), f, dic.metrics(spark)))
     return resolve.resolve_periods(named, f)
 
