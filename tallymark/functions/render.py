@@ -112,11 +112,10 @@ def feedback() -> Column:
 
 
 def fact_line() -> Column:
-    """A fact as a judge without tools reads it."""
-    return F.concat(
-        F.lit("- "), amount(F.col("value"), F.col("unit")), F.lit(", period "), F.coalesce("period_start", F.lit("None")), F.lit(".."), F.col("period_end"),
-        F.lit(", filed "), F.col("filed"), F.lit(", form "), F.col("form"), F.lit(", accession "), F.col("accession_number"),
-    )
+    """A fact as a judge without tools reads it: its source in brackets, then what it says of which time."""
+    source = F.concat(F.lit("["), F.concat_ws(" / ", "accession_number", "form", F.nullif(F.col("filed"), F.lit(""))), F.lit("] "))
+    time = F.when(F.col("period_start").isNull(), F.concat(F.lit("as at "), "period_end")).otherwise(F.concat(F.lit("for "), "period_start", F.lit(" to "), "period_end"))
+    return F.concat(source, time, F.lit(": "), amount(F.col("value"), F.col("unit")))
 
 
 def parse_answer(c: Column) -> Column:

@@ -79,12 +79,78 @@ def qualified_apart(preds: Column, metric: Column, value: Column) -> Column:
     return F.exists(preds, lambda p: ~bare(p) & (p["value"] == value)) & ~F.exists(preds, lambda p: bare(p) & (p["value"] == value))
 
 
+_EVIDENCE = ("fact_ord", "value", "unit", "period_start", "period_end", "filed", "form", "accession_number")
+
+
 def judge_inputs(matches: DataFrame, facts: DataFrame) -> DataFrame:
     """matches with evidence: the facts of exactly that company, concept and period, each with the start compared null-safely."""
-    f = facts.select(F.col("ticker").alias("__t"), F.col("concept").alias("__c"), F.col("period_start").alias("__s"), F.col("period_end").alias("__e"), F.struct("fact_ord", "value", "unit", "filed", "form", "accession_number").alias("f"))
+    keys = {"ticker": "__t", "concept": "__c", "period_start": "__s", "period_end": "__e"}
+    f = facts.groupBy(*[F.col(c).alias(k) for c, k in keys.items()]).agg(F.array_sort(F.collect_list(F.struct(*_EVIDENCE))).alias("evidence"))  # one period's filings: a few
     on = (F.col("ticker") == F.col("__t")) & (F.col("concept") == F.col("__c")) & F.col("period_start").eqNullSafe(F.col("__s")) & (F.col("period_end") == F.col("__e"))
-    got = matches.join(f, on, "left").groupBy("match_id").agg(F.array_sort(F.collect_list("f")).alias("evidence"))
-    return matches.join(got, "match_id")
+    return matches.join(f, on, "left").withColumn("evidence", F.coalesce("evidence", F.array())).drop(*keys.values())
+
+
+def judge_inputs_by_concept(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """claims (ticker, metric, denominator_metric, ...) with as_of, the latest date on which the company filed anything, and evidence: all its facts of those concepts."""
+    latest = facts.groupBy(F.col("ticker").alias("__l")).agg(F.max("filed").alias("__filed"))
+    lists = facts.groupBy(F.col("ticker").alias("__t"), F.col("concept").alias("__c")).agg(F.array_sort(F.collect_list(F.struct(*_EVIDENCE))).alias("__f"))
+    out = claims.drop("as_of").join(latest, F.col("ticker") == F.col("__l"), "left")
+    for name, column in (("__own", "metric"), ("__den", "denominator_metric")):
+        side = lists.select(F.col("__t").alias(f"{name}_t"), F.col("__c").alias(f"{name}_c"), F.col("__f").alias(name))
+        out = out.join(side, (F.col("ticker") == F.col(f"{name}_t")) & (F.col(column) == F.col(f"{name}_c")), "left")
+    none = F.array().cast(facts.select(F.array(F.struct(*_EVIDENCE))).schema[0].dataType)
+    own = F.coalesce("__own", none)
+    both = F.when(F.col("denominator_metric").isNull() | (F.col("denominator_metric") == F.col("metric")), own).otherwise(F.concat(own, F.coalesce("__den", none)))
+    return out.select(*[c for c in claims.columns if c != "as_of"], F.col("__filed").alias("as_of"), F.array_sort(both).alias("evidence"))
+
+
+# Cases made of a pair of periods (name, category, expected verdict).
+CASE_KINDS = (
+    ("stated", "known_good", CONSISTENT), ("stated_growth", "known_good", CONSISTENT), ("stated_change", "known_good", CONSISTENT),
+    ("inflated", "known_bad", INCONSISTENT), ("inflated_growth", "known_bad", INCONSISTENT),
+    ("flipped_growth", "adversarial", INCONSISTENT), ("flipped_change", "adversarial", INCONSISTENT), ("thousandth", "adversarial", INCONSISTENT),
+    ("inside_edge", "adversarial", CONSISTENT), ("outside_edge", "adversarial", INCONSISTENT), ("growth_as_amount", "adversarial", INCONSISTENT),
+)
+
+
+def cases_from(pairs: DataFrame) -> DataFrame:
+    """Audit claims made of pairs (ticker, concept, cur, pri: structs of value, unit, period_start, period_end, filed), each with what must come out.
+
+    A claim is judged as of the later filing.  Where a flipped sign would stay within the tolerance there is no such case.
+    """
+    cur, pri = F.col("cur.value"), F.col("pri.value")
+    growth, change = (cur - pri) / F.abs(pri) * 100, cur - pri
+    steep, large = F.abs(growth) > 1, F.abs(change) / F.greatest(F.abs(cur), F.abs(pri)) > 0.01
+    claimed = {
+        "stated": ("absolute", cur, None), "stated_growth": ("growth_pct", growth, None), "stated_change": ("absolute_change", change, None),
+        "inflated": ("absolute", cur * 1.3, None), "inflated_growth": ("growth_pct", growth + 10, None),
+        "flipped_growth": ("growth_pct", -growth, steep), "flipped_change": ("absolute_change", -change, large), "thousandth": ("absolute", cur / 1000, None),
+        "inside_edge": ("absolute", cur * 1.0099, None), "outside_edge": ("absolute", cur * 1.0101, None), "growth_as_amount": ("absolute", growth, None),
+    }
+    each = []
+    for name, category, expected in CASE_KINDS:
+        kind, value, only = claimed[name]
+        case = F.struct(F.lit(name).alias("label"), F.lit(category).alias("category"), F.lit(kind).alias("comparison_type"), value.alias("claimed_value"), F.lit(expected).alias("expected_verdict"))
+        each.append(case if only is None else F.when(only, case))
+    rows = pairs.where((pri != 0) & (cur != 0)).withColumn("case", F.explode(F.array_compact(F.array(*each))))
+    two = F.col("case.comparison_type") != "absolute"
+    text = lambda c: F.lit(c).cast("string")
+    return rows.select(
+        F.concat_ws("/", "ticker", "concept", "cur.period_start", "cur.period_end", "case.label").alias("claim_id"), "ticker", F.col("concept").alias("metric"), "case.comparison_type", "case.claimed_value",
+        "cur.period_end", "cur.period_start", F.when(two, F.col("pri.period_end")).alias("comparison_period_end"), F.when(two, F.col("pri.period_start")).alias("comparison_period_start"),
+        text(None).alias("denominator_metric"), "cur.unit", F.lit(None).cast("double").alias("tolerance"), F.greatest("cur.filed", "pri.filed").alias("as_of"), "case.label", "case.category", "case.expected_verdict",
+    )
+
+
+def audit_by_label(judged: DataFrame) -> DataFrame:
+    """label, category, cases, matched and falsely accepted of judged cases."""
+    wrong = (F.col("verdict") == CONSISTENT) & (F.col("expected_verdict") != CONSISTENT)
+    return judged.groupBy("label", "category").agg(F.count("*").alias("cases"), F.count_if(F.col("verdict") == F.col("expected_verdict")).alias("matched"), F.count_if(wrong).alias("falsely_accepted"))
+
+
+def of_verdict(judged: DataFrame, verdict: str, *columns: str) -> DataFrame:
+    """The claims of one verdict, with the columns that a report lists."""
+    return judged.where(F.col("verdict") == verdict).select(*columns)
 
 
 def judge_outcomes(judged: DataFrame) -> DataFrame:

@@ -19,31 +19,28 @@ def days(start: str = "period_start", end: str = "period_end") -> Column:
     return F.date_diff(F.col(end).cast("date"), F.col(start).cast("date"))
 
 
-def one_per_period(facts: DataFrame) -> DataFrame:
-    """The first filing of each (ticker, concept, period)."""
+def one_per_period(facts: DataFrame, never_restated: bool = False) -> DataFrame:
+    """The first filing of each (ticker, concept, period); with never_restated only of periods for which one value was ever filed."""
     keys = ["ticker", "concept", "period_start", "period_end"]
     rest = [c for c in facts.columns if c not in keys]
-    return facts.groupBy(*keys).agg(F.min(F.struct("filed", "accession_number", "fact_ord", F.struct(*rest).alias("x"))).alias("m")).select(*keys, "m.x.*")
+    first = facts.groupBy(*keys).agg(F.min(F.struct("filed", "accession_number", "fact_ord", F.struct(*rest).alias("x"))).alias("m"), F.min("value").alias("a"), F.max("value").alias("b"))
+    return first.where("a = b" if never_restated else F.lit(True)).select(*keys, "m.x.*")
 
 
 def adjacent_pairs(facts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each fact with the nearest earlier one of another period_end and a length within LENGTH_DAYS; cur and pri hold the columns to carry.
 
-    A fact asks each length that its (ticker, concept) has within reach (a handful), and one running maximum per length answers all that ask.
+    One aggregation to an ordered array per (ticker, concept), in which every fact looks back; no row is made for a pair that does not count.  An array holds
+    what one company has filed for one concept.
     """
-    order = Window.partitionBy("ticker", "concept").orderBy("period_end", "fact_ord")
-    f = facts.withColumns({"rn": F.row_number().over(order), "days": days(), "at": F.unix_date(F.col("period_end").cast("date"))}).where("days is not null")
     held = F.struct(*carry) if carry else F.lit(None).cast("int")
-    f = f.select("ticker", "concept", "days", "at", "rn", "fact_ord", held.alias("held"))
-    lengths = f.select("ticker", "concept", F.col("days").alias("length")).distinct()
-    asks = f.join(lengths, ["ticker", "concept"]).where(F.abs(F.col("length") - F.col("days")) <= LENGTH_DAYS)
-    told = F.struct("rn", "fact_ord", "held").alias("told")
-    asks = asks.select("ticker", "concept", "length", "at", F.col("fact_ord").alias("cur_ord"), F.col("held").alias("cur"), F.lit(None).cast(f.select(told).schema[0].dataType).alias("told"))
-    tells = f.select("ticker", "concept", F.col("days").alias("length"), "at", F.lit(None).cast("long").alias("cur_ord"), F.lit(None).cast(f.schema["held"].dataType).alias("cur"), told)
-    before = Window.partitionBy("ticker", "concept", "length").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    got = asks.unionByName(tells).withColumn("pri", F.max("told").over(before)).where("cur_ord is not null and pri is not null")
-    out = got.groupBy("ticker", "concept", "cur_ord").agg(F.max("pri").alias("pri"), F.any_value("cur").alias("cur"))
-    return out.select("ticker", "concept", "cur_ord", F.col("pri.fact_ord").alias("pri_ord"), *([F.col("cur"), F.col("pri.held").alias("pri")] if carry else []))
+    entry = F.struct("period_end", "fact_ord", F.unix_date(F.col("period_end").cast("date")).alias("at"), days().alias("days"), held.alias("held"))
+    lists = facts.where(days().isNotNull()).groupBy("ticker", "concept").agg(F.sort_array(F.collect_list(entry)).alias("fs"))
+    earlier = lambda x, i: F.filter(F.slice("fs", F.lit(1), i), lambda y: (y["at"] < x["at"]) & (F.abs(y["days"] - x["days"]) <= LENGTH_DAYS))
+    pairs = F.transform("fs", lambda x, i: F.struct(x.alias("cur"), F.try_element_at(earlier(x, i), F.lit(-1)).alias("pri")))
+    got = lists.select("ticker", "concept", F.explode(pairs).alias("p")).where("p.pri is not null")
+    out = [F.col("p.cur.fact_ord").alias("cur_ord"), F.col("p.pri.fact_ord").alias("pri_ord")]
+    return got.select("ticker", "concept", *out, *([F.col("p.cur.held").alias("cur"), F.col("p.pri.held").alias("pri")] if carry else []))
 
 
 def dominant_length(facts: DataFrame) -> DataFrame:

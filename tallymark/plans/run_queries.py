@@ -1,4 +1,4 @@
-"""Registered queries of user functions and of runs that stop and go on."""
+"""Registered queries of user functions, of runs that stop and go on, and of audits and tools over given tables."""
 
 from __future__ import annotations
 
@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dictionary as dic
-from ..operators import resolve, userfn
+from ..operators import audit, dataset, reconcile, resolve, userfn
 from ..operators.userfn import UserFunction
 from ..schema import EXTRACTED as CLAIM_LIST
 from ..storage import cut, new_path
-from . import coordinator
+from . import coordinator, tools
 from .adapter import EXTRACTED, build
-from .queries import _X, ORACLES, facts, query
+from .queries import _C, _F, _MATCH, _X, ORACLES, _matches, claims, facts, query
 from .runstate import RunStore
 
 _SENTENCE = re.compile(r"^\[([^\]]*)\] We had (.*) of (\S+) (\S+) for '(.*)', an? (\w+) figure\.$", re.M)
@@ -149,3 +149,83 @@ def q_run_verdicts(spark, sf_dir):
     """Verdicts of both sessions together."""
     v = _twice(spark, sf_dir).latest("verdicts")
     return v.groupBy("run").agg(F.count("*").alias("claims"), F.count_if(F.col("verdict") == "consistent").alias("consistent"), F.count_if(F.col("verdict") == "inconsistent").alias("inconsistent"))
+
+
+# ---- audits and tools over given tables ----
+
+_ONCE = f"(SELECT ticker, concept, period_start, period_end, min_by(value, (filed, accession_number, fact_ord)) AS value, min_by(unit, (filed, accession_number, fact_ord)) AS unit, min(filed) AS filed, min_by(fact_ord, (filed, accession_number, fact_ord)) AS fact_ord FROM {_F} GROUP BY ticker, concept, period_start, period_end HAVING min(value) = max(value))"
+_PAIRED = f"""
+f AS (SELECT *, row_number() OVER (PARTITION BY ticker, concept ORDER BY period_end, fact_ord) AS rn, date_diff('day', CAST(period_start AS DATE), CAST(period_end AS DATE)) AS days FROM {_ONCE} WHERE period_start IS NOT NULL),
+p AS (SELECT a.ticker, a.concept, a.value AS cur, arg_max(b.value, b.rn) AS pri FROM f a JOIN f b ON a.ticker = b.ticker AND a.concept = b.concept AND b.rn < a.rn AND a.period_end <> b.period_end AND abs(a.days - b.days) <= 20 GROUP BY a.ticker, a.concept, a.fact_ord, a.value),
+q AS (SELECT *, (cur - pri) / abs(pri) * 100 AS growth, cur - pri AS change FROM p WHERE cur <> 0 AND pri <> 0),
+k AS (
+  SELECT 'stated' AS label, 'known_good' AS category, 'consistent' AS expected, 'absolute' AS kind, cur AS v, * FROM q UNION ALL SELECT 'stated_growth', 'known_good', 'consistent', 'growth_pct', growth, * FROM q
+  UNION ALL SELECT 'stated_change', 'known_good', 'consistent', 'absolute_change', change, * FROM q UNION ALL SELECT 'inflated', 'known_bad', 'inconsistent', 'absolute', cur * 1.3, * FROM q
+  UNION ALL SELECT 'inflated_growth', 'known_bad', 'inconsistent', 'growth_pct', growth + 10, * FROM q UNION ALL SELECT 'flipped_growth', 'adversarial', 'inconsistent', 'growth_pct', -growth, * FROM q WHERE abs(growth) > 1
+  UNION ALL SELECT 'flipped_change', 'adversarial', 'inconsistent', 'absolute_change', -change, * FROM q WHERE abs(change) / greatest(abs(cur), abs(pri)) > 0.01
+  UNION ALL SELECT 'thousandth', 'adversarial', 'inconsistent', 'absolute', cur / 1000, * FROM q UNION ALL SELECT 'inside_edge', 'adversarial', 'consistent', 'absolute', cur * 1.0099, * FROM q
+  UNION ALL SELECT 'outside_edge', 'adversarial', 'inconsistent', 'absolute', cur * 1.0101, * FROM q UNION ALL SELECT 'growth_as_amount', 'adversarial', 'inconsistent', 'absolute', growth, * FROM q
+), v AS (
+  SELECT *, CASE WHEN CASE kind WHEN 'absolute' THEN abs(cur - v) / abs(cur) <= 0.01 WHEN 'growth_pct' THEN abs(growth - v) <= 1 ELSE abs(change - v) / greatest(abs(cur), abs(pri)) <= 0.01 END THEN 'consistent' ELSE 'inconsistent' END AS verdict FROM k)"""
+
+
+def _judged_cases(spark, sf_dir) -> DataFrame:
+    once = dataset.one_per_period(facts(spark, sf_dir), never_restated=True).where("period_start is not null")
+    pairs = dataset.adjacent_pairs(once, ("value", "unit", "period_start", "period_end", "filed"))
+    return reconcile.reconcile(cut(audit.cases_from(pairs), "cases"), facts(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRED} SELECT label, category, count(*) AS cases, count(*) FILTER (verdict = expected) AS matched, count(*) FILTER (verdict = 'consistent' AND expected <> 'consistent') AS falsely_accepted FROM v GROUP BY ALL")
+def q_audit_cases(spark, sf_dir):
+    """The audit case by case over all pairs of periods: good claims, bad ones, and those made to slip through."""
+    return audit.audit_by_label(_judged_cases(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PAIRED}, n AS (SELECT count(*) AS cases, count(*) FILTER (verdict = expected) AS matched, count(*) FILTER (expected = 'consistent') AS n_good, count(*) FILTER (expected = 'consistent' AND verdict = 'consistent') AS accepted,
+  count(*) FILTER (expected <> 'consistent') AS n_bad, count(*) FILTER (expected <> 'consistent' AND verdict = 'consistent') AS falsely_accepted FROM v)
+SELECT *, CAST(accepted AS DOUBLE) / n_good AS recall, CAST(falsely_accepted AS DOUBLE) / n_bad AS false_positive_rate, CASE WHEN falsely_accepted = 0 THEN CAST(3.0 AS DOUBLE) / n_bad END AS false_positive_bound FROM n""")
+def q_audit_rates(spark, sf_dir):
+    return audit.audit(_judged_cases(spark, sf_dir).withColumn("demo", F.lit(False)))
+
+
+@query(f"""
+WITH {_MATCH} SELECT m.match_id, CAST(row_number() OVER (PARTITION BY m.match_id ORDER BY f.fact_ord) - 1 AS INT) AS pos, f.value, f.unit, f.filed, f.form, f.accession_number
+FROM m JOIN fx f ON f.ticker = m.ticker AND f.concept = m.concept AND f.period_start IS NOT DISTINCT FROM m.period_start AND f.period_end = m.period_end""")
+def q_judge_evidence(spark, sf_dir):
+    """All evidence of a match, line by line."""
+    m = audit.judge_inputs(_matches(spark, sf_dir), facts(spark, sf_dir))
+    e = m.select("match_id", F.posexplode("evidence").alias("pos", "e"))
+    return e.select("match_id", "pos", *[f"e.{c}" for c in ("value", "unit", "filed", "form", "accession_number")])
+
+
+@query(f"""
+WITH l AS (SELECT ticker, max(filed) AS as_of FROM {_F} GROUP BY ticker)
+SELECT c.claim_id, l.as_of, count(f.fact_ord) AS n, min(f.period_end) AS first_end, max(f.period_end) AS last_end, count(DISTINCT f.accession_number) AS filings, CAST(sum(f.fact_ord) AS BIGINT) AS ords
+FROM {_C} c JOIN l ON l.ticker = c.ticker LEFT JOIN {_F} f ON f.ticker = c.ticker AND (f.concept = c.metric OR f.concept = c.denominator_metric) GROUP BY c.claim_id, l.as_of""")
+def q_judge_concepts(spark, sf_dir):
+    """A claim's evidence by its set of concepts, as of the company's latest filing."""
+    m = audit.judge_inputs_by_concept(claims(spark, sf_dir), facts(spark, sf_dir))
+    each = lambda c: F.transform("evidence", lambda e: e[c])
+    return m.select(
+        "claim_id", "as_of", F.size("evidence").cast("long").alias("n"), F.array_min(each("period_end")).alias("first_end"), F.array_max(each("period_end")).alias("last_end"),
+        F.size(F.array_distinct(each("accession_number"))).cast("long").alias("filings"), F.when(F.size("evidence") > 0, F.aggregate(each("fact_ord"), F.lit(0).cast("long"), lambda a, b: a + b)).alias("ords"),
+    )
+
+
+@query(f"SELECT claim_id, ticker, metric, claimed_value, computed_value FROM ({ORACLES['q_reconcile_all']}) JOIN (SELECT claim_id, ticker, metric, claimed_value FROM {_C}) USING (claim_id) WHERE verdict = 'inconsistent'")
+def q_inconsistent_claims(spark, sf_dir):
+    judged = reconcile.reconcile(claims(spark, sf_dir), facts(spark, sf_dir))
+    return audit.of_verdict(judged, "inconsistent", "claim_id", "ticker", "metric", "claimed_value", "computed_value")
+
+
+@query(f"""
+SELECT n.n_name AS company, concept, count(*) AS n, max(period_end) AS last_end FROM nation n JOIN {_F} f ON f.ticker = n.n_name WHERE n.n_name = 'NATION_3' GROUP BY ALL
+UNION ALL SELECT 'NATION_5', concept, 0, NULL FROM {_F} WHERE ticker = 'NATION_5' GROUP BY concept""")
+def q_tools_in_sql(spark, sf_dir):
+    """The tool surface from SQL."""
+    known = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("ticker"))
+    tools.Tools(spark, facts(spark, sf_dir), companies=known).in_sql("q_")
+    return spark.sql("""
+        SELECT 'NATION_3' AS company, concept, count(*) AS n, max(period_end) AS last_end FROM q_xbrl_facts(' nation_3 ') GROUP BY concept
+        UNION ALL SELECT 'NATION_5', concept, 0, NULL FROM q_concepts_of('NATION_5')""")

@@ -127,9 +127,9 @@ def label_companies(rows: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def landing_latest(landed: DataFrame, now: float, ttl: float | None) -> DataFrame:
-    """The newest fresh entry per key of a landing table (key, fetched_at, data); no ttl: entries don't expire."""
+    """The newest fresh entry per key of a landing table (key, fetched_at, data); no ttl: entries don't expire.  Of entries fetched at the same time the one with the largest data counts."""
     fresh = landed if ttl is None else landed.where(F.col("fetched_at").isNotNull() & (F.lit(now) - F.col("fetched_at") < ttl))
-    return fresh.groupBy("key").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("data", "fetched_at").alias("data"))
+    return fresh.groupBy("key").agg(F.max(F.struct("fetched_at", "data")).alias("x")).select("key", "x.fetched_at", "x.data")
 
 
 class _Leaves(HTMLParser):

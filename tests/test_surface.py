@@ -8,6 +8,7 @@ from tallymark.operators import audit, resolve
 from tallymark.plans import tools
 from tallymark.schema import FACTS
 from tallymark.sources import filings
+from tallymark.streaming import landing
 
 
 def fact(concept, value, start, end, fy, fp, filed, ord_, unit="USD"):
@@ -65,6 +66,54 @@ def test_tool_surface(spark):
     assert {r.concept for r in t.list_concepts("T").collect()} == {r[2] for r in BOOK}
 
 
+def test_unknown_companies_raise_in_every_tool_and_in_sql(spark):
+    known = spark.createDataFrame([("t",), ("QUIET",)], "ticker string")
+    docs = spark.createDataFrame([], "ticker string, form string, accession_number string, filing_date string, html string")
+    t = tools.Tools(spark, spark.createDataFrame(BOOK, FACTS), documents=docs, companies=known)
+    for call in (t.get_xbrl_facts, t.list_concepts, t.get_mdna):
+        with pytest.raises(ValueError, match="unknown ticker: X"):
+            call(" x ")
+    assert t.get_xbrl_facts("quiet").isEmpty() and t.get_mdna("quiet").isEmpty()
+    t.in_sql("unit_")
+    assert spark.sql("SELECT * FROM unit_xbrl_facts(' t ')").count() == len(BOOK)
+    assert spark.sql("SELECT count(*) FROM unit_concepts_of('T')").first()[0] == len({r[2] for r in BOOK})
+    assert spark.sql("SELECT * FROM unit_xbrl_facts('quiet')").isEmpty()
+    with pytest.raises(Exception, match="unknown ticker: X"):
+        spark.sql("SELECT * FROM unit_xbrl_facts('x')").collect()
+
+
+def test_the_last_landed_entry_counts_also_on_ties(spark):
+    rows = spark.createDataFrame([("a", 1.0, "x"), ("a", 1.0, "y"), ("b", 2.0, "z"), ("b", None, "n")], "key string, fetched_at double, data string")
+    assert sorted(map(tuple, filings.landing_latest(rows, 10, 100).collect())) == [("a", 1.0, "y"), ("b", 2.0, "z")]
+
+
+def test_a_snapshot_reads_new_files_alone(spark, tmp_path):
+    source, schema = f"file://{tmp_path}/landed", "key string, fetched_at double, data string"
+    land = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    land(*[(f"k{i}", 1.0, "old") for i in range(200)])
+    held = landing.Snapshot(spark, source, f"file://{tmp_path}/state")
+    first = held.update()
+    first.awaitTermination()
+    land(("k3", 2.0, "new"), ("k3", 2.0, "newer"), ("k4", 0.5, "late"), ("other", 1.0, "x"))
+    second = landing.Snapshot(spark, source, f"file://{tmp_path}/state").update()
+    second.awaitTermination()
+    assert sum(p["numInputRows"] for p in second.recentProgress) < 200  # the first file is not read again
+    full = filings.landing_latest(spark.read.schema(schema).parquet(source), 0, None)
+    assert sorted(map(tuple, held.current().select("key", "fetched_at", "data").collect())) == sorted(map(tuple, full.collect()))
+    assert held.current().where("key = 'k3'").first().data == "newer"
+
+
+def test_evidence_of_a_judge(spark):
+    facts = spark.createDataFrame(BOOK, FACTS)
+    claims = spark.createDataFrame([("c", "T", "GrossProfit", "Revenues"), ("d", "T", "Assets", None), ("e", "T", "None", None)], "claim_id string, ticker string, metric string, denominator_metric string")
+    got = {r.claim_id: r for r in audit.judge_inputs_by_concept(claims, facts).collect()}
+    assert {r.as_of for r in got.values()} == {"2024-02-01"} and [len(got[c].evidence) for c in "cde"] == [8, 2, 0]
+    match = spark.createDataFrame([("m", "T", "Assets", None, "2023-12-31"), ("n", "T", "Assets", "2023-01-01", "2023-12-31")], "match_id string, ticker string, concept string, period_start string, period_end string")
+    assert {r.match_id: [e.value for e in r.evidence] for r in audit.judge_inputs(match, facts).collect()} == {"m": [1000.0], "n": []}
+    line = facts.where("fact_ord = 1").select(render.fact_line().alias("l")).first().l
+    assert line == "[a1 / 10-K / 2024-02-01] for 2023-01-01 to 2023-12-31: " + facts.where("fact_ord = 1").select(render.amount(F.col("value"), F.col("unit"))).first()[0]
+
+
 def test_sources_of_candidates(spark):
     hits = spark.createDataFrame([(1, ["7"], ["Old"], "2022"), (2, ["7", "8"], ["New"], "2023"), (3, [], ["None"], "2023")], "ord int, ciks array<string>, names array<string>, file_date string")
     assert [tuple(r) for r in filings.search_candidates(hits).collect()] == [("0000000007", "New", "2023")]
