@@ -12,7 +12,8 @@ What is found: every item of Q to UNIT + STRIDE bytes that stands whole within i
 A shorter part of an item is not a match.
 
 The benchmark is read in blocks of at most BLOCK_BYTES (its size is measured first); the documents pass one map per block, row by row
-and without a shuffle, and rest in the shared folder after every CHAIN blocks.  Documents of any length are processed whole.
+and without a shuffle, and rest in the shared folder after every CHAIN blocks.  Documents of any length are processed whole: one whose q-grams
+are equal to many of the benchmark's is counted in parts that overlap by more than a region.
 
 Defined results for odd input: a null or empty document or item matches nothing; an item shorter than Q bytes matches only a
 document that is nothing else; repeated rows, ids and null ids are rows of their own, with any number of blocks; an empty benchmark leaves every document clean;
@@ -38,6 +39,8 @@ EDITS = 0.10
 UNIT, STRIDE = 160, 80
 BLOCK_BYTES = 4 << 20
 CHAIN = 2
+#: Pairs of equal q-grams that are counted at a time.
+MOST_HITS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
@@ -177,10 +180,25 @@ class Index:
         at, lo, n, doc = at[whole], lo[whole], n[whole], doc[whole]
         of_doc = np.searchsorted(doc, np.arange(len(off)))  # where each document's hits begin
         upto = np.concatenate([[0], np.cumsum(n)])[of_doc]
-        for a, b in chunks(upto, 1 << 20):  # the hits of some whole documents at a time
+        for a, b in chunks(upto, MOST_HITS):  # the hits of some documents at a time, a document with more of them in parts
             p, r = of_doc[a], of_doc[b]
-            if r > p:
+            if r > p and upto[b] - upto[a] <= MOST_HITS:
                 self._regions(grams, text, off, at[p:r], lo[p:r], n[p:r], doc[p:r], found)
+            elif r > p:
+                for i, j in self._parts(at[p:r], n[p:r]):
+                    self._regions(grams, text, off, at[p + i : p + j], lo[p + i : p + j], n[p + i : p + j], doc[p + i : p + j], found)
+
+    def _parts(self, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of the hits of one document, about MOST_HITS each, that overlap so far that every region lies wholly in one."""
+        reach = int(self.size.max() + self.budget.max()) + (2 << self.shift) + Q
+        upto, first = np.concatenate([[0], np.cumsum(n)]), 0
+        while True:
+            last = max(int(np.searchsorted(at, at[first] + 2 * reach)), int(np.searchsorted(upto, upto[first] + MOST_HITS, side="right")) - 1)
+            if last >= len(at):
+                yield first, len(at)
+                return
+            yield first, last
+            first = int(np.searchsorted(at, at[last] - reach))
 
     def _regions(self, grams: Grams, text, off, at, lo, n, doc, found) -> None:
         rep = np.repeat(np.arange(len(n)), n)

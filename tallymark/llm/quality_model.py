@@ -55,13 +55,17 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return x, begin
     doc = np.repeat(np.arange(len(n_words)), n_words)
     of_word = begin[doc] + (np.arange(len(starts)) - first[doc]) // PASSAGE_WORDS
-    marks = np.zeros(len(data), np.int64)  # a byte belongs to the passage of the last word that began
-    new = np.flatnonzero(np.diff(of_word, prepend=-1))
-    marks[starts[new]] = np.diff(of_word[new], prepend=0)
-    of_byte = np.cumsum(marks)
+    of_byte = np.zeros(len(data), np.int64)  # a byte belongs to the passage of the last word of its document that began, or to the first one
+    full = offsets[:-1] < offsets[1:]
+    of_byte[offsets[:-1][full]] = begin[:-1][full]
+    of_byte[starts] = of_word
+    of_byte = np.maximum.accumulate(of_byte)
+    inner = np.ones(len(data), bool)  # what follows another byte of its document
+    inner[offsets[:-1][full]] = False
+    pair = np.flatnonzero(inner)
     cls = _CLASS[data]
     size = np.bincount(of_byte, minlength=begin[-1]).astype(np.float32)[:, None] + 1
-    x[:, : _CLASSES**2] = np.bincount(of_byte[1:] * _CLASSES**2 + cls[:-1] * _CLASSES + cls[1:], minlength=begin[-1] * _CLASSES**2).reshape(begin[-1], -1) / size
+    x[:, : _CLASSES**2] = np.bincount(of_byte[pair] * _CLASSES**2 + cls[pair - 1] * _CLASSES + cls[pair], minlength=begin[-1] * _CLASSES**2).reshape(begin[-1], -1) / size
     x[:, _CLASSES**2 : _CLASSES**2 + _CLASSES] = np.bincount(of_byte * _CLASSES + cls, minlength=begin[-1] * _CLASSES).reshape(begin[-1], -1) / size
     per = np.bincount(of_word, minlength=begin[-1]).astype(np.float32)
     some = np.maximum(per, 1)

@@ -77,3 +77,36 @@ def test_matches_by_brute_force(spark):
     for size in (dc.BLOCK_BYTES, 120):  # one block, and several with rests in between: a row for every row
         assert sorted((str(x.doc_id), x["items"]) for x in dc.matches(df, b, size).collect()) == want
         assert dc.keep_clean(df, b, size).count() == sum(not x[1] for x in want)
+
+
+def test_a_document_with_many_hits_is_counted_in_parts(monkeypatch):
+    """Repetitive texts and units: whatever the size of the parts, what is found is the same."""
+    r = random.Random(9)
+    units = ["a" * 160, "ab" * 70, "abc" * 40 + "xyz" * 10, "na na hey " * 12]
+    texts = []
+    for _ in range(30):
+        t = "".join(r.choice(["a" * r.randint(1, 300), "ab" * r.randint(1, 90), "abc" * r.randint(1, 60), "na na hey " * r.randint(1, 15), "zq w "]) for _ in range(12))
+        texts.append(t + edited(r, r.choice(units), r.randint(0, 10)) + t[:100])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    index = dc.Index([(i, u.encode()) for i, u in enumerate(units)])
+    whole = [x.tolist() for x in index.search(data, offsets)]
+    assert whole[0]
+    for most in (1, 500, 20_000):
+        monkeypatch.setattr(dc, "MOST_HITS", most)
+        assert [x.tolist() for x in index.search(data, offsets)] == whole
+
+
+def test_memory_does_not_grow_with_a_text_of_one_letter():
+    import tracemalloc
+
+    index = dc.Index([(1, b"a" * 160)])
+    peaks = []
+    for size in (40_000, 160_000):
+        data = np.full(size, 97, np.uint8)
+        tracemalloc.start()
+        d, i, e = index.search(data, np.array([0, size]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (d.tolist(), i.tolist(), e.tolist()) == ([0], [1], [0])
+    assert peaks[1] < 1.2 * peaks[0] < 500e6
