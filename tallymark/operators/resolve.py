@@ -91,7 +91,7 @@ def resolve_periods(claims: DataFrame, facts: DataFrame, keep: bool = False) ->
 def number_occurrences(claims: DataFrame) -> DataFrame:
     """Occurrence of a repeated (metric, value_unit) in one chunk; only absolute claims without a period count."""
     eligible = (F.col("comparison_type") == "absolute") & (F.coalesce("period", F.lit("")) == "")
-    w = Window.partitionBy("chunk_id", eligible, metric_key(F.col("metric")), "value_unit").orderBy("claim_ord")
+    w = Window.partitionBy("chunk_id", eligible, metric_key(F.col("metric")), "value_unit").orderBy("claim_ord", "claim_id")
     return claims.withColumn("occurrence", F.when(eligible, F.row_number().over(w) - 1).otherwise(0))
 
 

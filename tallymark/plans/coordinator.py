@@ -45,7 +45,7 @@ def trace(planned: DataFrame, claims: DataFrame, judged: DataFrame, start: int =
     a = reached.select("run", "ord", F.lit(0).alias("claim_ord"), F.lit("").alias("claim_id"), F.explode(per_chunk).alias("e"))
     at = planned.select("accession", "chunk_index", "run", "ord")
     named = F.col("metric")
-    per_claim = F.array(event(0, "tool_call", "verification", "verify", F.concat_ws("=", named, F.concat(F.col("value").cast("string"), "value_unit"))), event(1, "decision", "coordinator", "claim_verdict", F.concat_ws(" -> ", named, "verdict")))
+    per_claim = F.array(event(0, "tool_call", "verification", "verify", F.concat_ws("=", named, F.concat(F.format_string("%.2f", F.col("value")), "value_unit"))), event(1, "decision", "coordinator", "claim_verdict", F.concat_ws(" -> ", named, "verdict")))
     b = judged.join(at, ["accession", "chunk_index"]).select("run", "ord", (F.col("claim_ord") + 1).alias("claim_ord"), "claim_id", F.explode(per_claim).alias("e"))
     stops = planned.where("not processed").groupBy("run").agg(F.min(F.struct("ord", "reason")).alias("x"))
     c = stops.select("run", "x.ord", F.lit(0).alias("claim_ord"), F.lit("").alias("claim_id"), event(0, "decision", "coordinator", "budget_exceeded", F.col("x.reason")).alias("e"))

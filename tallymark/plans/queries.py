@@ -590,7 +590,18 @@ def q_prompts(spark, sf_dir):
     return _built(spark, sf_dir).select("id", render.prompt().alias("prompt"))
 
 
-@query()
+_N = "format('{{:,.0f}}', {})".format
+_GAP = "'; gap ' || printf('%.2f%%', d * 100)"
+
+
+@query(f"""
+WITH {_RECON}, say AS (SELECT f.verdict, f.reason_code, x.* FROM diff x JOIN final f USING (claim_id))
+SELECT claim_id, verdict, CASE WHEN verdict = 'unverifiable' THEN metric || ': not verifiable, ' || replace(reason_code, '_', ' ') ELSE CASE comparison_type
+  WHEN 'absolute' THEN metric || ': stated ' || {_N("claimed_value")} || '; reported data give ' || {_N("computed")} || ' at ' || period_end || {_GAP}
+  WHEN 'growth_pct' THEN metric || ' growth: stated ' || printf('%.2f%%', claimed_value) || '; reported data give ' || printf('%.2f%%', computed) || ' (' || {_N("pri_v")} || ' -> ' || {_N("cur_v")} || ')' || '; gap ' || printf('%.2f points', d)
+  WHEN 'absolute_change' THEN metric || ' change: stated ' || {_N("claimed_value")} || '; reported data give ' || {_N("computed")} || ' (' || {_N("pri_v")} || ' -> ' || {_N("cur_v")} || ')' || {_GAP}
+  ELSE metric || '/' || denominator_metric || ': stated ' || printf('%.1f bps', claimed_value) || '; reported data give ' || printf('%.1f bps (', computed) || printf('%.4f%%', pri_v / den_pri_v * 100) || ' -> ' || printf('%.4f%%', cur_v / den_cur_v * 100) || ')' || '; gap ' || printf('%.1f bps', d)
+END END AS explanation FROM say""")
 def q_explanations(spark, sf_dir):
     return tools.explained(claims(spark, sf_dir), facts(spark, sf_dir)).select("claim_id", "verdict", "explanation")
 
@@ -666,7 +677,15 @@ def q_score_extractors(spark, sf_dir):
     return audit.score_runs(e.select("id", F.lit("noisy").alias("extractor"), "preds", "golds").unionByName(perfect).unionByName(failing))
 
 
-@query()
+# ties of the sixth digit go up, which a nudge of the value makes printf do
+_SHOWN = "comparison_type || ' ''' || metric || '''' || ' ~' || printf('%g', value * (1 + 1e-12)) || CASE value_unit WHEN 'USD' THEN '' WHEN 'percent' THEN '%' ELSE ' ' || value_unit END"
+
+
+@query(f"""
+WITH {_WALK}, m AS (SELECT g.id, string_agg({_SHOWN.replace("comparison_type", "g.comparison_type")}, '; ' ORDER BY g.k) AS t FROM gold g JOIN walk w ON w.id = g.id AND w.k = g.k WHERE w.pick IS NULL GROUP BY g.id),
+x AS (SELECT p.id, string_agg({_SHOWN}, '; ' ORDER BY p.k) AS t FROM pred p JOIN done d ON d.id = p.id WHERE NOT list_contains(d.used, p.k) GROUP BY p.id)
+SELECT d.id, concat_ws('. ', len(d.used) || '/' || d.n || ' claims found', 'missed: ' || m.t, 'extra: ' || x.t, CASE WHEN m.t IS NULL AND x.t IS NULL THEN 'nothing missed, nothing extra' END) AS feedback
+FROM done d LEFT JOIN m ON m.id = d.id LEFT JOIN x ON x.id = d.id""")
 def q_feedback(spark, sf_dir):
     return scoring.match_greedy(_examples(spark, sf_dir)).select("id", render.feedback().alias("feedback"))
 
@@ -800,7 +819,17 @@ def q_run_state(spark, sf_dir):
     return coordinator.state_of(_planned(spark, sf_dir)[0])
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT DISTINCT ticker AS run, chunk_id AS accession, claim_ord AS chunk_index FROM {_X}),
+o AS (SELECT *, row_number() OVER w AS ord, coalesce(count(*) FILTER (chunk_index <> 3) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 12 AS processed FROM c WINDOW w AS (PARTITION BY run ORDER BY accession, chunk_index)),
+v AS ({ORACLES["q_verify_pipeline"]}), e AS (
+  SELECT run, ord, 0 AS claim, '' AS claim_id, 0 AS k, 'tool_call' AS kind, 'extraction' AS agent, 'extract' AS action, 'chunk ' || chunk_index AS detail FROM o WHERE processed
+  UNION ALL SELECT run, ord, 0, '', 1, 'decision', 'coordinator', 'extraction_failed', 'chunk ' || chunk_index FROM o WHERE processed AND chunk_index = 3
+  UNION ALL SELECT run, ord, 1, claim_id, 0, 'tool_call', 'verification', 'verify', metric || '=' || printf('%.2f', value) || value_unit FROM o JOIN {_X} x ON x.chunk_id = accession AND x.claim_ord = chunk_index WHERE processed AND chunk_index <> 3
+  UNION ALL SELECT run, ord, 1, claim_id, 1, 'decision', 'coordinator', 'claim_verdict', metric || ' -> ' || verdict FROM o JOIN {_X} x ON x.chunk_id = accession AND x.claim_ord = chunk_index JOIN v USING (claim_id) WHERE processed AND chunk_index <> 3
+  UNION ALL SELECT run, min(ord), 0, '', 0, 'decision', 'coordinator', 'budget_exceeded', 'chunks' FROM o WHERE NOT processed GROUP BY run
+)
+SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY ord, claim, claim_id, k) AS INT) AS step, kind, agent, action, detail FROM e""")
 def q_run_trace(spark, sf_dir):
     planned, x = _planned(spark, sf_dir)
     judged = cut(coordinator.verdicts(planned, x, cut(facts(spark, sf_dir), "facts"), dic.metrics(spark), dic.ratios(spark)), "judged")
