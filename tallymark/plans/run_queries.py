@@ -12,6 +12,7 @@ from ..functions import dictionary as dic
 from ..operators import audit, dataset, reconcile, resolve, userfn
 from ..operators.userfn import UserFunction
 from ..schema import EXTRACTED as CLAIM_LIST
+from ..sources import filings
 from ..storage import cut, new_path
 from . import coordinator, tools
 from .adapter import EXTRACTED, build
@@ -229,3 +230,25 @@ def q_tools_in_sql(spark, sf_dir):
     return spark.sql("""
         SELECT 'NATION_3' AS company, concept, count(*) AS n, max(period_end) AS last_end FROM q_xbrl_facts(' nation_3 ') GROUP BY concept
         UNION ALL SELECT 'NATION_5', concept, 0, NULL FROM q_concepts_of('NATION_5')""")
+
+
+@query(f"""
+WITH h AS (SELECT s_suppkey AS ord, lpad(CAST(s_nationkey AS VARCHAR), 10, '0') AS cik, s_name AS name FROM supplier WHERE s_suppkey % 7 <> 0),
+c AS (SELECT cik, arg_max(name, ord) AS name FROM h GROUP BY cik), k AS (SELECT n_name AS ticker, lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS cik FROM nation WHERE n_nationkey % 3 <> 1),
+w AS (SELECT DISTINCT f.ticker, f.accession_number, c.name FROM c JOIN k USING (cik) JOIN {_F} f ON f.ticker = k.ticker WHERE f.form = '10-K')
+SELECT ticker, name, accession_number, CAST(least(60, 20 + (length(accession_number) * 7 + CAST(substr(accession_number, 12, 4) AS INT)) % 80) AS BIGINT) AS chunks FROM w""")
+def q_search_to_chunks(spark, sf_dir):
+    """From landed search hits to companies, to their filings, to the first chunks of these."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    ciks = F.when(F.col("s_suppkey") % 7 != 0, F.array(F.col("s_nationkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    hits = s.select(F.col("s_suppkey").alias("ord"), ciks.alias("ciks"), F.array("s_name").alias("names"), F.lit("2024-01-01").alias("file_date"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    tickers = n.select(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("cik"))
+    found = filings.label_companies(filings.search_candidates(hits), tickers).withColumnRenamed("label", "ticker")
+    found = filings.only_companies(found, n.where("n_nationkey % 3 <> 1").select(F.col("n_name").alias("ticker")))
+    index = facts(spark, sf_dir).where("form = '10-K'").select("ticker", "accession_number").distinct()
+    wanted = found.join(index, "ticker").select("ticker", "name", "accession_number")
+    size = 20 + (F.length("accession_number") * 7 + F.substring("accession_number", 12, 4).cast("int")) % 80
+    chunks = index.select("accession_number", F.explode(F.sequence(F.lit(0), (size - 1).cast("int"))).alias("chunk_index"))
+    first = filings.original_chunks(wanted, index, chunks).groupBy("accession_number").agg(F.count("*").alias("chunks"))
+    return wanted.join(first, "accession_number").select("ticker", "name", "accession_number", "chunks")
