@@ -13,7 +13,7 @@ they add.
 
 A chunk's map sends any state before it to (state after it, tokens).  Behind the first place where a non-space is followed by white space every
 state is the same, so a map is kept as the characters up to that place, which are run from the state that comes in, and a constant for the rest.
-Maps compose associatively whatever the cuts are; long texts are cut into CHUNK_BYTES and their maps composed by a prefix scan (`scan`).
+Maps compose associatively whatever the cuts are; texts are cut into CHUNK_BYTES and their chunks' maps composed by a prefix scan (`scan`).
 
 The constant part of a chunk is cut into pre-tokens by array operations; equal pre-tokens are run through the token machine once.
 
@@ -37,7 +37,7 @@ from .tables import ready
 from .textkit import chunks as ranges
 from .textkit import column, mix, tidy
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 10
 #: Most states of a token machine and most pre-tokens that a worker remembers; beyond that it starts anew.
 MAX_STATES, MAX_KNOWN = 1 << 16, 1 << 20
 LIMIT = 512
@@ -398,15 +398,28 @@ class TextMachine:
 
     def chunk(self, text: str) -> ChunkMap:
         """The map of any part of a text, cut anywhere."""
-        at = self.sync(text)
-        if at < 0:
-            return ChunkMap(text, None, 0)
-        body = text[at:]
-        white = self.classes[np.frombuffer(body.encode("utf-32-le"), np.uint32)] == SPACE
-        cut = np.flatnonzero(white[1:] & ~white[:-1])  # the last such place: what is behind it stays open
-        cut = int(cut[-1]) + 1 if len(cut) else 0
-        state, tail = self.advance(START, body[cut:])
-        return ChunkMap(text[:at], state, self.whole(body[:cut]) + tail)
+        return self.maps([text])[0]
+
+    def maps(self, texts: list[str]) -> list[ChunkMap]:
+        """The maps of many parts; what is constant in them is counted all at once."""
+        cuts, bodies = [], []
+        for text in texts:
+            white = self.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == SPACE
+            found = np.flatnonzero(white[1:] & ~white[:-1]) + 1 if not self.spaced else ()
+            if len(found):  # from the first such place on nothing depends on what was before; what is behind the last one stays open
+                cuts.append((int(found[0]), int(found[-1])))
+                bodies.append(text[cuts[-1][0] : cuts[-1][1]])
+            else:
+                cuts.append(None)
+        counts = iter(self.wholes(bodies))
+        out = []
+        for text, cut in zip(texts, cuts, strict=True):
+            if cut is None:
+                out.append(ChunkMap(text, None, 0))
+            else:
+                state, tail = self.advance(START, text[cut[1] :])
+                out.append(ChunkMap(text[: cut[0]], state, next(counts) + tail))
+        return out
 
     def advance(self, state: State, text: str) -> tuple[State, int]:
         total = 0
@@ -436,23 +449,30 @@ class TextMachine:
         state, adds = self.apply(b, a.exit)
         return ChunkMap(a.head, state, a.adds + adds)
 
+    def wholes(self, texts: list[str]) -> list[int]:
+        """Tokens of texts from their start to their end; special strings are one token each."""
+        parts = [self.find_special.split(t) if self.find_special and self.find_special.search(t) else [t] for t in texts]
+        raw = [p.encode("utf-8") for own in parts for p in own]
+        counts = self.ordinary(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        upto, at = np.concatenate([[0], np.cumsum(counts)]), np.cumsum([0, *map(len, parts)])
+        return [len(own) - 1 + int(upto[b] - upto[a]) for own, a, b in zip(parts, at, at[1:], strict=False)]
+
     def whole(self, text: str) -> int:
-        """Tokens of a text from its start to its end; special strings are one token each."""
-        parts, specials = [text], 0
-        if self.find_special and self.find_special.search(text):
-            parts = self.find_special.split(text)
-            specials = len(parts) - 1
-        raw = [p.encode("utf-8") for p in parts]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        return specials + int(self.ordinary(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])])).sum())
+        return self.wholes([text])[0]
+
+    def counts_by_chunks(self, texts: list[str], size: int = CHUNK_BYTES) -> list[int]:
+        """Tokens of texts by the maps of their chunks, composed by a prefix scan."""
+        pieces = [[t[i : i + size] for i in range(0, len(t), size)] for t in texts]
+        maps = iter(self.maps([p for own in pieces for p in own]))
+        out = []
+        for own in pieces:
+            found = scan([next(maps) for _ in own], self.compose)
+            state, total = self.apply(found[-1], START) if found else (START, 0)
+            out.append(total + self.end(state))
+        return out
 
     def count(self, text: str, size: int = CHUNK_BYTES) -> int:
-        """Tokens of a text by the maps of its chunks."""
-        maps = scan([self.chunk(text[i : i + size]) for i in range(0, len(text), size)], self.compose)
-        if not maps:
-            return 0
-        state, total = self.apply(maps[-1], START)
-        return total + self.end(state)
+        return self.counts_by_chunks([text], size)[0]
 
 
 @dataclass(frozen=True)
@@ -487,7 +507,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def _count_some(machine: TextMachine, texts: pa.Array) -> np.ndarray:
-    """Tokens of texts: those with special strings and very long ones by their chunks' maps, all others at once."""
+    """Tokens of texts: those longer than a chunk or with special strings by their chunks' maps, all others, one chunk each, at once."""
     data, offsets = column(texts)
     size = np.diff(offsets)
     apart = size > CHUNK_BYTES
@@ -497,8 +517,8 @@ def _count_some(machine: TextMachine, texts: pa.Array) -> np.ndarray:
             has |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
         apart |= has
     counts = np.empty(len(texts), np.int64)
-    for i in np.flatnonzero(apart).tolist():
-        counts[i] = machine.count(texts[i].as_py())
+    far = np.flatnonzero(apart)
+    counts[far] = machine.counts_by_chunks(texts.take(pa.array(far)).to_pylist())
     rest = np.flatnonzero(~apart)
     if not apart.any():
         counts[:] = machine.ordinary(data, offsets)

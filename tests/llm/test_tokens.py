@@ -201,3 +201,22 @@ def test_segments_have_the_tokens_of_the_text(pair, text):
 
 def test_breaks_are_read_off_the_vocabularies(pair):
     assert set(pair.breaks) == set(" \n\t")  # some pieces hold a carriage return behind other characters
+
+
+# --- op8 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_given_texts_go_through_the_maps_of_their_chunks(spark):
+    import pyarrow as pa
+
+    from tallymark.llm import token_counts
+
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    machine = token_counts.TextMachine(BYTE)
+    composed = []
+    compose = machine.compose
+    machine.compose = lambda a, b: composed.append(1) or compose(a, b)
+    got = token_counts._count_some(machine, pa.array(texts)).tolist()
+    assert sum(len(t.encode()) > token_counts.CHUNK_BYTES for t in texts) > 100 and len(composed) > 200
+    library = Tokenizer.from_file(BYTE)
+    assert got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
