@@ -623,29 +623,33 @@ _RESTATED = 390000e6
 @query(f"""
 WITH c AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{k}', CAST({v!r} AS DOUBLE), '{e}', {d})" for m, k, v, e, d in _CASES)}) t(metric, kind, v, expected_verdict, demo)),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{m}', CAST({c!r} AS DOUBLE), CAST({'NULL' if p is None else repr(p)} AS DOUBLE))" for m, (c, p) in _REPORTED.items())}) t(metric, cur, pri)),
-x AS (SELECT c.*, CASE WHEN demo THEN {_RESTATED!r} ELSE r.cur END AS cur, r.pri, d.cur AS dc, d.pri AS dp FROM c JOIN r USING (metric) CROSS JOIN (SELECT * FROM r WHERE metric = 'Revenues') d),
+x AS (SELECT c.*, CASE WHEN demo THEN {_RESTATED!r} ELSE r.cur END AS cur, r.pri, d.cur AS dc, d.pri AS dp FROM c JOIN r USING (metric) CROSS JOIN (SELECT * FROM r WHERE metric = 'Revenues') d CROSS JOIN nation),
 s AS (SELECT *, CASE WHEN CASE kind WHEN 'absolute' THEN abs(cur - v) / abs(cur) <= 0.01 WHEN 'growth_pct' THEN abs((cur - pri) / abs(pri) * 100 - v) <= 1 WHEN 'absolute_change' THEN abs(cur - pri - v) / greatest(abs(cur), abs(pri)) <= 0.01 ELSE abs((cur / dc - pri / dp) * 10000 - v) <= 50 END THEN 'consistent' ELSE 'inconsistent' END AS verdict FROM x),
 n AS (SELECT count(*) AS cases, count(*) FILTER (verdict = expected_verdict) AS matched, count(*) FILTER (NOT demo AND expected_verdict = 'consistent') AS n_good, count(*) FILTER (NOT demo AND expected_verdict = 'consistent' AND verdict = 'consistent') AS accepted,
   count(*) FILTER (NOT demo AND expected_verdict <> 'consistent') AS n_bad, count(*) FILTER (NOT demo AND expected_verdict <> 'consistent' AND verdict = 'consistent') AS falsely_accepted FROM s)
 SELECT *, CAST(accepted AS DOUBLE) / n_good AS recall, CAST(falsely_accepted AS DOUBLE) / n_bad AS false_positive_rate, CASE WHEN falsely_accepted = 0 THEN CAST(3.0 AS DOUBLE) / n_bad END AS false_positive_bound FROM n""")
 def q_audit(spark, sf_dir):
-    from ..schema import CLAIMS as CLAIM_COLUMNS
-    from ..schema import FACTS as FACT_SCHEMA
-
+    """The fixed cases for every company of the given tables, their dollar figures scaled by a power of two (so that no quotient changes)."""
     now, before = ("2022-09-25", "2023-09-30", "2023-11-03", "n"), ("2021-09-26", "2022-09-24", "2022-10-28", "b")
-    rows, n = [], 0
-    for metric, values in _REPORTED.items():
-        for value, (start, end, filed, accession) in zip(values, (now, before)):
-            if value is not None:
-                n += 1
-                rows.append(("T", "1", metric, metric, value, "pure" if value < 1 else "USD", start, end, None, "FY", "10-K", filed, accession, n))
-    rows.append(("T", "1", "Revenues", "Revenues", _RESTATED, "USD", now[0], now[1], None, "FY", "10-K/A", "2024-03-01", "r", n + 1))
+    rows = [(m, v, *when, "10-K") for m, values in _REPORTED.items() for v, when in zip(values, (now, before)) if v is not None]
+    rows.append(("Revenues", _RESTATED, now[0], now[1], "2024-03-01", "r", "10-K/A"))
+    as_struct = lambda names, row: F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(names, row)])
+    text, number = (lambda *names: [(n, "string") for n in names]), (lambda *names: [(n, "double") for n in names])
+    fact = [*text("concept"), *number("value"), *text("period_start", "period_end", "filed", "accession_number", "form"), ("fact_ord", "long")]
+    case = [*text("claim", "metric", "comparison_type"), *number("claimed_value"), *text("comparison_period_end", "comparison_period_start", "denominator_metric", "as_of", "expected_verdict"), ("demo", "boolean")]
     asked = []
     for i, (metric, kind, value, expected, demo) in enumerate(_CASES):
         two = kind != "absolute"
-        asked.append((str(i), "T", metric, kind, value, now[1], now[0], before[1] if two else None, before[0] if two else None, "Revenues" if kind == "bps_change" else None, "pure" if metric.startswith("Effective") else "USD", None, None if demo else "2023-12-31", expected, demo))
-    c = spark.createDataFrame(asked, CLAIM_COLUMNS + ", expected_verdict string, demo boolean")
-    return audit.audit(reconcile.reconcile(c, spark.createDataFrame(rows, FACT_SCHEMA)))
+        asked.append((str(i), metric, kind, value, before[1] if two else None, before[0] if two else None, "Revenues" if kind == "bps_change" else None, None if demo else "2023-12-31", expected, demo))
+    company = table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker"), F.pow(F.lit(2.0), F.col("n_nationkey") % 8).alias("scale"))
+    unit = lambda metric: F.when(metric.startswith("Effective"), "pure").otherwise("USD")
+    dollars = lambda value, metric: F.when(metric.startswith("Effective"), value).otherwise(value * F.col("scale"))
+    f = company.select("ticker", "scale", F.explode(F.array(*[as_struct(fact, (*r, n)) for n, r in enumerate(rows)])).alias("f"))
+    f = f.select("ticker", "f.*", "scale", unit(F.col("f.concept")).alias("unit")).withColumn("value", dollars(F.col("value"), F.col("concept")))
+    c = company.select("ticker", "scale", F.explode(F.array(*[as_struct(case, r) for r in asked])).alias("c")).select("ticker", "scale", "c.*")
+    stated = F.when(F.col("comparison_type").isin("absolute", "absolute_change"), dollars(F.col("claimed_value"), F.col("metric"))).otherwise(F.col("claimed_value"))
+    c = c.withColumns({"claim_id": F.concat_ws("/", "ticker", "claim"), "claimed_value": stated, "unit": unit(F.col("metric")), "period_end": F.lit(now[1]), "period_start": F.lit(now[0]), "tolerance": F.lit(None).cast("double")})
+    return audit.audit(reconcile.reconcile(c, f))
 
 
 @query("SELECT doc_id AS accession, CAST(doc_id % 7 AS INT) AS chunk_index, coalesce(strpos(replace(text, chr(160), ' '), CASE WHEN doc_id % 3 = 0 THEN 'no such quote 123' ELSE substr(replace(text, chr(160), ' '), 5, 20) END) > 0, false) AS found FROM documents")
