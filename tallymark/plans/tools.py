@@ -16,8 +16,8 @@ LISTED_FORMS, LISTED = ("10-K", "10-Q", "8-K"), 10
 
 class Tools:
     """Landed tables of a deployment: facts (flattened), index (ticker, cik and parallel arrays) and documents (ticker, form,
-    accession_number, filing_date, html), and companies (ticker, cik), those that are known; without it they are the ones with facts or
-    an index.  A tool raises ValueError for a company that is not known and has an empty answer for one that has filed nothing.  Every
+    accession_number, filing_date, html), and companies (ticker, cik), those that are known; without it they are the ones with facts, an
+    index or documents.  A tool raises ValueError for a company that is not known and has an empty answer for one that has filed nothing.  Every
     answer is lazy; filters on the ticker reach the scans.  `in_sql` makes the tools table functions."""
 
     def __init__(self, spark: SparkSession, facts: DataFrame, index: DataFrame | None = None, documents: DataFrame | None = None, companies: DataFrame | None = None) -> None:
@@ -25,7 +25,7 @@ class Tools:
 
     def _known(self, ticker: str) -> str:
         ticker = ticker.strip().upper()
-        tables = [self.companies] if self.companies is not None else [t for t in (self.facts, self.index) if t is not None]
+        tables = [self.companies] if self.companies is not None else [t for t in (self.facts, self.index, self.documents) if t is not None]
         if all(t.where(F.upper(F.trim("ticker")) == ticker).isEmpty() for t in tables):
             raise ValueError(f"unknown ticker: {ticker}")
         return ticker
