@@ -4,9 +4,10 @@ One model per language over ORDER-grams of letters (other characters are one spa
 64-bit keys and stored in sorted arrays; lower orders use continuation counts.  A text gets the
 language of the lowest cross-entropy per character.
 
-Training counts the n-grams of all training rows: first inside each task, then by language and key.  The model's size is
-bounded by CELLS (keys times languages): if there are more, the n-grams of the lowest counts are left out, by a threshold that follows from the
-distribution of the counts.
+Training counts the n-grams of all training rows: first inside each task, then by language and key.  Every one is in the model.
+Up to CELLS of them (times the languages) are a model that each task holds.  Beyond that the counts stay a table: the same recursion runs
+as joins for the n-grams that the texts hold, tasks hold the probabilities of the most frequent ones only (CELLS at most), and the others of a text
+meet theirs in a join.  Both ways give the same numbers.
 
 Rejection is calibrated on rows that were not counted: one in CALIBRATE of a language's training rows (if it has LEAST or more)
 only gives the cross-entropy that a share RATE of them exceeds; a text above its language's level
@@ -19,20 +20,25 @@ rows are predicted alike; a language of a single row is learned from it; an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .tables import Scratch, is_training_fold, ready
 from .textkit import chunks, column, tidy
 
 ORDER = 4
 CELLS = 1 << 24
 CALIBRATE, LEAST, RATE = 20, 200, 0.005
+#: Characters of a text that counts for the levels.
+LONG = 40
 BROADCAST_LANGS = 10_000
+#: Texts times languages of one block of sums.
+SUMS = 1 << 22
 #: Keys that a task holds before it passes its counts on.
 HELD_KEYS = 1 << 21
 FOLDS, HELD = 5, 0
@@ -104,6 +110,45 @@ def grams(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[ok], first[np.minimum(begin, n)]
 
 
+def scored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed ORDER-grams that texts are scored by, each text's first one, and how many (0: no letter)."""
+    codes, begin = letters(data, offsets)
+    has = np.add.reduceat(codes != _SPACE, begin[:-1]) > 0
+    key, first = grams(codes, begin)
+    n = np.diff(first)
+    # texts shorter than an ORDER-gram are padded with spaces
+    short = np.flatnonzero(has & (np.diff(begin) < ORDER))
+    padded = np.zeros(len(short), np.uint64)
+    for j, i in enumerate(short):
+        own = codes[begin[i] : begin[i + 1]]
+        padded[j] = grams(np.concatenate([np.full(ORDER - len(own), _SPACE, np.uint64), own]), np.array([0, ORDER]))[0][0]
+    key = np.insert(key, first[short], padded)
+    n[short] = 1
+    return key, np.concatenate([[0], np.cumsum(n)]), np.where(has, n, 0)
+
+
+def sums(first: np.ndarray, width: int, values: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """values(a, b), the rows of the keys from a to b, summed by text."""
+    total = np.zeros((len(first) - 1, width))
+    step = max(1 << 12, SUMS // width)
+    for a in range(0, first[-1], step):  # a very long text is looked up in parts
+        b = min(a + step, first[-1])
+        upto = np.zeros((b - a + 1, width))
+        np.cumsum(values(a, b), axis=0, out=upto[1:])
+        at = np.clip(first - a, 0, b - a)
+        some = np.flatnonzero(at[1:] > at[:-1])
+        total[some] += upto[at[some + 1]] - upto[at[some]]
+    return total
+
+
+def blocks(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about 1 MB and at most SUMS texts times languages."""
+    step = max(1, SUMS // width)
+    for a, b in chunks(offsets, 1 << 20):
+        for i in range(a, b, step):
+            yield i, min(b, i + step)
+
+
 class KneserNey:
     """Models of all languages over shared sorted key arrays."""
 
@@ -163,32 +208,14 @@ class KneserNey:
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character in every language for each text, and characters scored (0: no letter)."""
-        codes, begin = letters(data, offsets)
-        has = np.add.reduceat(codes != _SPACE, begin[:-1]) > 0
-        # texts shorter than an ORDER-gram are padded with spaces
-        short = np.flatnonzero(has & (np.diff(begin) < ORDER))
-        key, first = grams(codes, begin)
-        n = np.diff(first)
-        total = np.zeros((len(n), len(self.langs)))
-        step = max(1 << 12, (1 << 22) // len(self.langs))
-        for a in range(0, len(key), step):  # a very long text is looked up in parts
-            logp = self.lookup(key[a : a + step])
-            sums = np.zeros((len(logp) + 1, len(self.langs)))
-            np.cumsum(logp, axis=0, out=sums[1:])
-            at = np.clip(first - a, 0, len(logp))
-            some = np.flatnonzero(at[1:] > at[:-1])
-            total[some] += sums[at[some + 1]] - sums[at[some]]
-        for i in short:
-            own = codes[begin[i] : begin[i + 1]]
-            padded = np.concatenate([np.full(ORDER - len(own), _SPACE, np.uint64), own])
-            k, _ = grams(padded, np.array([0, ORDER]))
-            total[i], n[i] = self.lookup(k)[0], 1
-        return -total / np.maximum(n, 1)[:, None], np.where(has, n, 0)
+        key, first, n = scored(data, offsets)
+        total = sums(first, len(self.langs), lambda a, b: self.lookup(key[a:b]))
+        return -total / np.maximum(n, 1)[:, None], n
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         data, offsets = column(texts)
         names, scores, rejected = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for a, b in chunks(offsets, 1 << 20):
+        for a, b in blocks(offsets, len(self.langs)):
             ce, n = self.entropies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             best = ce.argmin(1)
             low = ce[np.arange(len(best)), best]
@@ -210,8 +237,8 @@ def training_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return joined.select("text", "lang", apart.alias("calibrate"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, key and count of the n-grams of a task's texts."""
+def _count(batches: Iterator[pa.RecordBatch], keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """lang, key and count of the n-grams of a task's texts; keys(data, offsets) gives them and each text's first one."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
@@ -232,8 +259,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = column(batch.column(0))
         names = np.array(batch.column(1).to_pylist(), object)
         for a, b in chunks(offsets, 1 << 21):
-            codes, begin = letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            key, first = grams(codes, begin)
+            key, first = keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             langs, of = np.unique(names[a:b].astype(str), return_inverse=True)
             of = np.repeat(of, np.diff(first))
             for i, v in enumerate(langs.tolist()):
@@ -248,23 +274,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def train(docs: DataFrame, cells: int = CELLS) -> KneserNey | None:
-    docs, scratch = ready(docs), Scratch(docs.sparkSession)
-    rows = training_rows(docs, scratch)
-    counts = rows.where("not calibrate").select("text", "lang").mapInArrow(tidy(_count), "lang string, k long, n long")
-    counts = scratch.cut(counts.groupBy("lang", "k").agg(F.sum("n").alias("n")), "grams")
-    sizes = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("level")).agg(F.count("*").alias("n"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()  # some hundred rows
-    if not sizes:
-        scratch.close()
-        return None
-    n_langs = counts.select("lang").distinct().count()
-    least, total = sizes[0].least, 0
-    for row in sizes:  # from frequent to rare, while they fit
-        total += row.n
-        if total * n_langs > cells and total > row.n:
-            break
-        least = row.least
-    got = counts.where(F.col("n") >= least).toArrow()
+def held_model(rows: DataFrame, counts: DataFrame) -> KneserNey:
+    """The model of counts that fit a task, with the levels of rejection."""
+    got = counts.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     where = {v: i for i, v in enumerate(langs)}
     model = KneserNey(langs, np.array([where[v] for v in got.column("lang").to_pylist()]), got.column("k").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64))
@@ -273,21 +285,127 @@ def train(docs: DataFrame, cells: int = CELLS) -> KneserNey | None:
         for batch in batches:
             data, offsets = column(batch.column(0))
             own = np.array([where.get(v, -1) for v in batch.column(1).to_pylist()])
-            for a, b in chunks(offsets, 1 << 20):
+            for a, b in blocks(offsets, len(langs)):
                 ce, n = model.entropies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                long = (n >= 40) & (own[a:b] >= 0)
+                long = (n >= LONG) & (own[a:b] >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own[a:b][long]), pa.array(ce[np.arange(b - a), own[a:b]][long])], names=["l", "ce"])
 
-    stats = rows.where("calibrate").select("text", "lang").mapInArrow(tidy(levels), "l long, ce double").groupBy("l").agg(F.percentile_approx("ce", 1 - RATE, 10_000).alias("top")).toArrow().to_pydict()
-    for i, top in zip(stats["l"], stats["top"], strict=True):
-        model.ceiling[i] = top
-    scratch.close()
+    stats = rows.where("calibrate").select("text", "lang").mapInArrow(tidy(levels), "l long, ce double").groupBy("l").agg(top("ce")).toArrow().to_pydict()
+    for i, level in zip(stats["l"], stats["top"], strict=True):
+        model.ceiling[i] = level
     return model
 
 
+def top(column: str) -> Column:
+    return F.percentile_approx(column, 1 - RATE, 10_000).alias("top")
+
+
+def probabilities(counts: DataFrame, asked: DataFrame, languages: DataFrame, scratch: Scratch) -> DataFrame:
+    """asked (k, n) with logp in every language l: the recursion of KneserNey, from counts (l, k, c)."""
+    cut_to = lambda order: F.col("k").bitwiseAND(F.lit((1 << 16 * order) - 1))
+    context = F.shiftrightunsigned("k", 16)
+    seen = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):  # continuation counts
+        seen[order] = scratch.cut(seen[order + 1].groupBy("l", cut_to(order).alias("k")).agg(F.count("*").alias("c")), f"grams-{order}")
+    size = max(2.0, seen[1].select("k").distinct().count() + 1.0)
+    lower = languages.select("l", F.lit(0).cast("long").alias("suffix"), F.lit(1 / size).alias("back"))
+    for order in range(1, ORDER + 1):
+        keys = asked if order == ORDER else asked.select(cut_to(order).alias("k")).distinct()
+        after = seen[order].groupBy("l", context.alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        each = keys.withColumns({"suffix": cut_to(order - 1), "context": context}).join(lower, "suffix")
+        each = each.join(seen[order], ["l", "k"], "left").join(after, ["l", "context"], "left")
+        own = F.greatest(F.coalesce("c", F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col("total")
+        p = F.when(F.col("total").isNull(), F.col("back")).otherwise(own + DISCOUNT * F.col("kinds") / F.col("total") * F.col("back"))
+        lower = each.select(*keys.columns, "l", p.alias("back")).withColumnRenamed("k", "suffix")
+    return lower.select(F.col("suffix").alias("k"), "n", "l", F.log("back").cast("float").alias("logp"))
+
+
+def entropies_by_joins(rows: DataFrame, logp: DataFrame, least: int, n_langs: int, scratch: Scratch) -> DataFrame:
+    """rows (text last) with n and ce, the cross-entropy per character in every language; keys of least occurrences or more are held by the tasks."""
+    held = logp.where(F.col("n") >= least).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("l", "logp")))["logp"].alias("logp")).toArrow()
+    hot = held.column("k").to_numpy().view(np.uint64)
+    values = held.column("logp").combine_chunks().flatten().to_numpy().reshape(-1, n_langs) if len(hot) else np.zeros((0, n_langs), np.float32)
+    order = np.argsort(hot)  # as unsigned
+    hot, values = hot[order], values[order]
+    # a last row of zeros for the keys that the tasks do not hold
+    values = np.concatenate([values, np.zeros((1, n_langs), np.float32)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column(batch.column(batch.num_columns - 1))
+            for a, b in blocks(offsets, n_langs):
+                key, first, n = scored(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                at = np.searchsorted(hot, key)
+                here = at < len(hot)
+                here[here] = hot[at[here]] == key[here]
+                at = np.where(here, at, len(hot))
+                total = sums(first, n_langs, lambda i, j, at=at: values[at[i:j]])
+                of, key = np.repeat(np.arange(b - a), np.diff(first))[~here], key[~here]
+                order = np.lexsort((key, of))
+                of, key = of[order], key[order]
+                new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])])[: len(of)])
+                times = np.diff(np.append(new, len(of)))
+                begin = np.searchsorted(of[new], np.arange(b - a + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(begin, pa.array(v)) for v in (key[new].view(np.int64), times.astype(np.int64))]
+                held = pa.ListArray.from_arrays((np.arange(b - a + 1) * n_langs).astype(np.int32), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(n.astype(np.int64)), held, *lists], names=names)
+
+    carried = rows.select(F.monotonically_increasing_id().alias("row"), *rows.columns)
+    names = [*carried.columns[:-1], "n", "held", "keys", "times"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
+    scanned = scratch.cut(carried.mapInArrow(tidy(scan), f"{fields}, n long, held array<double>, keys array<long>, times array<long>"), "scanned")
+    rest = scanned.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("k"), F.col("x.times").alias("times"))
+    rest = rest.join(logp.where(F.col("n") < least).select("k", "l", "logp"), "k").groupBy("row", "l").agg(F.sum(F.col("logp") * F.col("times")).alias("s"))
+    rest = rest.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("l", "s")))["s"].alias("rest"))  # one text's languages
+    total = F.when(F.col("rest").isNull(), F.col("held")).otherwise(F.zip_with("held", "rest", lambda a, b: a + b))
+    per = F.greatest("n", F.lit(1))
+    return scanned.join(rest, "row", "left").select(*rows.columns[:-1], "n", F.transform(total, lambda x: -x / per).alias("ce"))
+
+
+def identify_by_joins(docs: DataFrame, rows: DataFrame, counts: DataFrame, cells: int, scratch: Scratch) -> DataFrame:
+    """identify for counts that no task can hold."""
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    languages = docs.sparkSession.createDataFrame(list(enumerate(langs)), "l int, lang string")
+    asked = docs.select("text", F.lit("").alias("lang")).mapInArrow(tidy(lambda batches: _count(batches, lambda *texts: scored(*texts)[:2])), "lang string, k long, n long")
+    asked = asked.groupBy("k").agg(F.sum("n").alias("n"))
+    asked = scratch.cut(asked, "asked")
+    logp = scratch.cut(probabilities(counts.join(languages, "lang").select("l", "k", F.col("n").alias("c")), asked, languages, scratch), "probabilities")
+    sizes = asked.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("level")).agg(F.count("*").alias("keys"), F.min("n").alias("least")).orderBy(F.desc("level")).collect()  # some hundred rows
+    least, total = 1 << 62, 0
+    for row in sizes:  # from frequent to rare, what the tasks can hold
+        total += row["keys"]
+        if total * len(langs) > cells:
+            break
+        least = row.least
+    own = entropies_by_joins(rows.where("calibrate").select("lang", "text"), logp, least, len(langs), scratch).join(languages, "lang")
+    tops = own.where(F.col("n") >= LONG).select("l", F.col("ce")[F.col("l")].alias("ce")).groupBy("l").agg(top("ce"))
+    tops = scratch.cut(languages.join(tops, "l", "left"), "levels")
+    texts = entropies_by_joins(docs.select("doc_id", "held_out", "text"), logp, least, len(langs), scratch)
+    low, n = F.array_min("ce"), F.col("n")
+    odds = F.aggregate("ce", F.lit(0.0), lambda s, c: s + F.exp((F.col("low") - c) * F.least(n, F.lit(60))))
+    best = texts.withColumns({"low": low, "l": (F.array_position("ce", low) - 1).cast("int")}).withColumn("odds", odds)
+    out = best.join(tops, "l", "left").select(
+        "doc_id", "held_out", F.when(n > 0, F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(n > 0, 1 / F.col("odds")).otherwise(0.0).alias("score"),
+        ((n > 0) & F.coalesce(F.col("low") > F.col("top"), F.lit(False))).alias("rejected"),
+    )
+    out = cut(out, "languages-found")
+    scratch.close()
+    return out
+
+
 def identify(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of every document."""
-    model = train(docs, cells)
+    """doc_id, held_out, lang_pred, score and rejected of every document; cells: keys times languages that a task holds."""
+    docs, scratch = ready(docs), Scratch(docs.sparkSession)
+    rows = training_rows(docs, scratch)
+    counts = rows.where("not calibrate").select("text", "lang").mapInArrow(tidy(lambda batches: _count(batches, lambda *texts: grams(*letters(*texts)))), "lang string, k long, n long")
+    counts = scratch.cut(counts.groupBy("lang", "k").agg(F.sum("n").alias("n")), "grams")
+    size = counts.agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs")).first()
+    held = F.coalesce(~is_training_fold("doc_id", FOLDS, HELD), F.lit(False)).alias("held_out")
+    docs = docs.select("doc_id", held, "text")
+    if size.n * size.langs > cells:
+        return identify_by_joins(docs, rows, counts, cells, scratch)
+    model = held_model(rows, counts) if size.n else None
+    scratch.close()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,5 +416,4 @@ def identify(docs: DataFrame, cells: int = CELLS) -> DataFrame:
                 names, scores, rejected = model.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    held = F.coalesce(~is_training_fold("doc_id", FOLDS, HELD), F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(tidy(scan), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(tidy(scan), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -60,6 +60,20 @@ def test_language_with_few_rows_and_a_small_model(spark):
             assert got[100] == got[101] == "es"
 
 
+def test_language_beyond_what_a_task_holds_is_the_same(spark):
+    """No n-gram is left out where the model is larger than a task may hold: with some keys held, and with none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**9 + i, t, v) for i, (t, v) in enumerate([("a", None), ("El", "es"), ("12 34", "en"), ("", "en"), (None, "en"), ("漢字仮名交じり文を書く", "ja"), ("漢字", None), ("\U00010400\U00010401 \U00010428", None), ("qxz " * 40, None), ("the cat", "en"), ("the cat", "en")])] + [(None, "la casa", "es")]
+    docs = docs.unionByName(spark.createDataFrame(odd * 2, docs.schema))
+    rows = lambda cells: sorted((tuple(r) for r in language_id.identify(docs, cells).collect()), key=lambda r: (str(r[0]), r[2]))
+    want = rows(language_id.CELLS)
+    assert {r[2] for r in want} == {"de", "en", "es", "fr", "ja", "und"} and any(r[4] for r in want)
+    for cells in (20_000, 1):
+        got = rows(cells)
+        assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
+        assert np.abs(np.array([r[3] for r in got]) - [r[3] for r in want]).max() < 1e-4
+
+
 def test_emit_gives_the_copies_that_the_digest_takes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({c: F.lit("own") for c in ("__mix_size", "__mix_copies", "__mix_source")})
     taken = {r.doc_id: (r.taken, r["size"]) for r in mixing.digest(docs).collect()}
