@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_BYTES, blocks_of_mixed, pairs_in_groups
 from .components import components
 from .tables import Scratch, free_name, own_ids, parts, ready
-from .textkit import _IS_SEP, WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack, tidy
+from .textkit import WORD, Prefix, byte_values, chunks, column, dealt, fold_ascii, mix, pack, unpack, tidy
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -41,7 +41,13 @@ BROADCAST_BYTES = 32 << 20
 LINE_COST, CELLS = 256, 1 << 22
 #: Pairs of two blocks of a band from which they are compared as a matrix.
 CROWD = 1 << 12
+#: Bytes of text looked at at once: the arrays over them stay in the processor's cache.
+STRETCH, SIGNED = 1 << 17, 1 << 16
+#: Lines in one batch of occurrences at most, but for the last stretch's.
+LINES = 1 << 18
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Factor of a bin's value by the distance of the empty bin that it fills.
+_STEPS = np.multiply.accumulate(np.array([1] + [0x9E3779B1] * (BANDS * ROWS), np.uint32))
 
 
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,8 +59,10 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     per = 1 + np.diff(np.searchsorted(breaks, offsets))
     doc = np.repeat(np.arange(n), per)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    full = np.concatenate([[0], np.cumsum(~_IS_SEP[data])])
-    return starts, ends, doc, number, full[ends] > full[starts]
+    full = ends > starts
+    if full.any():  # what lies between a line and the next one with bytes is breaks alone
+        full[full] = np.logical_or.reduceat((data - np.uint8(9) > 4) & (data != 32), starts[full])
+    return starts, ends, doc, number, full
 
 
 def line_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,41 +70,42 @@ def line_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def signatures(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash signatures of lines of SHINGLE bytes or more."""
-    bins = BANDS * ROWS
-    sig = np.full((len(starts), bins), _EMPTY, np.uint32)
-    n = ends - starts - SHINGLE + 1
+    """One-permutation MinHash signatures of lines of SHINGLE bytes or more, in the order of the text."""
+    bins, n = BANDS * ROWS, ends - starts - SHINGLE + 1
+    sig = np.full((len(starts) + 1, bins), _EMPTY, np.uint32)
     if not len(starts):
-        return sig
-    grams = np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,))
-    line = np.repeat(np.arange(len(starts)), n)
-    at = np.arange(len(line)) + np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    h = mix(grams[at])
-    cell = line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        return sig[:0]
+    grams = np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,)).copy()
+    h = mix(grams)
+    # the shingles of each line by turns with those that are no line's, which go to a row of their own
+    rows, counts = (np.full(2 * len(starts) + 1, x) for x in (len(starts), 0))
+    rows[1::2], counts[1::2] = np.arange(len(starts)), n
+    counts[::2] = np.append(starts, len(grams)) - np.append(0, starts + n)
+    cell = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+    cell += np.repeat(rows * bins, counts)
     np.minimum.at(sig.ravel(), cell, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    sig = sig[:-1]
     rows = np.flatnonzero((sig == _EMPTY).any(axis=1))
-    while len(rows):
-        part = sig[rows]
+    if len(rows):  # every line has a shingle, and no value of one is _EMPTY (they are even)
+        part, own = sig[rows], np.arange(bins, dtype=np.int16)
         hole = part == _EMPTY
-        part[hole] = (np.roll(part, -1, axis=1)[hole] * np.uint32(0x9E3779B1)) | np.where(np.roll(hole, -1, axis=1)[hole], _EMPTY, np.uint32(0))
+        after = np.where(hole, np.int16(2 * bins), own)
+        after = np.minimum.accumulate(np.concatenate([after, after + np.int16(bins)], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        part[hole] = (np.take_along_axis(part, (after % bins).astype(np.int64), axis=1) * _STEPS[after - own])[hole]
         sig[rows] = part
-        rows = rows[(part == _EMPTY).any(axis=1)]
     return sig
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
-        k = np.full(len(sig), b + 1, np.uint64)
-        for r in range(ROWS):
-            k = mix(k * np.uint64(0x100000001B3) ^ sig[:, b * ROWS + r].astype(np.uint64))
-        key[:, b] = k
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x100000001B3) ^ sig[:, r::ROWS])
     return key
 
 
 def _scan(texts: pa.Array):
     data, offsets = column(texts)
-    for a, b in chunks(offsets, 1 << 20):
+    for a, b in chunks(offsets, STRETCH):
         part = np.ascontiguousarray(data[offsets[a] : offsets[b]])
         yield a, part, split(part, offsets[a : b + 1] - offsets[a])
 
@@ -104,12 +113,21 @@ def _scan(texts: pa.Array):
 def occurrences(docs: DataFrame) -> DataFrame:
     """h, doc_id, line of every line with a word."""
 
+    def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["h", "doc_id", "line"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, found, n = batch.column(0).to_numpy(zero_copy_only=False), [], 0
             for a, part, (starts, ends, doc, number, full) in _scan(batch.column(1)):
                 h = line_hashes(fold_ascii(part), starts[full], ends[full])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a + doc[full]]), pa.array(number[full].astype(np.int32))], names=["h", "doc_id", "line"])
+                found.append((h.view(np.int64), ids[a + doc[full]], number[full].astype(np.int32)))
+                n += len(h)
+                if n >= LINES:
+                    yield rows(found)
+                    found, n = [], 0
+            if found:
+                yield rows(found)
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(tidy(scan), "h long, doc_id long, line int")
 
@@ -128,21 +146,22 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, names, seen = [], [], np.zeros(0, np.uint64)
-            for _, part, (starts, ends, _, _, full) in _scan(batch.column(1)):
-                folded = fold_ascii(part)
+            data, offsets = column(batch.column(1))
+            found = []
+            for a, part, (starts, ends, _, _, full) in _scan(batch.column(1)):
                 long = full & (ends - starts >= SHINGLE)
                 starts, ends = starts[long], ends[long]
-                h, once = np.unique(line_hashes(folded, starts, ends), return_index=True)
-                new = ~np.isin(h, seen)
-                h, once = h[new], once[new]
-                seen = np.union1d(seen, h)
-                for i, j in chunks(np.concatenate([[0], np.cumsum(ends[once] - starts[once])]), 1 << 20):
-                    keys.append(band_keys(signatures(folded, starts[once[i:j]], ends[once[i:j]])).ravel())
-                    names.append(np.repeat(h[i:j], BANDS))
-            if not names:
+                found.append((line_hashes(fold_ascii(part), starts, ends), offsets[a] + starts, offsets[a] + ends))
+            h, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
+            once = np.sort(np.unique(h, return_index=True)[1])  # equal lines are one, in the order of the text
+            h, starts, ends = h[once], starts[once], ends[once]
+            keys = []
+            for i, j in chunks(np.append(starts, ends[-1:]), SIGNED):
+                first = starts[i]
+                keys.append(band_keys(signatures(fold_ascii(data[first : ends[j - 1]]), starts[i:j] - first, ends[i:j] - first)).ravel())
+            if not keys:
                 continue
-            key, name = np.concatenate(keys), np.concatenate(names)
+            key, name = np.concatenate(keys), np.repeat(h, BANDS)
             rows = [(p, pack(key[i], name[i])) for p, i in dealt((key % np.uint64(n_parts)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
 
@@ -174,7 +193,7 @@ def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
 
 
 def _sorted_shingles(line: bytes) -> np.ndarray:
-    folded = fold_ascii(np.frombuffer(line, np.uint8))
+    folded = np.frombuffer(line.lower(), np.uint8)  # A-Z alone, as it is bytes
     grams = np.sort(np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.data, 0, (1,)))
     new = np.ones(len(grams), bool)
     np.not_equal(grams[1:], grams[:-1], out=new[1:])

@@ -60,6 +60,8 @@ def own_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     a doc_id with its text stay one.  Only where ids clash are they numbered anew.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # no text is read for that
+        return docs, None
     name = free_name(docs, "named")
     text = F.coalesce("text", F.lit(""))
     named = docs.withColumn(name, F.struct(F.xxhash64(text), F.hash(text), F.length(text)))
